@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayloom.functions.text import NATIVE_GROUP, NO_GROUP, compound_key, group_label
-from assayloom.ordered import numbered, quantiles
+from assayloom.ordered import matrix_cells, numbered, quantiles
 from assayloom.rules import CATEGORIES, PHYSICOCHEMICAL, flag_score
 
 
@@ -322,9 +322,7 @@ def docking_tasks(ligands: DataFrame, targets: DataFrame, n_replicates: int = 3,
     The product is the result itself. Ligands are spread over ``slices`` and each slice meets the whole target list by an
     equal-key join, so that neither side has to fit one task.
     """
-    left = ligands.select(F.col("ligand"), F.pmod(F.xxhash64("ligand"), F.lit(slices)).cast("int").alias("_slice"))
-    right = targets.select("receptor").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return (left.join(right, "_slice").drop("_slice")
+    return (matrix_cells(ligands.select("ligand"), targets.select("receptor"), "ligand", slices)
             .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_replicates))))
             .withColumn("seed", (F.lit(base_seed) + F.col("replicate") - 1).cast("long")))
 

@@ -139,16 +139,20 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-              block_rows: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per key; equal values are counted before any ordering."""
+              block_rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per key; equal values are counted before any ordering.
+
+    ``weight`` names a count column: the row stands for that many equal values.
+    """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
+    w = F.lit(1).cast("long") if weight is None else F.col(weight)
     limit = block_rows or BLOCK_ROWS
-    counts = data.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     if data.count() <= limit:
-        return data.groupBy(*keys).agg(*[F.percentile(F.col(value), p).alias(n) for n, p in probs.items()])
+        return data.groupBy(*keys).agg(*[F.percentile(F.col(value), p, w).alias(n) for n, p in probs.items()])
+    counts = data.groupBy(*keys, value).agg(F.sum(w).alias("_n"))
     cum = running(counts, keys, [value], {"_cum": ("sum", "_n")}, block_rows=block_rows)
-    total = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     joined = _null_safe(cum, total, keys) if keys else cum.withColumn("_total", total.scalar())
     pos = {n: F.lit(p) * (F.col("_total") - 1) for n, p in probs.items()}
     picks = []
@@ -166,3 +170,13 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, block_rows: int
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
     cum = running(counts, keys, [value], {"_cum": ("sum", "ties")}, block_rows=block_rows)
     return cum.withColumn("avg_rank", F.col("_cum") - (F.col("ties") - 1) / 2.0).drop("_cum")
+
+
+def matrix_cells(rows: DataFrame, cols: DataFrame, row_key: str, slices: int = 64) -> DataFrame:
+    """All cells of a rows-by-columns matrix, for results that are such a matrix.
+
+    Rows are spread over slices and every slice meets the whole column list by an equal-key join.
+    """
+    left = rows.withColumn("_slice", F.pmod(F.xxhash64(row_key), F.lit(slices)).cast("int"))
+    right = cols.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return left.join(right, "_slice").drop("_slice")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening",)
+MODULES = ("screening", "contacts", "features")
 
 
 def all_queries() -> None:
