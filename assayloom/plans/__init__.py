@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening", "contacts", "features")
+MODULES = ("screening", "contacts", "features", "models")
 
 
 def all_queries() -> None:

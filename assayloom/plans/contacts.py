@@ -9,6 +9,7 @@ from assayloom.operators import contacts as op, profile as pr, screening as sc
 from assayloom.plans import bindings as b
 from assayloom.plans.registry import query
 from assayloom.plans.screening import COMBINED, SCORED_CATEGORIES, flags, r6, stats
+from assayloom.session import cut
 
 RESIDUE = "substr('ALAGLYSERHISLEU', (l_partkey % 5) * 3 + 1, 3)"
 CONTACTS = f"""contacts AS (SELECT DISTINCT 'R' || (l_suppkey % 10) AS receptor, 'K' || (l_orderkey % 200) AS complex, l_partkey % 60 AS resnum,
@@ -153,7 +154,8 @@ def _minmax_sql() -> str:
 
 
 def minmax(spark, sf):
-    rows = combined(spark, sf).withColumn("ord", F.substr("ligand", F.lit(2)).cast("long"))
+    # the profile table is read twice (ranges, rows) and is far smaller than the property table behind it
+    rows = cut(combined(spark, sf).withColumn("ord", F.substr("ligand", F.lit(2)).cast("long")))
     return pr.profile_minmax(rows, CRITERIA, LOWER, ABSOLUTE)
 
 
