@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening", "contacts", "features", "models")
+MODULES = ("screening", "contacts", "features", "models", "signals")
 
 
 def all_queries() -> None:

@@ -5,7 +5,7 @@ Every binding covers its whole source table, so the work of a query grows with t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.rules import DEFAULT_RULES
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def day_micros(ts: str) -> Column:
+    """Microseconds since midnight, whatever the session time zone."""
+    seconds = F.date_part(F.lit("SECONDS"), F.col(ts))
+    return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1000000 + (seconds * 1000000).cast("long")
+
+
 # ---- docking runs, groups, compounds ---------------------------------------------------------------------
 
 def docking_runs(spark: SparkSession, sf: str) -> DataFrame:
