@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening", "contacts", "features", "models", "signals")
+MODULES = ("screening", "contacts", "features", "models", "signals", "structures", "files")
 
 
 def all_queries() -> None:
