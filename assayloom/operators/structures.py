@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 from assayloom.functions.text import residue_name
 from assayloom.functions.udfs import nfkd
@@ -199,23 +200,22 @@ def _greedy_pairs(element_a: np.ndarray, a: np.ndarray, element_b: np.ndarray, b
     return float(np.sqrt(total / len(a))) if len(a) else None
 
 
+@F.pandas_udf(DoubleType())
+def _greedy_rmsd(pose: pd.Series, native: pd.Series) -> pd.Series:
+    out = []
+    for left, right in zip(pose, native):
+        a, b = (sorted(side, key=lambda r: r["ord"]) for side in (left, right))
+        xyz = lambda rows: np.array([[r["x"], r["y"], r["z"]] for r in rows], dtype=float)
+        out.append(_greedy_pairs(np.array([r["element"] for r in a]), xyz(a), np.array([r["element"] for r in b]), xyz(b)))
+    return pd.Series(out, dtype=float)
+
+
 def pose_rmsd_greedy(pose: DataFrame, native: DataFrame) -> DataFrame:
     """Deviation with each pose atom paired to the nearest unused native atom of its element, in pose order.
 
-    One group is one pose of one ligand molecule. Null when the element counts differ.
+    The atoms of one pose of one ligand molecule travel as one array. Null when the element counts differ.
     """
     heavy = F.upper("element") != "H"
-    cols = ["structure", "ord", "element", "x", "y", "z"]
-    kind = dict(pose.dtypes)
-    p = pose.where(heavy).select("pose", *cols)
-    n = pose.select("structure", "pose").distinct().join(native.where(heavy).select(*cols), "structure")
-    n = n.select(F.col("structure").alias("n_structure"), F.col("pose").alias("n_pose"), *cols[1:])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"structure": [], "pose": [], "rmsd": []})
-        left, right = left.sort_values("ord"), right.sort_values("ord")
-        value = _greedy_pairs(left["element"].to_numpy(), left[["x", "y", "z"]].to_numpy(), right["element"].to_numpy(), right[["x", "y", "z"]].to_numpy())
-        return pd.DataFrame({"structure": [left["structure"].iloc[0]], "pose": [left["pose"].iloc[0]], "rmsd": [value]})
-    return p.groupBy("structure", "pose").cogroup(n.groupBy("n_structure", "n_pose")).applyInPandas(
-        run, f"structure {kind['structure']}, pose {kind['pose']}, rmsd double")
+    packed = lambda df, keys, name: df.where(heavy).groupBy(*keys).agg(F.collect_list(F.struct("ord", "element", "x", "y", "z")).alias(name))
+    both = packed(pose, ["structure", "pose"], "_p").join(packed(native, ["structure"], "_n"), "structure")
+    return both.select("structure", "pose", _greedy_rmsd("_p", "_n").alias("rmsd"))

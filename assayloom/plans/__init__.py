@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("screening", "contacts", "features", "models", "signals", "structures", "files")
+MODULES = ("screening", "contacts", "features", "models", "signals", "structures", "files", "live")
 
 
 def all_queries() -> None:

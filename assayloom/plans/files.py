@@ -49,7 +49,7 @@ def _(spark, sf):
 
 
 @query("S3_read_receptors", """SELECT upper('1ab' || (s_suppkey % 7)) AS pdb_code, s_suppkey + 1 AS row_index, s_acctbal AS center_x, CAST(s_nationkey AS DOUBLE) AS center_y, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey AS DOUBLE) END AS center_z,
- CAST(20 AS DOUBLE) AS uniform_size, s_name AS label, upper('1ab' || (s_suppkey % 7)) || '_R' || lpad(CAST(s_suppkey + 1 AS VARCHAR), greatest(3, length(CAST(s_suppkey + 1 AS VARCHAR))), '0') AS receptor FROM supplier""")
+ CAST(20 AS DOUBLE) AS uniform_size, s_name AS label, upper('1ab' || (s_suppkey % 7)) || '_R' || lpad(CAST(s_suppkey + 1 AS VARCHAR), CAST(greatest(3, length(CAST(s_suppkey + 1 AS VARCHAR))) AS INT), '0') AS receptor FROM supplier""")
 def _(spark, sf):
     k = F.col("s_suppkey")
     df = b.table(spark, sf, "supplier").select(k.alias("o"), F.concat(F.lit(" 1ab"), k % 7).alias("PDB Code"), F.col("s_acctbal").alias("Center_X"), F.col("s_nationkey").alias("center_y"), F.when(k % 3 != 0, k.cast("string")).otherwise("n/a").alias("center_z"),
@@ -124,6 +124,17 @@ def _documents(spark, lines, key, order, name):
     return path
 
 
+def _xml_files(spark, lines, name, root):
+    """Well-formed files, one per sample and chunk of scans."""
+    path = scratch_path(spark, name)
+    body = lines.withColumn("chunk", F.expr("seq div 100000"))
+    ends = body.select("sample", "chunk").distinct()
+    edge = lambda seq, line: ends.select("sample", F.lit(seq).cast("long").alias("seq"), F.lit(line).alias("line"), "chunk")
+    rows = body.unionByName(edge(-1, f"<{root}>")).unionByName(edge(2 ** 62, f"</{root}>"))
+    rows.repartition("sample", "chunk").sortWithinPartitions("sample", "chunk", "seq").select("sample", "chunk", "line").write.partitionBy("sample", "chunk").text(path)
+    return path
+
+
 def _comma(c):
     """Decimal comma, as some exports write it."""
     t = c.cast("string")
@@ -212,17 +223,17 @@ def _(spark, sf):
     start = F.concat(F.lit("<scanList><scan>"), cv("MS:1000016", F.col("rt").cast("string"), "minute"), F.lit("</scan></scanList>"))
     body = F.when(F.col("ord") % 3 == 0, F.concat(start, total)).otherwise(F.concat(total, start))
     lines = pts.select("sample", F.col("ord").alias("seq"), F.concat(F.lit("<spectrum>"), cv("MS:1000511", level), body, F.lit("</spectrum>")).alias("line"))
-    return ch.read_mzml_tic(spark, _documents(spark, lines, "sample", ["seq"], "mzml"), "sample")
+    return ch.read_mzml_tic(spark, _xml_files(spark, lines, "mzml", "mzML"), "sample")
 
 
-@query("S15_read_mzxml_tic", f"WITH {CLEAN}, w AS (SELECT sample, CASE WHEN ord % 2 = 0 THEN rt ELSE rt * 60 / 60 END AS rt, CASE WHEN ord % 3 = 0 THEN y + 2 * y ELSE y END AS y, ord FROM pts WHERE ord % 5 <> 0) SELECT sample, round(rt, 6) AS rt, round(arg_min(y, ord), 6) AS y FROM w GROUP BY sample, w.rt")
+@query("S15_read_mzxml_tic", f"WITH {CLEAN}, w AS (SELECT sample, CASE WHEN ord % 2 = 0 THEN rt ELSE rt * 60 / 60 END AS rt, CASE WHEN ord % 3 = 0 THEN y + 2 * y ELSE y END AS y, ord FROM pts WHERE ord % 5 <> 0) SELECT sample, round(rt, 9) AS rt, round(arg_min(y, ord), 9) AS y FROM w GROUP BY sample, w.rt")
 def _(spark, sf):
     pts, o = points(spark, sf), F.col("ord")
     time = F.when(o % 2 == 0, F.concat(F.lit("PT"), F.col("rt").cast("string"), F.lit("M"))).otherwise(F.concat(F.lit("PT"), (F.col("rt") * 60).cast("string"), F.lit("S")))
     total = F.when(o % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(' totIonCurrent="'), F.col("y").cast("string"), F.lit('"')))
     peaks_ = F.concat(F.lit('<peaks precision="64" compressionType="zlib">'), _packed(F.col("y"), F.lit(False)), F.lit("</peaks>"))
     lines = pts.select("sample", o.alias("seq"), F.concat(F.lit('<scan msLevel="'), F.when(o % 5 == 0, "2").otherwise("1"), F.lit('" retentionTime="'), time, F.lit('"'), total, F.lit(">"), peaks_, F.lit("</scan>")).alias("line"))
-    return ch.read_mzxml_tic(spark, _documents(spark, lines, "sample", ["seq"], "mzxml"), "sample").select("sample", *r6("rt", "y"))
+    return ch.read_mzxml_tic(spark, _xml_files(spark, lines, "mzxml", "mzXML"), "sample").select("sample", F.round("rt", 9).alias("rt"), F.round("y", 9).alias("y"))
 
 
 @query("S16_read_all", """WITH p AS (SELECT user_id, (epoch_us(ts) % 86400000000) / 60000000 AS rt, value AS y, event_id AS ord FROM events), c AS (SELECT user_id, rt, arg_min(y, ord) AS y FROM p GROUP BY 1, 2)

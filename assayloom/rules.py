@@ -206,7 +206,8 @@ RULE_SCHEMA = ("column string, category string, category_ord int, label string,
 def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """The rules as a table; ``rule_ord`` keeps the report order."""
     order = {c: k for k, c in enumerate(CATEGORIES)}
-    rows = [(r.column, r.category, order.get(r.category, len(order)), r.label, r.rule_type, r.lo, r.hi, r.ascending_bad, r.inverted,
+    num = lambda v: None if v is None else float(v)
+    rows = [(r.column, r.category, order.get(r.category, len(order)), r.label, r.rule_type, num(r.lo), num(r.hi), r.ascending_bad, r.inverted,
              r.unit, r.citation, r.note, k) for k, r in enumerate(rules)]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 

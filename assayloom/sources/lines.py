@@ -22,16 +22,18 @@ def line_order(df: DataFrame) -> DataFrame:
     return df.select("*", part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str], folder: str | None = None, glob: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], folder: str | None = None, glob: str | None = None, full_path: bool = False) -> DataFrame:
     """Lines as (document, part, block, pos, line).
 
-    A document is a file; with ``folder`` it is a partition folder ``folder=value`` whose part files follow one another.
+    A document is a file, named by its file name or its full path; with ``folder`` it is a partition folder ``folder=value`` whose
+    part files follow one another.
     """
     reader = spark.read.option("recursiveFileLookup", folder is None)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = line_order(reader.text(path))
-    document = F.col(folder).cast("string") if folder else F.regexp_replace(file_name(), r"(?<=.)\.[^.]*$", "")
+    stem = F.col("_metadata.file_path") if full_path else F.regexp_replace(file_name(), r"(?<=.)\.[^.]*$", "")
+    document = F.col(folder).cast("string") if folder else stem
     return df.select(document.alias("document"), *ORDER, F.regexp_replace("value", "^﻿|\r$", "").alias("line"))
 
 

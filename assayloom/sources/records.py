@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.functions.text import clean_text, guess_element, parse_atom_spec
 from assayloom.ordered import running
+from assayloom.session import cut
 from assayloom.sources.chromatograms import _cells, sniff_delimiter
 from assayloom.sources.lines import ORDER, read_lines
 
@@ -25,7 +26,7 @@ def read_interactions(spark: SparkSession, path: str, folder: str | None = None)
 
 def contact_rows(lines: DataFrame) -> DataFrame:
     rows = lines.join(sniff_delimiter(lines), "document").withColumn("cells", _cells(F.col("line"), F.col("delimiter")))
-    rows = rows.where(F.exists("cells", lambda c: c != "")).select("document", F.struct(*ORDER).alias("at"), "cells")
+    rows = cut(rows.where(F.exists("cells", lambda c: c != "")).select("document", F.struct(*ORDER).alias("at"), "cells"))
     head = rows.groupBy("document").agg(F.min(F.struct("at", "cells")).alias("h"), F.count(F.lit(1)).alias("_rows"))
     names = F.transform(F.col("h.cells"), lambda c: F.lower(F.trim(c)))
     found = lambda key: F.coalesce(*[F.nullif(F.array_position(names, a), F.lit(0).cast("long")) for a in CONTACT_HEADERS[key]])
