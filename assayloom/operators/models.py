@@ -24,13 +24,17 @@ from assayloom.ordered import numbered
 from assayloom.session import cut
 
 CHI2_95 = 5.991  # fixed value
+MAX_FEATURES = 2000
 
 
 # ---- wide rows ---------------------------------------------------------------------------------------------
 
 def feature_names(long: DataFrame) -> list:
-    """Distinct features in order; a matrix over them has to fit the driver, so their number is limited by design."""
-    return [r["feature"] for r in long.select("feature").distinct().orderBy("feature").collect()]
+    """Distinct features in order. Models hold features-by-features matrices, so too many features are refused, not cut."""
+    found = [r["feature"] for r in long.select("feature").distinct().limit(MAX_FEATURES + 1).collect()]
+    if len(found) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features; choose some with top_features first")
+    return sorted(found)
 
 
 def wide_rows(long: DataFrame, names: list) -> DataFrame:

@@ -316,7 +316,7 @@ def map_batches(sent: DataFrame, returned: DataFrame) -> DataFrame:
     return positional.select("batch", "pos", "key", "how", *values).unionByName(structural)
 
 
-def docking_tasks(ligands: DataFrame, targets: DataFrame, n_replicates: int = 3, base_seed: int = 42, slices: int = 64) -> DataFrame:
+def docking_tasks(ligands: DataFrame, targets: DataFrame, n_replicates: int = 3, base_seed: int = 42, slices: int | None = None) -> DataFrame:
     """The task list: every ligand with every target and replicate.
 
     The product is the result itself. Ligands are spread over ``slices`` and each slice meets the whole target list by an
@@ -363,14 +363,13 @@ def rank_affinity(stats: DataFrame, groups: DataFrame, top_n: int | None = None)
 
 def paginate(df: DataFrame, order: list[str], max_items: int, block_rows: int | None = None) -> DataFrame:
     """Balanced pages along numeric order columns; pages differ by at most one row, larger pages first."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = numbered(df, [], order, "position", block_rows)
-    n, pages = F.col("_n"), F.col("n_pages")
-    ranked = ranked.withColumn("_n", total).withColumn("n_pages", F.greatest(F.ceil(F.col("_n") / max_items), F.lit(1)).cast("long"))
-    small, extra, at = F.expr("_n div n_pages"), F.expr("_n % n_pages"), F.col("position") - 1
-    head = extra * (small + 1)
-    page = F.when(at < head, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - head) / small)) + 1
-    return ranked.withColumn("page", page.cast("long")).drop("_n")
+    n = df.count()
+    pages = max(1, -(-n // max_items))
+    small, extra = divmod(n, pages)
+    at, head = F.col("position") - 1, extra * (small + 1)
+    page = F.when(at < head, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - head) / max(small, 1))) + 1
+    ranked = numbered(df, [], order, "position", block_rows, rows=n)
+    return ranked.withColumns({"n_pages": F.lit(pages).cast("long"), "page": page.cast("long")})
 
 
 def paginate_grid(cells: DataFrame, max_rows: int, max_cols: int, n_rows: int, n_cols: int) -> DataFrame:

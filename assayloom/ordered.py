@@ -38,13 +38,13 @@ def _bucket(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame
     return Bucketizer(splits=splits, inputCol="_bucket_in", outputCol=out, handleInvalid="keep").transform(tmp).drop("_bucket_in")
 
 
-def with_blocks(df: DataFrame, order: Sequence[str], block_rows: int | None = None) -> DataFrame | None:
+def with_blocks(df: DataFrame, order: Sequence[str], block_rows: int | None = None, rows: int | None = None) -> DataFrame | None:
     """Add a block column that follows the numeric order columns, or ``None`` when the input is small enough.
 
     A value that fills more than one block by itself is cut again by the second order column.
     """
     limit = block_rows or BLOCK_ROWS
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= limit:
         return None
     blocks = min(MAX_BLOCKS, max(2, math.ceil(rows / limit)))
@@ -67,28 +67,28 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, str]],
-            reverse: bool = False, block_rows: int | None = None) -> DataFrame:
+            reverse: bool = False, block_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """Add running values along ``order`` inside ``keys``.
 
     ``specs`` maps an output name to ``(kind, column)``; kinds: ``sum`` and ``min`` (including the current row), ``fill`` (last
-    non-null so far), ``prev`` (value of the row before). ``reverse`` walks from the end.
+    non-null so far), ``prev`` (value of the row before). ``reverse`` walks from the end; ``rows`` is the row count where it is known.
     """
     keys, order = list(keys), list(order)
-    blocked = with_blocks(df, order, block_rows)
+    blocked = with_blocks(df, order, block_rows, rows)
     base = df if blocked is None else blocked
     part = keys if blocked is None else keys + [_BLK]
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     w = Window.partitionBy(*[F.col(c) for c in part]).orderBy(*direction)
-    rows = w.rowsBetween(Window.unboundedPreceding, 0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
     out = base
     local: dict[str, Column] = {}
     for name, (kind, col) in specs.items():
         c = F.col(col)
         local[f"_w_{name}"] = {
-            "sum": lambda: F.sum(c).over(rows),
-            "min": lambda: F.min(c).over(rows),
-            "fill": lambda: F.last(c, ignorenulls=True).over(rows),
+            "sum": lambda: F.sum(c).over(upto),
+            "min": lambda: F.min(c).over(upto),
+            "fill": lambda: F.last(c, ignorenulls=True).over(upto),
             "prev": lambda: F.lag(c).over(w),
         }[kind]()
     out = out.withColumns(local)
@@ -132,10 +132,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dic
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-             block_rows: int | None = None) -> DataFrame:
+             block_rows: int | None = None, rows: int | None = None) -> DataFrame:
     """``row_number`` along numeric order columns."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running(one, keys, order, {out: ("sum", "_one")}, block_rows=block_rows).drop("_one")
+    return running(one, keys, order, {out: ("sum", "_one")}, block_rows=block_rows, rows=rows).drop("_one")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -172,11 +172,12 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, block_rows: int
     return cum.withColumn("avg_rank", F.col("_cum") - (F.col("ties") - 1) / 2.0).drop("_cum")
 
 
-def matrix_cells(rows: DataFrame, cols: DataFrame, row_key: str, slices: int = 64) -> DataFrame:
+def matrix_cells(rows: DataFrame, cols: DataFrame, row_key: str, slices: int | None = None) -> DataFrame:
     """All cells of a rows-by-columns matrix, for results that are such a matrix.
 
-    Rows are spread over slices and every slice meets the whole column list by an equal-key join.
+    Rows are spread over slices (a few per shuffle partition) and every slice meets the whole column list by an equal-key join.
     """
+    slices = slices or max(16, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = rows.withColumn("_slice", F.pmod(F.xxhash64(row_key), F.lit(slices)).cast("int"))
     right = cols.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return left.join(right, "_slice").drop("_slice")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.rules import DEFAULT_RULES
+from assayloom.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,14 +27,14 @@ def docking_runs(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     affinity = -F.col("l_extendedprice") / 7919
     n = (F.lit(1) + F.col("l_linenumber") % 3).cast("int")
-    pose = lambda k: F.struct(k.cast("int").alias("mode"), (affinity + (k - 1) * 0.25).alias("affinity"),
-                              (k - 1).cast("double").alias("rmsd_lb"), ((k - 1) * 2).cast("double").alias("rmsd_ub"))
+    pose = lambda k: F.struct(F.lit(k).alias("mode"), (affinity + (k - 1) * 0.25).alias("affinity"),
+                              F.lit(k - 1.0).alias("rmsd_lb"), F.lit(2.0 * (k - 1)).alias("rmsd_ub"))
     failed = F.col("l_returnflag") == "R"
     return li.select(
         F.concat(F.lit("L"), "l_partkey").alias("ligand"), F.concat(F.lit("R"), F.col("l_suppkey") % 10).alias("receptor"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("replicate"), (F.col("l_orderkey") + 42).alias("seed"),
         F.when(failed, F.array().cast("array<struct<mode:int,affinity:double,rmsd_lb:double,rmsd_ub:double>>"))
-        .otherwise(F.transform(F.sequence(F.lit(1), n), pose)).alias("poses"),
+        .otherwise(F.slice(F.array(pose(1), pose(2), pose(3)), F.lit(1), n)).alias("poses"),
         F.when(failed, "run failed").alias("error"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
 
@@ -102,7 +103,8 @@ PROPERTY_COLUMNS = [r.column for r in DEFAULT_RULES] + ["unknown_property"]
 
 def properties(spark: SparkSession, sf: str) -> DataFrame:
     cells = [F.expr(_cell(k)).alias(r.column) for k, r in enumerate(DEFAULT_RULES)]
-    return table(spark, sf, "part").select(F.concat(F.lit("L"), "p_partkey").alias("ligand"), *cells, F.lit("1").alias("unknown_property"))
+    # six columns become 121: computed on all cores
+    return spread(table(spark, sf, "part").select("p_partkey")).select(F.concat(F.lit("L"), "p_partkey").alias("ligand"), *cells, F.lit("1").alias("unknown_property"))
 
 
 def _quoted(text: str) -> str:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.functions.text import general_number
+from assayloom.session import spread
 
 # Category order, flag scores, aliases, columns that are never properties.
 CATEGORIES = ("Fisikokimia", "Absorpsi", "Distribusi", "Metabolisme", "Ekskresi", "Toksisitas")
@@ -276,7 +277,7 @@ def classify_rules(wide: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, key
     columns = [c for c in wide.columns if c not in skip]
     # exploding an array of cells compiles where an unpivot of over a hundred columns does not
     cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("raw"))
-    cells = wide.select(key, F.inline(F.array(*[cell(c) for c in columns])))
+    cells = spread(wide.select(key, *[f"`{c}`" for c in columns])).select(key, F.inline(F.array(*[cell(c) for c in columns])))
     return classify_cells(cells, rules).select(
         key, "column", "raw", "value", "flag", "flag_label", "category", "category_ord", "label", "rule_type", "rule_ord")
 
