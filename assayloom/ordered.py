@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayloom.session import cut
+
 BLOCK_ROWS = 2_000_000
 MAX_BLOCKS = 10_000
 
@@ -47,6 +49,7 @@ def with_blocks(df: DataFrame, order: Sequence[str], block_rows: int | None = No
     rows = df.count() if rows is None else rows
     if rows <= limit:
         return None
+    df = cut(df)        # limits, totals and rows all read it
     blocks = min(MAX_BLOCKS, max(2, math.ceil(rows / limit)))
     splits = _splits(df, order[0], blocks)
     out = _bucket(df, order[0], splits, "_b1")
