@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayloom.llm import chat, hashing, language, mixing, packing, quality, topk
+from assayloom.llm import chat, hashing, language, mixing, ngram, packing, quality, suffixes, topk
 from assayloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -36,6 +36,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -46,6 +51,11 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents")).drop("source")
