@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import fold, slices
+from assayloom.llm.common import fold, quoted, slices
 
 DIMENSIONS = 1_024
 GRAM = 3
@@ -125,8 +125,8 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
     return [r[0] for r in table], np.array([r[1] for r in table], np.float64).reshape(len(table), dimensions)
 
 
-def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``, the cosine with the language's prototype, 0 where it is below.
+def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the language and its score, the cosine with the language's prototype, 0 where it is below.
 
     Null texts, texts without a letter, and all texts where nothing was learned are ``und`` with score 0.
     """
@@ -143,26 +143,26 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> D
             letters = np.array([any(letters_of()[ord(c)] for c in set(t or "".lower())) for t in texts], bool)
             best = cosine.argmax(1)
             known = letters & bool(languages)
-            pred = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            score = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
-            columns = [c for c, f in zip(batch.columns, batch.schema) if f.name != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], names)
+            found = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+            value = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(value)], names)
 
     kept = [f"_c{k}" for k in range(len(docs.columns))]
-    names = [*kept, "lang_pred", "score"]
-    inner = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)], F.col("text").alias("_text"))
-    schema = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, kept)]).schema.add("lang_pred", "string").add("score", "double")
-    out = inner.mapInArrow(run, schema)
-    taken = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return out.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept) if c in taken], "lang_pred", "score")
+    names = [*kept, "_pred", "_score"]
+    inner = docs.select(*[quoted(c).alias(k) for c, k in zip(docs.columns, kept)])
+    schema = inner.schema.add("_pred", "string").add("_score", "double")
+    out = inner.withColumn("_text", F.col(kept[docs.columns.index("text")])).mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip([*docs.columns, pred, score], names)])
 
 
-def identify(docs: DataFrame, keep: list[str], parts: int = 3, held: int = 1, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Learn from the documents outside the held-out fold, then predict all: ``keep``, held_out, lang_pred, score.
+def identify(docs: DataFrame, keep: list[str], parts: int = 3, held: int = 1, dimensions: int = DIMENSIONS, pred: str = "lang_pred",
+             score: str = "score", held_out: str = "held_out") -> DataFrame:
+    """Learn from the documents outside the held-out fold, then predict all: ``keep``, whether held out, language, score.
 
     Texts that repeat count as often as they stand there. Only text and lang are learned from; the language of a row is never an input
     of its prediction.
     """
     languages, prototypes = learn_prototypes(docs.where(fold("doc_id", parts) != held), dimensions)
-    return classify(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), languages, prototypes).select(
-        *keep, (fold("doc_id", parts) == held).alias("held_out"), "lang_pred", "score")
+    wanted = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, "doc_id", "text"])])
+    out = classify(wanted, languages, prototypes, pred, score)
+    return out.select(*[quoted(c) for c in keep], (fold("doc_id", parts) == held).alias(held_out), pred, score)

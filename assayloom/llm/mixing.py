@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayloom.llm.common import WORD
+from assayloom.llm.common import WORD, quoted
 from assayloom.session import cut
 
 ROWS_PER_BLOCK = 50_000
@@ -109,7 +109,7 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3,
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, seed: str = "mix", per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """The mix itself: all columns of the documents taken, one row per copy, sorted over all partitions by virtual finish time."""
-    out = _schedule(docs, docs.columns, weights, cap, seed, per_block).where("copies > 0")
+    rows = docs.select("doc_id", "source", "text", F.struct(*[quoted(c) for c in docs.columns]).alias("_row"))
+    out = _schedule(rows, ["doc_id", "source", "_row"], weights, cap, seed, per_block).where("copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    out = out.withColumn("_t", _finish(F.col("_copy"))).sort("_t", "_src", "_key")
-    return out.select(*docs.columns)
+    return out.withColumn("_t", _finish(F.col("_copy"))).sort("_t", "_src", "_key").select("_row.*")

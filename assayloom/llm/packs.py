@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import NO_ID
+from assayloom.llm.common import NO_ID, quoted
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -27,7 +27,7 @@ def in_packs(docs: DataFrame, size: int, pack_bytes: int, keep: list[str] = [])
     packs = max(1, math.ceil(size / pack_bytes))
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("int").alias("_pack"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").alias("_text"),
-                       *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+                       *[quoted(c).alias(f"c{k}") for k, c in enumerate(keep)])
 
 
 def by_id(table: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayloom.llm import chat, hashing, language, mixing, ngram, packing, quality, suffixes, topk
+from assayloom.llm import chat, hashing, jaccard, language, mixing, ngram, packing, quality, suffixes, topk
 from assayloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(read_table(spark, sf_dir, "documents")).drop("text_key", "group")
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"), ["doc_id"])
