@@ -19,6 +19,11 @@ CONTROL = "|".join(re.escape(x) for x in (START, END, *TURN_MARKS))
 _SPLIT = "\n(?=" + "|".join(re.escape(x) for x in TURN_MARKS) + ")"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, rf"(\\*(?:{CONTROL}))", r"\\$1")
 
@@ -79,11 +84,14 @@ def read_turns(formatted: Column) -> Column:
         for name, m in MARKS.items():
             out = out.when(mark == m, name)
         return out.when(mark.startswith(OTHER), _role_in(F.substr(mark, F.lit(len(OTHER) + 1))))
-    starts = F.filter(F.transform(split, lambda x, i: F.when(x["mark"] != NEXT, i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(split)))
-    blocks = F.zip_with(starts, ends, lambda a, b: F.transform(
-        F.slice(split, a + 1, b - a), lambda x: F.struct(named(F.get(split, a)["mark"]).alias("role"), text(x).alias("text"))))
-    return F.flatten(blocks)
+
+    def in_blocks(turns: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(turns)))
+        return F.flatten(F.zip_with(starts, ends, lambda a, b: _let(named(F.get(turns, a)["mark"]), lambda r: F.transform(
+            F.slice(turns, a + 1, b - a), lambda x: F.struct(r.alias("role"), text(x).alias("text"))))))
+
+    begins = lambda turns: F.filter(F.transform(turns, lambda x, i: F.when(x["mark"] != NEXT, i)), lambda i: i.isNotNull())
+    return _let(split, lambda turns: _let(begins(turns), lambda starts: in_blocks(turns, starts)))
 
 
 def loss_text(pieces: Column) -> Column:
