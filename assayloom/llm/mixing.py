@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayloom.llm.common import WORD, quoted
 from assayloom.session import cut
 
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK = 10_000
 
 
 def word_count(text: str | Column) -> Column:
