@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayloom.functions.text import DEFAULT_CLASS, infer_class, infer_series, sample_key
 from assayloom.functions.udfs import p_chi2, p_f, p_norm_two_sided, p_rank_sum_exact, p_t
-from assayloom.ordered import matrix_cells, quantiles, running
+from assayloom.ordered import matrix_cells, quantiles, running, with_blocks
 
 _LONG = ["sample", "feature", "value"]
 
@@ -97,7 +97,7 @@ def scale_features(long: DataFrame, method: str = "auto") -> DataFrame:
     return cells.select("sample", "feature", ((F.col("value") - F.col("mean")) / divisor).alias("value"))
 
 
-def normalize_samples(long: DataFrame, method: str = "total", block_rows: int | None = None) -> DataFrame:
+def normalize_samples(long: DataFrame, method: str = "total", blocks: int | None = None) -> DataFrame:
     """Per-sample scale: sum 100, largest 100, probabilistic quotient, or none. Absent cells stay absent."""
     if method == "none":
         return long
@@ -113,8 +113,8 @@ def normalize_samples(long: DataFrame, method: str = "total", block_rows: int |
     counts = out.groupBy("feature").agg(F.count(F.lit(1)).alias("m")).withColumn("n", _n_samples(long))
     zeros = counts.select("feature", F.lit(0.0).alias("value"), (F.col("n") - F.col("m")).cast("long").alias("w")).where("w > 0")
     weighted = out.select("feature", "value", F.lit(1).cast("long").alias("w")).unionByName(zeros)
-    ref = quantiles(weighted, ["feature"], "value", {"ref": 0.5}, block_rows, weight="w").where("ref > 0")
-    quotient = quantiles(out.where("value > 0").join(ref, "feature").withColumn("q", F.col("value") / F.col("ref")), ["sample"], "q", {"factor": 0.5}, block_rows)
+    ref = quantiles(weighted, ["feature"], "value", {"ref": 0.5}, blocks, weight="w").where("ref > 0")
+    quotient = quantiles(out.where("value > 0").join(ref, "feature").withColumn("q", F.col("value") / F.col("ref")), ["sample"], "q", {"factor": 0.5}, blocks)
     return (out.join(quotient, "sample", "left").withColumn("value", F.col("value") / F.coalesce("factor", F.lit(1.0))).select(*long.columns))
 
 
@@ -255,7 +255,7 @@ def univariate_parametric(long: DataFrame, labels: DataFrame, raw: DataFrame | N
     return out.withColumn("p_anova", F.when(F.col("f").isNotNull(), p_f("f", F.lit(float(d1)), F.lit(float(d2)))))
 
 
-def univariate_rank(long: DataFrame, labels: DataFrame, block_rows: int | None = None) -> DataFrame:
+def univariate_rank(long: DataFrame, labels: DataFrame, blocks: int | None = None) -> DataFrame:
     """Two classes: rank-sum U and its two-sided p; more: Kruskal-Wallis H. Average ranks, ties corrected.
 
     Values are counted per feature and class first; ranks then run over distinct values only.
@@ -271,7 +271,7 @@ def univariate_rank(long: DataFrame, labels: DataFrame, block_rows: int | None =
     cells = here.unionByName(zeros)
     per = [F.sum(F.when(F.col("label") == c, F.col("c")).otherwise(0)).alias(f"c{k}") for k, (c, _) in enumerate(classes)]
     values = cells.groupBy("feature", "value").agg(F.sum("c").alias("ties"), *per)
-    ranked = running(values, ["feature"], ["value"], {"cum": ("sum", "ties")}, block_rows=block_rows)
+    ranked = running(values, ["feature"], ["value"], {"cum": ("sum", "ties")}, blocks=blocks)
     rank = F.col("cum") - (F.col("ties") - 1) / 2.0
     t = F.col("ties").cast("double")
     sums = ranked.groupBy("feature").agg(F.sum(t * t * t - t).alias("ties"), *[F.sum(rank * F.col(f"c{k}")).alias(f"r{k}") for k in range(len(classes))])
@@ -294,18 +294,18 @@ def univariate_rank(long: DataFrame, labels: DataFrame, block_rows: int | None =
     return out.select("feature", "h").withColumn("p_kruskal", F.when(F.col("h").isNotNull(), p_chi2("h", F.lit(float(len(classes) - 1)))))
 
 
-def benjamini_hochberg(df: DataFrame, p_col: str, keys: list[str] = (), out: str = "q", block_rows: int | None = None) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p_col: str, keys: list[str] = (), out: str = "q", blocks: int | None = None) -> DataFrame:
     """False-discovery q values per test family; missing p values are kept and not counted."""
     keys = list(keys)
     valid = df.where(F.col(p_col).isNotNull() & ~F.isnan(p_col))
     counts = valid.groupBy(*keys, p_col).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counts, keys, [p_col], {"_rank": ("sum", "_c")}, block_rows=block_rows)
+    ranked = running(with_blocks(counts, [p_col], blocks), keys, [p_col], {"_rank": ("sum", "_c")})
     if keys:
         ranked = ranked.join(valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys)
     else:
         ranked = ranked.withColumn("_m", valid.agg(F.count(F.lit(1)).alias("m")).scalar())
     raw = ranked.withColumn("_raw", F.col(p_col) * F.col("_m") / F.col("_rank"))
-    q = running(raw, keys, [p_col], {"_q": ("min", "_raw")}, reverse=True, block_rows=block_rows)
+    q = running(raw, keys, [p_col], {"_q": ("min", "_raw")}, reverse=True)
     q = q.select(*keys, p_col, F.least(F.greatest("_q", F.lit(0.0)), F.lit(1.0)).alias(out))
     return df.join(q, [*keys, p_col], "left")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayloom.functions.text import NATIVE_GROUP, NO_GROUP, compound_key, group_label
 from assayloom.ordered import matrix_cells, numbered, quantiles
-from assayloom.rules import CATEGORIES, PHYSICOCHEMICAL, flag_score
+from assayloom.rules import CATEGORIES, DEFAULT_RULES, PHYSICOCHEMICAL, Rule, flag_score, wide_category_scores
 
 
 def _groups(groups: DataFrame, key: str = "ligand") -> DataFrame:
@@ -84,9 +84,12 @@ def affinities_by_group(stats: DataFrame, groups: DataFrame, include_native: boo
 
 
 def native_affinity(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    """Best value of the native reference per receptor."""
-    native = groups.where(F.col("group") == NATIVE_GROUP).select("ligand")
-    return (stats.join(native, "ligand", "left_semi").where(F.col("affinity_best").isNotNull())
+    """Best value of the native reference per receptor.
+
+    An inner join stays above the aggregation of the runs, so callers that join the same statistics read one exchange.
+    """
+    native = groups.where(F.col("group") == NATIVE_GROUP).select("ligand").distinct()
+    return (stats.join(native, "ligand").where(F.col("affinity_best").isNotNull())
             .groupBy("receptor").agg(F.min("affinity_best").alias("native_affinity")))
 
 
@@ -106,14 +109,17 @@ def add_delta_vs_native(stats: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def summarize_docking_by_group(stats: DataFrame, groups: DataFrame, digits: int = 3) -> DataFrame:
-    """Per receptor and group: n, mean, deviation, best, native value and percent better than native."""
+    """Per receptor and group: n, mean, deviation, best, native value and percent better than native.
+
+    Ties of ``digits`` are decided on six digits more, so the order of summation does not show.
+    """
+    to = lambda c: F.round(F.round(c, digits + 6), digits)
     rows = affinities_by_group(stats, groups, include_native=True)
     native = native_affinity(stats, groups)
     per_group = rows.join(native, "receptor", "left").groupBy("receptor", "group").agg(
         F.count(F.lit(1)).alias("n_ligands"),
-        F.round(F.avg("affinity_best"), digits).alias("affinity_mean"),
-        F.round(F.stddev_pop("affinity_best"), digits).alias("affinity_std"),
-        F.round(F.min("affinity_best"), digits).alias("affinity_best"),
+        to(F.avg("affinity_best")).alias("affinity_mean"), to(F.stddev_pop("affinity_best")).alias("affinity_std"),
+        to(F.min("affinity_best")).alias("affinity_best"),
         F.min("native_affinity").alias("native_affinity"),
         (100.0 * F.avg(F.when(F.col("affinity_best") <= F.col("native_affinity"), 1.0)
                        .when(F.col("native_affinity").isNotNull(), 0.0))).alias("_better"))
@@ -188,7 +194,9 @@ def flag_shares(flags: DataFrame, category: str | None = None) -> DataFrame:
 
 
 def category_scores(flags: DataFrame) -> DataFrame:
-    """Mean score per ligand and category, the physicochemical one left out."""
+    """Mean score per ligand and category, the physicochemical one left out; from flags, or straight from the wide property table."""
+    if "flag" not in flags.columns:
+        return wide_category_scores(flags)
     rows = _scored(flags, None).where(F.col("category") != PHYSICOCHEMICAL)
     return rows.groupBy("ligand", "category").agg(F.avg(flag_score(F.col("flag"))).alias("score"))
 
@@ -204,10 +212,16 @@ def group_flag_matrix(flags: DataFrame, groups: DataFrame) -> DataFrame:
     return category_scores_by_group(flags, groups).groupBy("group").pivot("category", cats).agg(F.first("score"))
 
 
-def property_distribution(df: DataFrame, groups: DataFrame, props: list[str], block_rows: int | None = None) -> DataFrame:
+def group_parameter_matrix(flags: DataFrame, groups: DataFrame, category: str, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+    """Group by parameter score matrix of one category, columns in report order."""
+    labels = [r.label for r in rules if r.category == category and r.rule_type != "descriptive"]
+    return flag_scores_by_group(flags, groups, category).groupBy("group").pivot("label", labels).agg(F.first("score"))
+
+
+def property_distribution(df: DataFrame, groups: DataFrame, props: list[str], blocks: int | None = None) -> DataFrame:
     """Box numbers per group and property: quartiles, whiskers within 1.5 interquartile ranges, mean and count."""
     long = with_group(df, groups).select("group", *props).unpivot(["group"], props, "property", "value").where(F.col("value").isNotNull())
-    q = quantiles(long, ["group", "property"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, block_rows)
+    q = quantiles(long, ["group", "property"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, blocks)
     spread = F.col("q3") - F.col("q1")
     inside_lo, inside_hi = F.col("value") >= F.col("q1") - 1.5 * spread, F.col("value") <= F.col("q3") + 1.5 * spread
     return (long.join(q, ["group", "property"]).groupBy("group", "property").agg(
@@ -256,12 +270,16 @@ def group_by_key(ligands: DataFrame) -> DataFrame:
 
 
 def describe_duplicates(ligands: DataFrame, limit: int = 5) -> DataFrame:
-    """The first few compounds given more than once, one row per group with its member count."""
+    """The first few compounds given more than once, one row per group with its member count.
+
+    ``n_more`` tells how many such compounds there are beyond those shown.
+    """
     keyed = with_key(ligands)
-    first = (keyed.groupBy("key").agg(F.min("ord").alias("first_ord"), F.min_by("name", "ord").alias("first_name"),
-                                      F.count(F.lit(1)).alias("n_members"))
-             .where("n_members > 1").orderBy("first_ord").limit(limit))
-    return (keyed.join(first, "key").groupBy("first_ord", F.col("first_name").alias("name"),
+    several = (keyed.groupBy("key").agg(F.min("ord").alias("first_ord"), F.min_by("name", "ord").alias("first_name"),
+                                        F.count(F.lit(1)).alias("n_members")).where("n_members > 1"))
+    first = several.orderBy("first_ord").limit(limit)
+    beyond = several.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("n")).scalar()
+    return (keyed.join(first, "key").withColumn("n_more", beyond).groupBy("first_ord", "n_more", F.col("first_name").alias("name"),
                                             F.coalesce(F.nullif("group", F.lit("")), F.lit(NO_GROUP.lower())).alias("group"))
             .agg(F.count(F.lit(1)).alias("n_members")))
 
@@ -361,14 +379,14 @@ def rank_affinity(stats: DataFrame, groups: DataFrame, top_n: int | None = None)
     return rows if top_n is None else rows.limit(top_n)
 
 
-def paginate(df: DataFrame, order: list[str], max_items: int, block_rows: int | None = None) -> DataFrame:
+def paginate(df: DataFrame, order: list[str], max_items: int, blocks: int | None = None) -> DataFrame:
     """Balanced pages along numeric order columns; pages differ by at most one row, larger pages first."""
     n = df.count()
     pages = max(1, -(-n // max_items))
     small, extra = divmod(n, pages)
     at, head = F.col("position") - 1, extra * (small + 1)
     page = F.when(at < head, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - head) / max(small, 1))) + 1
-    ranked = numbered(df, [], order, "position", block_rows, rows=n)
+    ranked = numbered(df, [], order, "position", blocks)
     return ranked.withColumns({"n_pages": F.lit(pages).cast("long"), "page": page.cast("long")})
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayloom.functions.text import finite_or_null
-from assayloom.ordered import matrix_cells, numbered, quantiles, running
+from assayloom.ordered import matrix_cells, numbered, quantiles, running, with_blocks, without_blocks
 from assayloom.session import cut
 
 GRID_BLOCK = 1 << 17
@@ -35,17 +35,17 @@ def clean_signal(points: DataFrame) -> DataFrame:
     return rows.groupBy("sample", "rt").agg(F.min_by("y", "ord").alias("y"))
 
 
-def _steps(points: DataFrame, order: list[str], block_rows: int | None) -> DataFrame:
-    return running(points, ["sample"], order, {"_before": ("prev", "rt")}, block_rows=block_rows).withColumn("step", F.col("rt") - F.col("_before"))
+def _steps(points: DataFrame, order: list[str], blocks: int | None) -> DataFrame:
+    return running(points, ["sample"], order, {"_before": ("prev", "rt")}, blocks=blocks).withColumn("step", F.col("rt") - F.col("_before"))
 
 
-def scan_interval(points: DataFrame, block_rows: int | None = None) -> DataFrame:
+def scan_interval(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """Median distance of neighbouring times per sample; 0 for a single point."""
-    med = quantiles(_steps(points, ["rt"], block_rows), ["sample"], "step", {"scan_interval": 0.5}, block_rows)
+    med = quantiles(_steps(points, ["rt"], blocks), ["sample"], "step", {"scan_interval": 0.5}, blocks)
     return points.select("sample").distinct().join(med, "sample", "left").fillna(0.0, ["scan_interval"])
 
 
-def rt_factor(points: DataFrame, unit: str = "auto", hints: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+def rt_factor(points: DataFrame, unit: str = "auto", hints: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """Factor to minutes per sample.
 
     ``hints`` may give ``hint`` (unit word of the header), ``event_msec`` (recorded scan interval) and ``prefer`` (a factor).
@@ -53,7 +53,7 @@ def rt_factor(points: DataFrame, unit: str = "auto", hints: DataFrame | None = N
     if unit != "auto":
         return points.select("sample").distinct().withColumn("factor", F.lit(UNIT_FACTORS[unit]))
     ok = points.withColumn("rt", finite_or_null("rt")).where("rt is not null")
-    med = quantiles(_steps(ok, ["rt", "ord"], block_rows), ["sample"], "step", {"step": 0.5}, block_rows)
+    med = quantiles(_steps(ok, ["rt", "ord"], blocks), ["sample"], "step", {"step": 0.5}, blocks)
     shape = ok.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.min("rt").alias("lo"), F.max("rt").alias("hi")).join(med, "sample", "left")
     given = hints.columns if hints is not None else []
     shape = shape.join(hints, "sample", "left") if hints is not None else shape
@@ -74,9 +74,9 @@ def rt_factor(points: DataFrame, unit: str = "auto", hints: DataFrame | None = N
     return shape.select("sample", F.coalesce(timed, first, F.lit(1.0)).alias("factor"))
 
 
-def normalize_rt(points: DataFrame, unit: str = "auto", hints: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+def normalize_rt(points: DataFrame, unit: str = "auto", hints: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """Times in minutes."""
-    return points.join(rt_factor(points, unit, hints, block_rows), "sample").withColumn("rt", F.col("rt") * F.col("factor")).drop("factor")
+    return points.join(rt_factor(points, unit, hints, blocks), "sample").withColumn("rt", F.col("rt") * F.col("factor")).drop("factor")
 
 
 # ---- common grid -------------------------------------------------------------------------------------------
@@ -97,7 +97,7 @@ class Grid:
         return F.lit(self.low) + i * F.lit(self.step)
 
 
-def common_grid(points: DataFrame, rt_range: tuple[float, float] | None = None, block_rows: int | None = None) -> Grid:
+def common_grid(points: DataFrame, rt_range: tuple[float, float] | None = None, blocks: int | None = None) -> Grid:
     """Shared part of all runs, spaced by the median scan interval; three numbers reach the driver."""
     several = points.groupBy("sample").agg(F.min("rt").alias("lo"), F.max("rt").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ends = several.agg(F.max("lo").alias("low"), F.min("hi").alias("high")).first()
@@ -108,14 +108,14 @@ def common_grid(points: DataFrame, rt_range: tuple[float, float] | None = None,
         low, high = max(low, rt_range[0]), min(high, rt_range[1])
     if high <= low:
         raise ValueError("the time ranges of the samples do not overlap")
-    gaps = scan_interval(points, block_rows).join(several, "sample", "left_semi")
+    gaps = scan_interval(points, blocks).join(several, "sample", "left_semi")
     step = quantiles(gaps, [], "scan_interval", {"step": 0.5}).first()["step"]
     return Grid(low, step, math.ceil((high + step * 0.5 - low) / step))
 
 
-def resample(points: DataFrame, grid: Grid, block_rows: int | None = None) -> DataFrame:
+def resample(points: DataFrame, grid: Grid, blocks: int | None = None) -> DataFrame:
     """Linear interpolation on the grid, ends held; every segment between two points fills its own grid points."""
-    order = running(points, ["sample"], ["rt"], {"_rt2": ("prev", "rt"), "_y2": ("prev", "y")}, reverse=True, block_rows=block_rows)
+    order = running(points, ["sample"], ["rt"], {"_rt2": ("prev", "rt"), "_y2": ("prev", "y")}, reverse=True, blocks=blocks)
     ends = points.groupBy("sample").agg(F.min("rt").alias("_lo"))
     seg = order.join(ends, "sample")
     index = lambda x: (x - F.lit(grid.low)) / F.lit(grid.step)
@@ -188,14 +188,14 @@ def _smooth_ends(mine: DataFrame, weight: np.ndarray, w: int, h: int) -> DataFra
     return end(F.lit(0), list(range(h))).unionByName(end(F.col("n") - w, list(range(h + 1, w))))
 
 
-def noise(signal: DataFrame, block_rows: int | None = None) -> DataFrame:
+def noise(signal: DataFrame, blocks: int | None = None) -> DataFrame:
     """Robust deviation of the signal around its smoothed form; 0 under 15 points."""
     smoothed = smooth(signal, 11, 2).select("sample", "i", F.col("y").alias("_s"))
     # read by two medians in a row, so the residual is kept rather than recomputed
     rest = cut(signal.join(smoothed, ["sample", "i"]).select("sample", (F.col("y") - F.col("_s")).alias("r")))
-    mid = quantiles(rest, ["sample"], "r", {"m": 0.5}, block_rows)
+    mid = quantiles(rest, ["sample"], "r", {"m": 0.5}, blocks)
     dev = rest.join(mid, "sample").withColumn("d", F.abs(F.col("r") - F.col("m")))
-    mad = quantiles(dev, ["sample"], "d", {"mad": 0.5}, block_rows)
+    mad = quantiles(dev, ["sample"], "d", {"mad": 0.5}, blocks)
     size = signal.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
     return size.join(mad, "sample", "left").select("sample", F.when(F.col("n") < 15, 0.0).otherwise(1.4826 * F.col("mad")).alias("noise"))
 
@@ -402,18 +402,18 @@ def find_peaks(y: np.ndarray, threshold: float, min_width: float) -> list[tuple[
 
 
 def detect_peaks(signal: DataFrame, step: float, min_snr: float = 5.0, min_prominence: float = 0.005, min_width: float = 0.01,
-                 block: int = GRID_BLOCK, block_rows: int | None = None) -> DataFrame:
+                 block: int = GRID_BLOCK, blocks: int | None = None) -> DataFrame:
     """Peaks of corrected signals: rt, height, area, bounds, signal-to-noise and area percent.
 
     A point at the sample's lowest value ends every search for a peak's foot. The signal is cut there into independent stretches,
     which are packed into groups of about one block.
     """
     kind = dict(signal.dtypes)["sample"]
-    limits = (signal.groupBy("sample").agg(F.max("y").alias("top"), F.min("y").alias("low"), F.count(F.lit(1)).alias("n")).join(noise(signal, block_rows), "sample")
+    limits = (signal.groupBy("sample").agg(F.max("y").alias("top"), F.min("y").alias("low"), F.count(F.lit(1)).alias("n")).join(noise(signal, blocks), "sample")
               .where("n >= 5 and top > 0").withColumn("threshold", F.greatest(min_snr * F.col("noise"), min_prominence * F.col("top"), F.lit(1e-12))))
     rows = signal.join(limits.select("sample", "low", "noise", "threshold"), "sample").withColumn("_zero", F.when(F.col("y") == F.col("low"), F.col("i")))
-    rows = running(rows, ["sample"], ["i"], {"_start": ("fill", "_zero")}, block_rows=block_rows).withColumn("_g", F.expr(f"coalesce(_start, 0) div {block}"))
-    rows = running(rows, ["sample"], ["i"], {"_gp": ("prev", "_g")}, block_rows=block_rows)
+    rows = running(with_blocks(rows, ["i"], blocks), ["sample"], ["i"], {"_start": ("fill", "_zero")}).withColumn("_g", F.expr(f"coalesce(_start, 0) div {block}"))
+    rows = without_blocks(running(rows, ["sample"], ["i"], {"_gp": ("prev", "_g")}))
     both = F.when((F.col("_gp") != F.col("_g")), F.array("_gp", "_g")).otherwise(F.array("_g"))
     rows = rows.withColumn("_grp", F.explode(both)).select("sample", "_grp", "i", "rt", "y", "noise", "threshold")
     wide = max(1.0, min_width / step)
@@ -440,9 +440,9 @@ def peak_summary(peaks: DataFrame) -> DataFrame:
     return peaks.groupBy("sample").agg(F.count(F.lit(1)).alias("n_peaks"), F.sum("area").alias("total_area"))
 
 
-def number_peaks(peaks: DataFrame, block_rows: int | None = None) -> DataFrame:
+def number_peaks(peaks: DataFrame, blocks: int | None = None) -> DataFrame:
     """1-based peak number by time per sample."""
-    return numbered(peaks, ["sample"], ["rt", "ord"], "peak", block_rows)
+    return numbered(peaks, ["sample"], ["rt", "ord"], "peak", blocks)
 
 
 # ---- clusters across samples -------------------------------------------------------------------------------
@@ -461,7 +461,7 @@ def _next_starts(rt: np.ndarray, sample: np.ndarray, tol: float) -> np.ndarray:
     return np.minimum(np.minimum(first, span), n)
 
 
-def cluster_peaks(peaks: DataFrame, tol: float, block: int = 200_000, block_rows: int | None = None) -> DataFrame:
+def cluster_peaks(peaks: DataFrame, tol: float, block: int = 200_000, blocks: int | None = None) -> DataFrame:
     """Add ``cluster``: the sweep by time that starts anew at a gap, a too wide span or a repeated sample.
 
     Where a cluster ends depends only on where it starts, and it holds at most one peak per sample. So each block of the sorted
@@ -470,7 +470,7 @@ def cluster_peaks(peaks: DataFrame, tol: float, block: int = 200_000, block_rows
     """
     spark = peaks.sparkSession
     codes = numbered(peaks.groupBy("sample").agg(F.min("ord").alias("_o")), [], ["_o"], "_code").select("sample", "_code")
-    rows = cut(numbered(peaks.join(codes, "sample"), [], ["rt", "ord"], "_g", block_rows).withColumn("_g", F.col("_g") - 1))
+    rows = cut(numbered(peaks.join(codes, "sample"), [], ["rt", "ord"], "_g", blocks).withColumn("_g", F.col("_g") - 1))
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample").alias("s")).first()
     n, width = shape["n"], shape["s"]
     block = max(block, 4 * width)
@@ -493,14 +493,18 @@ def cluster_peaks(peaks: DataFrame, tol: float, block: int = 200_000, block_rows
     if n <= block:
         entry = spark.createDataFrame([(0, 0)], "blk long, entry long")
     else:
-        table = cut(copies.groupBy("_blk").applyInPandas(exits, "blk long, entry long, leave long"))
-        # a block whose entries all leave at one place fixes the next entry by itself; the others wait for their own entry
-        known = table.groupBy("blk").agg(F.min("leave").alias("a"), F.max("leave").alias("b")).where("a = b").select((F.col("blk") + 1).alias("blk"), F.col("a").alias("entry"))
-        entry = cut(known.unionByName(spark.createDataFrame([(0, 0)], "blk long, entry long")))
-        blocks = -(-n // block)
-        while entry.where(F.col("blk") < blocks).count() < blocks:
-            step = entry.join(table, ["blk", "entry"]).select((F.col("blk") + 1).alias("blk"), F.col("leave").alias("entry"))
-            entry = cut(entry.unionByName(step).distinct())
+        # tables of one block, two, four and so on: where a sweep that enters a block stands that many blocks later
+        parts = -(-n // block)
+        tables = [cut(copies.groupBy("_blk").applyInPandas(exits, "blk long, entry long, leave long"))]
+        while 1 << len(tables) < parts:
+            reach, last = 1 << (len(tables) - 1), tables[-1]
+            after = last.select((F.col("blk") - reach).alias("blk"), F.col("entry").alias("leave"), F.col("leave").alias("then"))
+            tables.append(cut(last.join(after, ["blk", "leave"]).select("blk", "entry", F.col("then").alias("leave"))))
+        # every block number is a sum of such reaches, so the entries of all blocks are known after as many joins
+        entry = spark.createDataFrame([(0, 0)], "blk long, entry long")
+        for k in reversed(range(len(tables))):
+            step = entry.join(tables[k], ["blk", "entry"]).select((F.col("blk") + (1 << k)).alias("blk"), F.col("leave").alias("entry")).where(F.col("blk") < parts)
+            entry = cut(entry.unionByName(step))
 
     def starts(pdf: pd.DataFrame) -> pd.DataFrame:
         first, size, nxt = prepared(pdf)
@@ -510,7 +514,7 @@ def cluster_peaks(peaks: DataFrame, tol: float, block: int = 200_000, block_rows
             at = int(nxt[at])
         return pd.DataFrame({"_g": found}, dtype="int64")
     marks = copies.join(entry.withColumnRenamed("blk", "_blk"), "_blk").groupBy("_blk").applyInPandas(starts, "_g long").withColumn("_s", F.col("_g"))
-    out = running(rows.join(marks, "_g", "left"), [], ["_g"], {"cluster": ("fill", "_s")}, block_rows=block_rows)
+    out = running(rows.join(marks, "_g", "left"), [], ["_g"], {"cluster": ("fill", "_s")}, blocks=blocks)
     return out.drop("_g", "_s", "_code")
 
 

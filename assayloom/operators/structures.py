@@ -68,11 +68,15 @@ def ligand_candidates(atoms: DataFrame) -> DataFrame:
 
 
 def native_ligands(atoms: DataFrame, digits: int = 3) -> DataFrame:
-    """Ligand residues with atom count, centre and longest bounding-box side; residues with a whole backbone belong to the chain."""
+    """Ligand residues with atom count, centre and longest bounding-box side; residues with a whole backbone belong to the chain.
+
+    Ties of ``digits`` are decided on six digits more, so the order of summation does not show.
+    """
+    to = lambda c: F.round(F.round(c, digits + 6), digits)
     side = lambda c: F.max(c) - F.min(c)
     is_ = lambda atom, element: F.bool_or((F.upper("atom") == atom) & (F.upper("element") == element))
     out = ligand_candidates(atoms).groupBy("structure", "chain", "resname", "resnum").agg(
-        F.count(F.lit(1)).alias("atom_count"), *[F.round(F.avg(c), digits).alias(f"center_{c}") for c in "xyz"],
+        F.count(F.lit(1)).alias("atom_count"), *[to(F.avg(c)).alias(f"center_{c}") for c in "xyz"],
         F.greatest(side("x"), side("y"), side("z")).alias("extent"), (is_("N", "N") & is_("CA", "C") & is_("C", "C")).alias("_chain"))
     label = F.concat("resname", F.lit("_"), "chain", F.col("resnum").cast("string"))
     return out.where(~F.col("_chain")).drop("_chain").withColumn("label", label)

@@ -1,64 +1,83 @@
 """Windows, ranks and exact quantiles that stay balanced when one key holds most of the rows.
 
-A plain window sends a whole key to one task. Here the order columns are first cut into value blocks of
-about ``BLOCK_ROWS`` rows. A block is a pure function of the row's values, so recomputing a lost partition gives the
-same block. Per-block totals are one small table whose running total is carried back to the rows of each block.
+A plain window sends a whole key to one task. Here the order columns are first cut into value blocks, a few per shuffle partition, by
+approximate quantiles from one pass. A value that fills a block by itself is cut again by the next order column, with limits taken from
+its own rows, and so on through all order columns. A block is a pure function of the row's values, so recomputing a lost
+partition gives the same block. Per-block totals are one small table whose running total is carried back to the rows of each block.
 
-Below ``BLOCK_ROWS`` rows in total the plain window is used: the size is counted, not guessed.
+All inputs take this one path, whatever their size. ``with_blocks`` can be called once for several windows along the same order.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayloom.session import cut
+BLOCKS_PER_PARTITION = 2
 
-BLOCK_ROWS = 2_000_000
-MAX_BLOCKS = 10_000
+_BLK = "_order_block"
 
-_BLK = "_blk"
 
+def _limits(quantiles: Sequence[float]) -> list[float]:
+    """Inner bucket limits; every quantile value also gets a bucket of its own."""
+    out = set()
+    for q in quantiles:
+        out.update((q, math.nextafter(q, math.inf)))
+    return sorted(x for x in out if math.isfinite(x))
 
-def _splits(df: DataFrame, col: str, blocks: int) -> list[float]:
-    """Bucket limits from approximate quantiles; every quantile value also gets a bucket of its own."""
-    probs = [k / blocks for k in range(1, blocks)]
-    found = df.select(F.percentile_approx(F.col(col).cast("double"), probs, 2 * blocks)).first()[0] or []
-    limits = set()
-    for q in found:
-        limits.update((q, math.nextafter(q, math.inf)))
-    return [-math.inf, *sorted(x for x in limits if math.isfinite(x)), math.inf]
 
+def _probs(blocks: int) -> list[float]:
+    return [k / blocks for k in range(1, blocks)]
 
-def _bucket(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    tmp = df.withColumn("_bucket_in", F.col(col).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_bucket_in", outputCol=out, handleInvalid="keep").transform(tmp).drop("_bucket_in")
 
+def _approx(col: str, blocks: int) -> Column:
+    """Limits of about equal blocks; nulls do not count."""
+    return F.percentile_approx(F.col(col).cast("double"), _probs(blocks), 4 * blocks)
 
-def with_blocks(df: DataFrame, order: Sequence[str], block_rows: int | None = None, rows: int | None = None) -> DataFrame | None:
-    """Add a block column that follows the numeric order columns, or ``None`` when the input is small enough.
 
-    A value that fills more than one block by itself is cut again by the second order column.
+def _bucket(df: DataFrame, col: str, limits: list[float], out: str) -> DataFrame:
+    """Number of the value's bucket: nulls sort first, NaN sorts last."""
+    tmp = df.withColumn("_bucket_in", F.col(col).cast("double") + 0.0)        # -0.0 and 0.0 are one value
+    cut_up = Bucketizer(splits=[-math.inf, *limits, math.inf], inputCol="_bucket_in", outputCol=out, handleInvalid="keep").transform(tmp)
+    return cut_up.withColumn(out, F.when(F.col("_bucket_in").isNull(), -1).otherwise(F.col(out).cast("int"))).drop("_bucket_in")
+
+
+def with_blocks(df: DataFrame, order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Add a block column that follows the numeric order columns; ``blocks`` is about how many there are.
+
+    One small job finds the limits, and one more for each further order column, where a value before it fills a block by itself.
     """
-    limit = block_rows or BLOCK_ROWS
-    rows = df.count() if rows is None else rows
-    if rows <= limit:
-        return None
-    df = cut(df)        # limits, totals and rows all read it
-    blocks = min(MAX_BLOCKS, max(2, math.ceil(rows / limit)))
-    splits = _splits(df, order[0], blocks)
-    out = _bucket(df, order[0], splits, "_b1")
-    if len(order) == 1:
-        return out.withColumn(_BLK, F.struct(F.col("_b1").cast("int").alias("a"), F.lit(0).alias("b"))).drop("_b1")
-    single = [float(k) for k in range(len(splits) - 1) if splits[k + 1] == math.nextafter(splits[k], math.inf)]
-    out = _bucket(out, order[1], _splits(df, order[1], blocks), "_b2")
-    inner = F.when(F.array_contains(F.lit(single), F.col("_b1")), F.col("_b2")).otherwise(0.0) if single else F.lit(0.0)
-    return out.withColumn(_BLK, F.struct(F.col("_b1").cast("int").alias("a"), inner.cast("int").alias("b"))).drop("_b1", "_b2")
+    blocks = blocks or max(2, BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = df.select(_approx(order[0], blocks)).first()[0] or []
+    out = _bucket(df, order[0], _limits(quantiles) or [0.0], "_b0")
+    # values that stand at several limits, and for how many blocks
+    hot = {(q,): n for q, n in Counter(quantiles).items() if n > 1}
+    level = 1
+    while hot and level < len(order):
+        most = max(hot.values()) + 1
+        names = [f"_h{k}" for k in range(level)]
+        table = df.sparkSession.createDataFrame([(*v, n + 1) for v, n in hot.items()], ", ".join(f"{n} double" for n in names) + ", _n int")
+        match = [F.col(c).cast("double").eqNullSafe(F.col(n)) for c, n in zip(order, names)]
+        found = df.join(F.broadcast(table), match).groupBy(*names, "_n").agg(_approx(order[level], most).alias("_q")).collect()
+        rows, deeper = [], {}
+        for r in found:
+            # every value was cut into as many parts as the largest: take as many limits as its share
+            values = [r["_q"][round(k * most / r["_n"]) - 1] for k in range(1, r["_n"])] if r["_q"] else []
+            prefix = tuple(r[n] for n in names)
+            rows.append((*prefix, _limits(values)))
+            deeper |= {(*prefix, q): n for q, n in Counter(values).items() if n > 1}
+        limits = df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", _l array<double>")
+        out = out.join(F.broadcast(limits), match, "left")
+        value = F.col(order[level]).cast("double")
+        inner = F.when(value.isNull(), -1).otherwise(F.size(F.filter("_l", lambda x: x <= value)))
+        out = out.withColumn(f"_b{level}", F.when(F.col("_l").isNotNull(), inner).otherwise(0)).drop("_l", *names)
+        hot, level = deeper, level + 1
+    parts = [f"_b{k}" for k in range(level)]
+    return out.withColumn(_BLK, F.struct(*parts)).drop(*parts)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -70,21 +89,22 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, str]],
-            reverse: bool = False, block_rows: int | None = None, rows: int | None = None) -> DataFrame:
+            reverse: bool = False, blocks: int | None = None) -> DataFrame:
     """Add running values along ``order`` inside ``keys``.
 
     ``specs`` maps an output name to ``(kind, column)``; kinds: ``sum`` and ``min`` (including the current row), ``fill`` (last
-    non-null so far), ``prev`` (value of the row before). ``reverse`` walks from the end; ``rows`` is the row count where it is known.
+    non-null so far), ``prev`` (value of the row before). ``reverse`` walks from the end. Rows that come from ``with_blocks`` along
+    the same order keep its blocks.
     """
     keys, order = list(keys), list(order)
-    blocked = with_blocks(df, order, block_rows, rows)
-    base = df if blocked is None else blocked
-    part = keys if blocked is None else keys + [_BLK]
+    given = _BLK in df.columns
+    blocked = df if given else with_blocks(df, order, blocks)
+    part = keys + [_BLK]
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     w = Window.partitionBy(*[F.col(c) for c in part]).orderBy(*direction)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
-    out = base
+    out = blocked
     local: dict[str, Column] = {}
     for name, (kind, col) in specs.items():
         c = F.col(col)
@@ -95,9 +115,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dic
             "prev": lambda: F.lag(c).over(w),
         }[kind]()
     out = out.withColumns(local)
-    if blocked is None:
-        return out.withColumnsRenamed({f"_w_{n}": n for n in specs})
-
     extreme = F.min_by if reverse else F.max_by
     ord_key = F.struct(*[F.col(c) for c in order])
     aggs = []
@@ -131,18 +148,22 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dic
             first = F.row_number().over(w) == 1
             final[name] = F.when(first, carry["v"]).otherwise(here)
     out = out.withColumns(final)
-    return out.drop(_BLK, *[f"_{p}_{n}" for p in "wc" for n in specs])
+    return out.drop(*[f"_{p}_{n}" for p in "wc" for n in specs], *([] if given else [_BLK]))
+
+
+def without_blocks(df: DataFrame) -> DataFrame:
+    return df.drop(_BLK)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn",
-             block_rows: int | None = None, rows: int | None = None) -> DataFrame:
+             blocks: int | None = None) -> DataFrame:
     """``row_number`` along numeric order columns."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running(one, keys, order, {out: ("sum", "_one")}, block_rows=block_rows, rows=rows).drop("_one")
+    return running(one, keys, order, {out: ("sum", "_one")}, blocks=blocks).drop("_one")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-              block_rows: int | None = None, weight: str | None = None) -> DataFrame:
+              blocks: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key; equal values are counted before any ordering.
 
     ``weight`` names a count column: the row stands for that many equal values.
@@ -150,11 +171,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     keys = list(keys)
     data = df.where(F.col(value).isNotNull())
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    limit = block_rows or BLOCK_ROWS
-    if data.count() <= limit:
-        return data.groupBy(*keys).agg(*[F.percentile(F.col(value), p, w).alias(n) for n, p in probs.items()])
     counts = data.groupBy(*keys, value).agg(F.sum(w).alias("_n"))
-    cum = running(counts, keys, [value], {"_cum": ("sum", "_n")}, block_rows=block_rows)
+    cum = running(counts, keys, [value], {"_cum": ("sum", "_n")}, blocks=blocks)
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     joined = _null_safe(cum, total, keys) if keys else cum.withColumn("_total", total.scalar())
     pos = {n: F.lit(p) * (F.col("_total") - 1) for n, p in probs.items()}
@@ -168,10 +186,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs])
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, block_rows: int | None = None) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None) -> DataFrame:
     """One row per key and distinct value: its count ``ties`` and mean rank ``avg_rank``."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    cum = running(counts, keys, [value], {"_cum": ("sum", "ties")}, block_rows=block_rows)
+    cum = running(counts, keys, [value], {"_cum": ("sum", "ties")}, blocks=blocks)
     return cum.withColumn("avg_rank", F.col("_cum") - (F.col("ties") - 1) / 2.0).drop("_cum")
 
 

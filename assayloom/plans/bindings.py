@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assayloom.functions.text import day_micros
 from assayloom.rules import DEFAULT_RULES
 from assayloom.session import spread
 
@@ -15,10 +16,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def day_micros(ts: str) -> Column:
-    """Microseconds since midnight, whatever the session time zone."""
-    seconds = F.date_part(F.lit("SECONDS"), F.col(ts))
-    return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1000000 + (seconds * 1000000).cast("long")
+def half_up(sql: str, digits: int = 3) -> str:
+    """SQL for a half rounded up in decimals, ties decided on six digits more."""
+    return f"CAST(round(CAST(round({sql}, {digits + 6}) AS DECIMAL(36, {digits + 6})), {digits}) AS DOUBLE)"
 
 
 # ---- docking runs, groups, compounds ---------------------------------------------------------------------

@@ -123,7 +123,7 @@ PROFILE = f"""{b.STATS}, {b.DESCRIPTORS}, {b.CATEGORY_SCORES}, {COMBINED},
 
 
 def combined(spark, sf):
-    return pr.combined_profile(stats(spark, sf), b.descriptors(spark, sf), flags(spark, sf))
+    return pr.combined_profile(stats(spark, sf), b.descriptors(spark, sf), b.properties(spark, sf))
 
 
 @query("J16_combined_profile", f"WITH {PROFILE} SELECT ligand, receptor, {', '.join(f'round({c}, 6) AS {c}' for c in CRITERIA)} FROM comb")
@@ -135,7 +135,7 @@ def _(spark, sf):
  m AS (SELECT coalesce(grp, 'Tanpa Grup') AS "group", {", ".join(f"avg({c}) AS {c}" for c in CRITERIA)} FROM best LEFT JOIN grps USING (ligand) LEFT JOIN lip USING (ligand) LEFT JOIN cw USING (ligand) GROUP BY 1)
  SELECT "group", {", ".join(f"round({c}, 6) AS {c}" for c in CRITERIA)} FROM m WHERE {" AND ".join(f"{c} IS NOT NULL" for c in CRITERIA)}""")
 def _(spark, sf):
-    df = pr.group_profile(stats(spark, sf), b.descriptors(spark, sf), flags(spark, sf), b.ligand_groups(spark, sf))
+    df = pr.group_profile(stats(spark, sf), b.descriptors(spark, sf), b.properties(spark, sf), b.ligand_groups(spark, sf))
     return df.select("group", *r6(*CRITERIA))
 
 

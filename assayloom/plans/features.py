@@ -12,17 +12,17 @@ from assayloom.plans.registry import query
 from assayloom.plans.screening import r6
 from assayloom.session import cut
 
-LONG = """feat AS (SELECT vec_id AS sample, i - 1 AS feature, abs(CAST(e AS DOUBLE)) AS value, label FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
- long AS (SELECT sample, feature, value FROM feat WHERE value >= 0.02),
+LONG = """feat AS (SELECT vec_id AS sample, i - 1 AS feature, greatest(CAST(e AS DOUBLE), 0) AS value, label FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+ long AS (SELECT sample, feature, value FROM feat),
  dense AS (SELECT s.sample, f.feature, coalesce(l.value, 0) AS value FROM (SELECT DISTINCT sample FROM long) s CROSS JOIN (SELECT DISTINCT feature FROM long) f LEFT JOIN long l USING (sample, feature)),
  lab2 AS (SELECT vec_id AS sample, CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS label FROM embeddings),
  lab5 AS (SELECT vec_id AS sample, 'C' || (label % 5) AS label FROM embeddings)"""
 
 
 def feature_long(spark, sf):
-    """Absolute embedding entries as peak-like features; small ones count as absent."""
+    """All embedding entries as peak-like features; negative ones are stored as 0."""
     rows = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("feature", "value"))
-    return rows.select("sample", F.col("feature").cast("long").alias("feature"), F.abs(F.col("value").cast("double")).alias("value")).where("value >= 0.02")
+    return rows.select("sample", F.col("feature").cast("long").alias("feature"), F.greatest(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
 
 
 def labels(spark, sf, k: int = 2):
@@ -44,7 +44,7 @@ for _method, _div in (("auto", "stddev_pop(value) OVER w"), ("pareto", "sqrt(std
 TOTAL = "tot AS (SELECT sample, feature, 100.0 * value / sum(value) OVER (PARTITION BY sample) AS value FROM dense)"
 
 
-@query("P19_normalize_total", f"WITH {LONG}, {TOTAL} SELECT sample, feature, round(value, 6) AS value FROM tot WHERE value > 0")
+@query("P19_normalize_total", f"WITH {LONG}, {TOTAL} SELECT sample, feature, round(value, 6) AS value FROM tot")
 def _(spark, sf):
     return op.normalize_samples(feature_long(spark, sf), "total").select("sample", "feature", *r6("value"))
 
@@ -56,12 +56,12 @@ def _(spark, sf):
 
 @query("P19_normalize_pqn", f"""WITH {LONG}, {TOTAL}, ref AS (SELECT feature, median(value) AS ref FROM tot GROUP BY 1),
  fac AS (SELECT sample, median(value / ref) AS f FROM tot JOIN ref USING (feature) WHERE value > 0 AND ref > 0 GROUP BY 1)
- SELECT sample, feature, round(value / coalesce(f, 1), 6) AS value FROM tot LEFT JOIN fac USING (sample) WHERE value > 0""")
+ SELECT sample, feature, round(value / coalesce(f, 1), 6) AS value FROM tot LEFT JOIN fac USING (sample)""")
 def _(spark, sf):
     return op.normalize_samples(feature_long(spark, sf), "pqn").select("sample", "feature", *r6("value"))
 
 
-@query("P20_transform_log", f"WITH {LONG} SELECT sample, feature, round(log10(value + (SELECT min(value) / 2 FROM long)), 6) AS value FROM dense")
+@query("P20_transform_log", f"WITH {LONG} SELECT sample, feature, round(log10(value + (SELECT min(value) / 2 FROM long WHERE value > 0)), 6) AS value FROM dense")
 def _(spark, sf):
     return op.transform_values(op.densify(feature_long(spark, sf)), "log").select("sample", "feature", *r6("value"))
 
@@ -95,7 +95,7 @@ CLASS2 = """cm AS (SELECT feature, avg(value) FILTER (label = 'A') AS m1, avg(va
   count(*) FILTER (label = 'A') AS n1, count(*) FILTER (label = 'B') AS n2, avg(value) AS g, var_pop(value) * count(*) AS sst FROM dense JOIN lab2 USING (sample) GROUP BY 1)"""
 
 
-@query("A24_univariate_two_classes", f"""WITH {LONG}, {CLASS2}, pseudo AS (SELECT min(value) / 2 AS p FROM long)
+@query("A24_univariate_two_classes", f"""WITH {LONG}, {CLASS2}, pseudo AS (SELECT min(value) / 2 AS p FROM long WHERE value > 0)
  SELECT feature, round(m1, 6) AS "mean_A", round(m2, 6) AS "mean_B", round((n1 * (m1 - g) ** 2 + n2 * (m2 - g) ** 2) / sst, 6) AS eta_squared, round(log2((m2 + p) / (m1 + p)), 6) AS log2_fold_change,
   round((m2 - m1) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS cohen_d, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t,
   round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 6) AS df FROM cm, pseudo""")

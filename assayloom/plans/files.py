@@ -158,7 +158,7 @@ def _sections(spark, sf):
     heads = docs.select("sample", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("part"), F.lit(t).alias("line")) for k, t in fixed])).alias("h")).select("sample", "h.part", F.lit(0).cast("long").alias("seq"), "h.line")
     rt, y = F.col("rt").cast("string"), F.col("y").cast("string")
     body = pts.select("sample", F.lit(20).cast("long").alias("part"), F.col("ord").alias("seq"), F.concat_ws("\t", rt, y, F.lit("1.0")).alias("line"))
-    found = pts.where("ord % 3 = 0").select("sample", F.lit(40).cast("long").alias("part"), F.col("ord").alias("seq"), F.concat_ws("\t", F.col("ord").cast("string"), rt, (F.col("rt") - 1).cast("string"), (F.col("rt") + 1).cast("string"),
+    found = pts.select("sample", F.lit(40).cast("long").alias("part"), F.col("ord").alias("seq"), F.concat_ws("\t", F.col("ord").cast("string"), rt, (F.col("rt") - 1).cast("string"), (F.col("rt") + 1).cast("string"),
                                             y, F.lit("5.0"), F.concat(F.lit("N"), F.col("ord")), F.lit("91-64-5")).alias("line"))
     return _documents(spark, heads.unionByName(body).unionByName(found), "sample", ["part", "seq"], "sections")
 
@@ -168,7 +168,7 @@ def _(spark, sf):
     return ch.read_sectioned_text(spark, _sections(spark, sf), "min", "sample")[0]
 
 
-@query("S10_sectioned_peaks", f"WITH {CLEAN} SELECT sample, rt, y AS area, 5.0::DOUBLE AS height, rt - 1 AS \"start\", rt + 1 AS \"end\", 'N' || ord AS name, '91-64-5' AS cas FROM pts WHERE ord % 3 = 0")
+@query("S10_sectioned_peaks", f"WITH {CLEAN} SELECT sample, rt, y AS area, 5.0::DOUBLE AS height, rt - 1 AS \"start\", rt + 1 AS \"end\", 'N' || ord AS name, '91-64-5' AS cas FROM pts")
 def _(spark, sf):
     return ch.read_sectioned_text(spark, _sections(spark, sf), "min", "sample")[1].select("sample", "rt", "area", "height", "start", "end", "name", "cas")
 
@@ -313,8 +313,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "runs")
     runs = b.docking_runs(spark, sf)
-    runs.select(F.col("ligand").alias("ligand_name"), F.col("receptor").alias("receptor_key"), (F.col("replicate") % 1000).cast("int").alias("replicate"), "seed", "poses", "error").write.json(path)
-    df = rc.read_run_checkpoints(spark, path)
+    runs.select(F.col("ligand").alias("ligand_name"), F.col("receptor").alias("receptor_key"), (F.col("replicate") % 1000).cast("int").alias("replicate"), "seed", "poses", "error").select(
+        F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
+    df = rc.read_run_checkpoints(spark, path, glob="*")
     return df.select("ligand", "receptor", "replicate", F.col("poses")[0]["affinity"].alias("affinity"), F.size("poses").alias("n_poses"))
 
 
@@ -322,9 +323,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "sidecars")
     li = b.table(spark, sf, "lineitem")
-    rec = F.to_json(F.struct(F.concat(F.lit("R"), F.col("l_suppkey") % 10).alias("receptor"), F.concat("l_orderkey", F.lit("_"), "l_linenumber").alias("complex"), F.lit("X").alias("ligand_chain"), (F.col("l_linenumber") == 1).alias("is_native")))
+    rec = F.to_json(F.struct(F.concat(F.lit("R"), F.col("l_suppkey") % 10).alias("receptor"), F.concat("l_orderkey", F.lit("_"), "l_linenumber").alias("complex"), F.lit("X").alias("ligand_chain"), (F.col("l_linenumber") == 1).alias("is_native")), {"pretty": "true"})
     li.select(F.when(F.col("l_partkey") % 6 == 0, F.lit('{"receptor": "R1", broken')).otherwise(rec).alias("value")).write.text(path)
-    return rc.read_complex_sidecars(spark, path).select("receptor", "complex", "is_native")
+    return rc.read_complex_sidecars(spark, path, glob="*").select("receptor", "complex", "is_native")
 
 
 @query("K1_write_report", f"WITH {b.STATS} SELECT * FROM stats")
@@ -423,9 +424,9 @@ def _(spark, sf):
     return b.compounds(spark, sf).select("ord", tx.compound_key("smiles", "name").alias("key"))
 
 
-@query("F12_format_cell", "SELECT l_extendedprice AS v, CASE WHEN l_extendedprice >= 100 THEN printf('%.0f', round(l_extendedprice, 0)) ELSE CAST(l_extendedprice AS VARCHAR) END AS cell, count(*) AS n FROM lineitem WHERE l_extendedprice * 10 % 5 <> 0 GROUP BY 1, 2")
+@query("F12_format_cell", "SELECT l_extendedprice AS v, CASE WHEN l_extendedprice >= 100 THEN printf('%.0f', round_even(l_extendedprice, 0)) ELSE CAST(l_extendedprice AS VARCHAR) END AS cell, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def _(spark, sf):
-    rows = b.table(spark, sf, "lineitem").where("l_extendedprice * 10 % 5 <> 0").groupBy(F.col("l_extendedprice").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = b.table(spark, sf, "lineitem").groupBy(F.col("l_extendedprice").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return rows.select("v", tx.format_cell("v").alias("cell"), "n")
 
 

@@ -10,6 +10,7 @@ from assayloom.functions.udfs import set_canonicalizer
 from assayloom.plans import bindings as b
 from assayloom.plans.registry import query
 from assayloom.rules import DEFAULT_RULES, Rule, classify_rules
+from assayloom.session import scratch_path
 from assayloom.streaming import streams as st
 
 
@@ -46,6 +47,28 @@ def _(spark, sf):
     return got.select("sample", F.expr("unix_micros(start) div 60000000").alias("start_minute"), F.round("value", 4).alias("value"), "n")
 
 
+LATE = """e AS (SELECT 'U' || user_id AS sample, ts, value, event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 4 // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS turn FROM events),
+ kept AS (SELECT * FROM e WHERE NOT (turn = 0 AND event_id % 10 = 0)),
+ closed AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 AS mark FROM e)"""
+
+
+@query("ST3_stream_late_points", f"""WITH {LATE} SELECT sample, epoch_us(ts) // 600000000 * 10 AS start_minute, round(sum(value), 4) AS value, count(*) AS n
+ FROM kept, closed WHERE (epoch_us(ts) // 600000000 + 1) * 600000000 <= mark GROUP BY 1, 2""")
+def _(spark, sf):
+    """Points in four deliveries by time; a tenth of the first quarter comes last and is late by then. Closed bins are written once."""
+    ev = b.table(spark, sf, "events")
+    ends = ev.agg(F.min(st.event_time("ts")).alias("lo"), F.max(st.event_time("ts")).alias("hi"))
+    pts = ev.select(F.concat(F.lit("U"), "user_id").alias("sample"), st.event_time("ts").alias("ts"), F.col("value").alias("y"), "event_id").crossJoin(F.broadcast(ends))
+    turn = F.expr("(unix_micros(ts) - unix_micros(lo)) * 4 div (unix_micros(hi) - unix_micros(lo) + 1)")
+    pts = pts.withColumn("turn", F.when((turn == 0) & (F.col("event_id") % 10 == 0), 3).otherwise(turn)).select("sample", "ts", "y", "turn")
+    path, files = scratch_path(spark, "points"), 4
+    for k in range(4):
+        pts.where(F.col("turn") == k).select("sample", "ts", "y").repartition(files).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("sample string, ts timestamp, y double").option("maxFilesPerTrigger", files).parquet(path)
+    got = st.run_available(st.stream_binned_signal(stream, "10 minutes", delay="10 minutes"), "append")
+    return got.select("sample", F.expr("unix_micros(start) div 60000000").alias("start_minute"), F.round("value", 4).alias("value"), "n")
+
+
 @query("X1_register_functions", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_partkey / 10 END AS number, CASE WHEN p_partkey % 3 = 1 THEN 'Tanpa Grup' ELSE p_brand END AS label, replace(p_name, ' ', '') AS key, p_name AS series,
  CASE WHEN p_partkey % 7 < 2 THEN 'good' WHEN p_partkey % 7 < 3 THEN 'acceptable' ELSE 'poor' END AS status, p_partkey % 50 AS resnum, replace(p_name, ' ', '_') AS file FROM part""")
 def _(spark, sf):

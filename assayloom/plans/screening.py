@@ -23,14 +23,13 @@ def _(spark, sf):
     return stats(spark, sf)
 
 
-@query("A10_summarize_docking_by_group", f"""WITH {b.GROUPED} SELECT receptor, grp AS "group", count(*) AS n_ligands, round(avg(affinity_best), 9) AS affinity_mean,
- round(stddev_pop(affinity_best), 9) AS affinity_std, round(min(affinity_best), 9) AS affinity_best, min(native_affinity) AS native_affinity,
+@query("A10_summarize_docking_by_group", f"""WITH {b.GROUPED} SELECT receptor, grp AS "group", count(*) AS n_ligands, {b.half_up('avg(affinity_best)')} AS affinity_mean,
+ {b.half_up('stddev_pop(affinity_best)')} AS affinity_std, {b.half_up('min(affinity_best)')} AS affinity_best, min(native_affinity) AS native_affinity,
  CASE WHEN grp <> 'Native' THEN round(100.0 * sum(CASE WHEN affinity_best <= native_affinity THEN 1.0 WHEN native_affinity IS NOT NULL THEN 0.0 END)
    / count(native_affinity), 1) END AS percent_better
  FROM g LEFT JOIN natives USING (receptor) GROUP BY receptor, grp""")
 def summarize_docking(spark, sf):
-    # nine digits: means of three-digit values would sit on rounding ties at three
-    return op.summarize_docking_by_group(stats(spark, sf), b.ligand_groups(spark, sf), digits=9)
+    return op.summarize_docking_by_group(stats(spark, sf), b.ligand_groups(spark, sf))
 
 
 @query("A2_affinities_by_group", f"WITH {b.GROUPED} SELECT receptor, grp AS \"group\", ligand, affinity_best FROM g WHERE grp <> 'Native'")
@@ -74,13 +73,13 @@ def _(spark, sf):
 
 @query("A7_category_scores", f"WITH {b.CATEGORY_SCORES} SELECT ligand, category, round(score, 6) AS score FROM cs")
 def _(spark, sf):
-    return op.category_scores(flags(spark, sf)).select("ligand", "category", *r6("score"))
+    return op.category_scores(b.properties(spark, sf)).select("ligand", "category", *r6("score"))
 
 
 @query("A7_category_scores_by_group", f"""WITH {b.CATEGORY_SCORES}, {b.GROUPS} SELECT grp AS "group", category, round(avg(score), 6) AS score
  FROM cs JOIN grps USING (ligand) GROUP BY 1, 2""")
 def _(spark, sf):
-    return op.category_scores_by_group(flags(spark, sf), b.ligand_groups(spark, sf)).select("group", "category", *r6("score"))
+    return op.category_scores_by_group(b.properties(spark, sf), b.ligand_groups(spark, sf)).select("group", "category", *r6("score"))
 
 
 @query("A8_property_distribution", f"""WITH {b.DESCRIPTORS}, {b.GROUPS}, long AS (SELECT grp, p.property, p.value FROM descriptors JOIN grps USING (ligand),
@@ -104,7 +103,7 @@ GROUP_SCORES = f"""gs AS (SELECT grp, {", ".join(f"avg(score) FILTER (category =
    {", ".join(f"round(avg({c}), 2) AS {c}_mean" for c in ("MW", "LogP", "HBD", "HBA"))} FROM ro5 JOIN grps USING (ligand) GROUP BY 1)
  SELECT grp AS "group", props.* EXCLUDE (grp), {", ".join(f"round({c}, 3) AS score_{c}" for c in SCORED_CATEGORIES)} FROM props JOIN gs USING (grp)""")
 def _(spark, sf):
-    return op.summarize_groups(op.lipinski_ro5(b.descriptors(spark, sf)), flags(spark, sf), b.ligand_groups(spark, sf))
+    return op.summarize_groups(op.lipinski_ro5(b.descriptors(spark, sf)), b.properties(spark, sf), b.ligand_groups(spark, sf))
 
 
 @query("A11_best_run_per_pair", f"""WITH {b.RUNS} SELECT ligand, receptor, replicate, affinity_best FROM (SELECT ligand, receptor, ord AS replicate, affinity AS affinity_best,
@@ -130,7 +129,8 @@ def _(spark, sf):
 
 
 @query("A17_describe_duplicates", f"""WITH {b.COMPOUNDS}, {GROUP_BY_KEY}, f AS (SELECT * FROM slots WHERE n_members > 1 ORDER BY first_ord LIMIT 5)
- SELECT f.first_ord, f.name, k.grp AS "group", count(*) AS n_members FROM f JOIN keyed k USING (key) GROUP BY ALL""")
+ SELECT f.first_ord, f.name, k.grp AS "group", count(*) AS n_members, (SELECT greatest(count(*) - 5, 0) FROM slots WHERE n_members > 1) AS n_more
+ FROM f JOIN keyed k USING (key) GROUP BY f.first_ord, f.name, k.grp""")
 def _(spark, sf):
     return op.describe_duplicates(b.compounds(spark, sf))
 
@@ -154,7 +154,17 @@ def _(spark, sf):
 
 @query("A42_group_flag_matrix", f"""WITH {b.CATEGORY_SCORES}, {b.GROUPS}, {GROUP_SCORES} SELECT grp AS "group", {", ".join(f"round({c}, 6) AS {c}" for c in SCORED_CATEGORIES)} FROM gs""")
 def _(spark, sf):
-    return op.group_flag_matrix(flags(spark, sf), b.ligand_groups(spark, sf)).select("group", *r6(*SCORED_CATEGORIES))
+    return op.group_flag_matrix(b.properties(spark, sf), b.ligand_groups(spark, sf)).select("group", *r6(*SCORED_CATEGORIES))
+
+
+PARAMETERS = [r.label for r in rules.DEFAULT_RULES if r.category == "Toksisitas" and r.rule_type != "descriptive"]
+
+
+@query("A42_group_parameter_matrix", f"""WITH {b.FLAGS}, {b.GROUPS} SELECT grp AS "group", {", ".join(f"""round(CAST(avg(s) FILTER (label = '{x.replace("'", "''")}') AS DOUBLE), 6) AS "{x}" """ for x in PARAMETERS)}
+ FROM scored JOIN grps USING (ligand) WHERE category = 'Toksisitas' GROUP BY grp""")
+def _(spark, sf):
+    got = op.group_parameter_matrix(flags(spark, sf), b.ligand_groups(spark, sf), "Toksisitas")
+    return got.select("group", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in PARAMETERS])
 
 
 @query("P1_with_group", f"""WITH {b.STATS}, {b.GROUPS} SELECT ligand, coalesce(grp, 'Tanpa Grup') AS "group", receptor, affinity_best FROM stats LEFT JOIN grps USING (ligand)""")
@@ -278,9 +288,11 @@ def _(spark, sf):
     return op.report_union(op.affinities_by_group(s, g).select("ligand", "receptor", "affinity_best"), op.native_affinity(s, g))
 
 
-@query("U5_missing_keys", f"""WITH {b.STATS}, {b.GROUPS} SELECT DISTINCT ligand FROM grps WHERE ligand NOT IN (SELECT ligand FROM stats WHERE receptor = 'R3')""")
+@query("U5_missing_keys", f"""WITH {b.STATS}, {b.GROUPS} SELECT DISTINCT 'L' || l_partkey || ' R' || l_suppkey % 10 AS pair FROM lineitem
+ EXCEPT SELECT ligand || ' ' || receptor FROM stats""")
 def _(spark, sf):
-    return op.missing_keys(b.ligand_groups(spark, sf), stats(spark, sf).where("receptor = 'R3'"), "ligand")
+    pair = F.concat_ws(" ", "ligand", "receptor").alias("pair")
+    return op.missing_keys(b.docking_runs(spark, sf).select(pair), stats(spark, sf).select(pair), "pair")
 
 
 @query("W3_group_order", f"""WITH {b.GROUPS} SELECT grp AS "group", CAST(row_number() OVER (ORDER BY grp <> 'Native', min(ord)) AS BIGINT) AS position FROM grps GROUP BY grp""")

@@ -143,13 +143,13 @@ def _(spark, sf):
     return op.ligand_candidates(atoms(spark, sf)).select("ord", "structure", "resname", "atom")
 
 
-NATIVES = ATOMS + """, nat AS (SELECT structure, chain, resname, resnum, count(*) AS atom_count, round(avg(x), 9) AS center_x, round(avg(y), 9) AS center_y, round(avg(z), 9) AS center_z,
+NATIVES = ATOMS + f""", nat AS (SELECT structure, chain, resname, resnum, count(*) AS atom_count, {b.half_up('avg(x)')} AS center_x, {b.half_up('avg(y)')} AS center_y, {b.half_up('avg(z)')} AS center_z,
   greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent, resname || '_' || chain || resnum AS label FROM atoms JOIN res USING (structure, chain, resnum, resname) WHERE record = 'HETATM' AND resname NOT IN ('HOH', 'GOL') AND NOT bb GROUP BY 1, 2, 3, 4)"""
 
 
 @query("A13_native_ligands", f"WITH {NATIVES} SELECT * FROM nat")
 def natives(spark, sf):
-    return op.native_ligands(atoms(spark, sf), digits=9)
+    return op.native_ligands(atoms(spark, sf))
 
 
 @query("A14_backbone_complete", f"WITH {ATOMS} SELECT structure, chain, resnum FROM res WHERE bb")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayloom.functions.text import general_number
+from assayloom.functions.text import general_number, read_number
 from assayloom.session import spread
 
 # Category order, flag scores, aliases, columns that are never properties.
@@ -214,8 +214,7 @@ def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = DEFAULT_RULES) ->
 
 
 def _number(raw: Column) -> Column:
-    t = F.trim(raw)
-    return F.when(~F.lower(t).isin("", "nan") & (t != NO_ALERT), t.try_cast("double"))
+    return read_number(raw)
 
 
 def descriptive_label(column: Column, raw: Column, value: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
@@ -282,6 +281,55 @@ def classify_rules(wide: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, key
         key, "column", "raw", "value", "flag", "flag_label", "category", "category_ord", "label", "rule_type", "rule_ord")
 
 
+def rule_score(rule: Rule, raw: Column) -> Column | None:
+    """Score of one cell under a rule known when planning; null for a cell that does not count, None for a rule that never does."""
+    v, text = read_number(raw), F.trim(raw)
+    good = lambda ok: F.when(v.isNotNull(), F.when(ok, FLAG_SCORES["green"]).otherwise(FLAG_SCORES["red"]))
+    kind = rule.rule_type
+    if kind == "descriptive":
+        return None
+    if kind == "alert_count":
+        free = F.lower(text).isin("", "nan") | (text == NO_ALERT) | F.coalesce(v == 0, F.lit(False))
+        return F.when(raw.isNotNull(), F.when(free, FLAG_SCORES["green"]).otherwise(FLAG_SCORES["red"]))
+    if kind == "binary":
+        return good(F.rint(v) == (0 if rule.inverted else 1))
+    if kind == "range":
+        return good(v.between(rule.lo, rule.hi))
+    if kind in ("threshold_gte", "threshold_lte"):
+        return good(v >= rule.lo if kind == "threshold_gte" else v <= rule.hi)
+    low, high = (rule.lo, rule.hi) if kind == "tiered_range" else (0.3, 0.7)
+    first, last = (FLAG_SCORES[c] for c in (("red", "green") if kind == "tiered_reversed" else ("green", "red")))
+    if kind == "tiered_range" and not rule.ascending_bad:
+        band = F.when(v > high, first).when(v >= low, FLAG_SCORES["yellow"]).otherwise(last)
+    else:
+        band = F.when(v <= low, first).when(v <= high, FLAG_SCORES["yellow"]).otherwise(last)
+    return F.when(v.isNotNull(), band)
+
+
+def wide_category_scores(wide: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, key: str = "ligand") -> DataFrame:
+    """Mean score per key and category, summed inside the wide row: no cell becomes a row of its own.
+
+    The physicochemical category is left out; a category without a counted cell has no row.
+    """
+    by_column = {r.column: r for r in rules}
+    scores: dict[str, list[Column]] = {}
+    for c in wide.columns:
+        rule = by_column.get(COLUMN_ALIASES.get(c, c))
+        if c in IDENTITY_COLUMNS or c == key or rule is None or rule.category == PHYSICOCHEMICAL:
+            continue
+        score = rule_score(rule, F.col(f"`{c}`").cast("string"))
+        if score is not None:
+            scores.setdefault(rule.category, []).append(score)
+    # the scores of a category as one array, so that each cell is read once
+    means = [F.struct(F.lit(name).alias("category"), F.aggregate(
+        F.filter(F.array(*cells), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["n"] + 1).alias("n")),
+        lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"])).alias("score")) for name, cells in scores.items()]
+    if not means:
+        return wide.select(key, F.lit("").alias("category"), F.lit(0.0).alias("score")).limit(0)
+    return spread(wide).select(key, F.inline(F.array(*means))).where("score is not null")
+
+
 def flag_score(flag: Column) -> Column:
     """Score of a counted flag; null for na and info."""
     return reduce(lambda acc, kv: acc.when(flag == kv[0], F.lit(kv[1])), list(FLAG_SCORES.items())[1:],

@@ -7,12 +7,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from assayloom.ordered import running
 
 ORDER = ["part", "block", "pos"]
+# where Windows-1252 differs from Latin-1: the code points that Latin-1 gives, and the characters meant
+_OTHER = [b for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")]
+WINDOWS = "".join(map(chr, _OTHER)), bytes(_OTHER).decode("cp1252")
 
 
 def file_name() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
 
 
+def decoded(value: Column) -> Column:
+    """A line's text: UTF-8; UTF-16 where it holds zero bytes; else Windows-1252.
+
+    The line reader cuts at the newline byte, so a UTF-16 line carries half of a neighbouring newline at one end: little-endian lines
+    begin with a zero byte, big-endian lines (told by their mark on the first line) end with one.
+    """
+    raw = value.cast("binary")
+    text = F.hex(raw)
+    big = text.startswith("FEFF")
+    body = F.when(text.startswith("FFFE") | big, F.substr(text, F.lit(5))).when(text.startswith("00") & (F.length(text) % 4 == 2), F.substr(text, F.lit(3))).otherwise(text)
+    even = F.left(body, F.length(body) - F.length(body) % 4)
+    wide = F.when(big, F.decode(F.unhex(even), "UTF-16BE")).otherwise(F.decode(F.unhex(even), "UTF-16LE"))
+    return F.when(value.contains("\0"), F.rtrim(wide, F.lit("\0"))).when(F.is_valid_utf8(value), value).otherwise(
+        F.translate(F.decode(raw, "iso-8859-1"), *WINDOWS))
+
+
 def line_order(df: DataFrame) -> DataFrame:
     """Add the place of each row: number of a part file, start of the file split, and running number inside the split.
 
@@ -26,20 +45,20 @@ def read_lines(spark: SparkSession, path: str | list[str], folder: str | None =
     """Lines as (document, part, block, pos, line).
 
     A document is a file, named by its file name or its full path; with ``folder`` it is a partition folder ``folder=value`` whose
-    part files follow one another.
+    part files follow one another. Lines end with LF or CRLF.
     """
     reader = spark.read.option("recursiveFileLookup", folder is None)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = line_order(reader.text(path))
+    df = line_order(reader.text(path, lineSep="\n"))
     stem = F.col("_metadata.file_path") if full_path else F.regexp_replace(file_name(), r"(?<=.)\.[^.]*$", "")
     document = F.col(folder).cast("string") if folder else stem
-    return df.select(document.alias("document"), *ORDER, F.regexp_replace("value", "^﻿|\r$", "").alias("line"))
+    return df.select(document.alias("document"), *ORDER, F.regexp_replace(decoded(F.col("value")), "^\ufeff|\r$", "").alias("line"))
 
 
-def with_section(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
+def with_section(lines: DataFrame, blocks: int | None = None) -> DataFrame:
     """Number the ``[Name]`` sections of each document; the heading lines themselves are dropped."""
     heading = F.trim("line").rlike(r"^\[.+\][\s,;|\t]*$")
     marked = lines.withColumns({"_head": heading.cast("long"), "_name": F.when(heading, F.regexp_extract(F.trim("line"), r"^\[(.+)\]", 1))})
-    out = running(marked, ["document"], ORDER, {"section": ("sum", "_head"), "section_name": ("fill", "_name")}, block_rows=block_rows)
+    out = running(marked, ["document"], ORDER, {"section": ("sum", "_head"), "section_name": ("fill", "_name")}, blocks=blocks)
     return out.where("_head = 0").drop("_head", "_name").withColumn("section_name", F.trim(F.coalesce("section_name", F.lit(""))))

@@ -66,24 +66,24 @@ def read_pdb_atoms(spark: SparkSession, path: str, folder: str | None = None) ->
     return lines.select(F.col("document").alias("structure"), *_atom_columns("line"), *ORDER).where("resnum is not null")
 
 
-def read_pose_atoms(spark: SparkSession, path: str, folder: str | None = None, block_rows: int | None = None) -> DataFrame:
+def read_pose_atoms(spark: SparkSession, path: str, folder: str | None = None, blocks: int | None = None) -> DataFrame:
     """Atoms of every MODEL block with the model number; atoms outside a model are ignored."""
     lines = read_lines(spark, path, folder).where(F.col("line").rlike("^(MODEL|ENDMDL|ATOM|HETATM)"))
     start, end = F.col("line").startswith("MODEL"), F.col("line").startswith("ENDMDL")
     marked = lines.withColumns({"_m": start.cast("long"), "_e": end.cast("long"),
                                 "_no": F.when(start, F.struct(F.regexp_extract("line", r"^MODEL\S*\s+(\d+)", 1).try_cast("int").alias("no")))})
-    rows = running(marked, ["document"], ORDER, {"_ms": ("sum", "_m"), "_es": ("sum", "_e"), "_id": ("fill", "_no")}, block_rows=block_rows)
+    rows = running(marked, ["document"], ORDER, {"_ms": ("sum", "_m"), "_es": ("sum", "_e"), "_id": ("fill", "_no")}, blocks=blocks)
     rows = rows.where(F.col("line").rlike("^(ATOM|HETATM)") & (F.col("_ms") > F.col("_es")))
     kind = F.regexp_extract(F.substring("line", 78, 20), r"(\S+)\s*$", 1)
     atom = F.trim(F.substring("line", 13, 4))
     return rows.select("document", F.coalesce("_id.no", F.col("_ms").cast("int")).alias("model"), *[c for c in _atom_columns("line")][:-1], guess_element(atom, kind).alias("element"), *ORDER)
 
 
-def read_score_logs(spark: SparkSession, path: str, folder: str | None = None, block_rows: int | None = None) -> DataFrame:
+def read_score_logs(spark: SparkSession, path: str, folder: str | None = None, blocks: int | None = None) -> DataFrame:
     """Score rows below the table rule of docking logs."""
     lines = read_lines(spark, path, folder)
     marked = lines.withColumn("_rule", (F.col("line").contains("-----+") & F.col("line").contains("----------")).cast("long"))
-    rows = running(marked, ["document"], ORDER, {"_seen": ("sum", "_rule")}, block_rows=block_rows).where("_seen > 0 and _rule = 0")
+    rows = running(marked, ["document"], ORDER, {"_seen": ("sum", "_rule")}, blocks=blocks).where("_seen > 0 and _rule = 0")
     parts = F.filter(F.split(F.trim("line"), r"\s+"), lambda c: c != "")
     rows = rows.withColumn("p", parts).where((F.size("p") >= 2) & F.col("p")[0].rlike(r"^\d+$"))
     number = lambda k: F.try_element_at("p", F.lit(k)).try_cast("double")
@@ -96,9 +96,24 @@ RUN_SCHEMA = ("ligand_name string, receptor_key string, replicate int, seed long
               "poses array<struct<mode:int,affinity:double,rmsd_lb:double,rmsd_ub:double>>, output_pdbqt string, log_path string, error string")
 
 
-def read_run_checkpoints(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _json_records(spark: SparkSession, path: str, schema: str, lines: bool, glob: str) -> DataFrame:
+    """Records of JSON files with the file's path, broken ones as null.
+
+    A file holds one record or several, indented or not, each beginning at the start of a line; it is read whole. Large files with one
+    record per line are read with ``lines``.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    path_column = F.col("_metadata.file_path").alias("file")
+    if lines:
+        text = reader.text(path).select("value", path_column)
+    else:
+        text = reader.text(path, wholetext=True).select(path_column, F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+    return text.select("file", F.from_json(F.regexp_replace("value", "^\ufeff", ""), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("file", "r.*")
+
+
+def read_run_checkpoints(spark: SparkSession, path: str, lines: bool = False, glob: str = "*.json") -> DataFrame:
     """Finished runs: no error and at least one pose."""
-    df = spark.read.schema(RUN_SCHEMA + ", _corrupt_record string").option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
+    df = _json_records(spark, path, RUN_SCHEMA + ", _corrupt_record string", lines, glob)
     good = df.where("_corrupt_record is null and ligand_name is not null and receptor_key is not null and replicate is not null and error is null")
     return good.where(F.size("poses") > 0).select(F.col("ligand_name").alias("ligand"), F.col("receptor_key").alias("receptor"), "replicate", "seed", "poses", "error")
 
@@ -106,7 +121,13 @@ def read_run_checkpoints(spark: SparkSession, path: str, multi_line: bool = Fals
 SIDECAR_SCHEMA = "receptor string, complex string, ligand_name string, ligand_code string, ligand_chain string, ligand_resname string, is_native boolean"
 
 
-def read_complex_sidecars(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Identity records of merged complexes; corrupt ones are left out."""
-    df = spark.read.schema(SIDECAR_SCHEMA + ", _corrupt_record string").option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
-    return df.where("_corrupt_record is null and ligand_chain is not null").drop("_corrupt_record").fillna(False, ["is_native"])
+def read_complex_sidecars(spark: SparkSession, path: str, lines: bool = False, glob: str = "*.json") -> DataFrame:
+    """Identity records of merged complexes; corrupt ones are left out.
+
+    A record without receptor or complex takes them from its place: the folder's name and the file's name without ending.
+    """
+    df = _json_records(spark, path, SIDECAR_SCHEMA + ", _corrupt_record string", lines, glob)
+    place = lambda pattern: F.url_decode(F.regexp_extract("file", pattern, 1))
+    df = df.where("_corrupt_record is null and ligand_chain is not null").withColumns({
+        "receptor": F.coalesce("receptor", place(r"([^/]+)/[^/]+$")), "complex": F.coalesce("complex", place(r"([^/]+?)(?:\.[^./]*)?$"))})
+    return df.drop("_corrupt_record", "file").fillna(False, ["is_native"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayloom.functions.text import day_micros
 from assayloom.operators.screening import best_affinity, succeeded
 from assayloom.session import scratch_path
 
@@ -49,6 +50,5 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None, c
 
 def event_time(ts: str) -> Column:
     """Wall-clock time as an instant, whatever the session time zone."""
-    from assayloom.plans.bindings import day_micros
     days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
     return F.timestamp_micros(days * 86400000000 + day_micros(ts))

@@ -200,12 +200,12 @@ def test_rank_tests_small(spark):
 def test_bh_example(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", None)], "f string, p double")
     for block in (None, 2):
-        got = ft.benjamini_hochberg(df, "p", block_rows=block).toPandas().set_index("f")["q"]
+        got = ft.benjamini_hochberg(df, "p", blocks=block).toPandas().set_index("f")["q"]
         assert np.allclose(got[list("abcd")], [0.02, 0.04, 0.04, 0.02]) and np.isnan(got["e"])
 
 
-@pytest.mark.parametrize("block_rows", [None, 50])
-def test_pqn_with_zeros(spark, block_rows):
+@pytest.mark.parametrize("blocks", [None, 50])
+def test_pqn_with_zeros(spark, blocks):
     x, y = matrix(20, 7)
     x = np.where(x < 2.2, 0.0, x)
     total = 100 * x / x.sum(1, keepdims=True)
@@ -214,7 +214,7 @@ def test_pqn_with_zeros(spark, block_rows):
     for i in range(20):
         use = (total[i] > 0) & (ref > 0)
         want[i] = total[i] / np.median(total[i][use] / ref[use])
-    got = ft.densify(ft.normalize_samples(tables(spark, x, y)[0], "pqn", block_rows)).toPandas().pivot(index="sample", columns="feature", values="value").sort_index()
+    got = ft.densify(ft.normalize_samples(tables(spark, x, y)[0], "pqn", blocks)).toPandas().pivot(index="sample", columns="feature", values="value").sort_index()
     assert np.allclose(got, want)
 
 

@@ -20,49 +20,49 @@ def skewed(spark):
     return pdf, df
 
 
-@pytest.mark.parametrize("block_rows", [None, 100, 37])
-def test_row_number_and_sum(skewed, block_rows):
+@pytest.mark.parametrize("blocks", [None, 30, 80, 1])
+def test_row_number_and_sum(skewed, blocks):
     pdf, df = skewed
     want = pdf.sort_values(["v", "id"])
     want = want.assign(rn=want.groupby("k").cumcount() + 1).set_index("id")["rn"]
-    got = numbered(df, ["k"], ["v", "id"], "rn", block_rows).toPandas().set_index("id")["rn"]
+    got = numbered(df, ["k"], ["v", "id"], "rn", blocks).toPandas().set_index("id")["rn"]
     assert (got.sort_index() == want.sort_index()).all()
 
 
 @pytest.mark.parametrize("reverse", [False, True])
-@pytest.mark.parametrize("block_rows", [None, 100])
-def test_fill_prev_min(skewed, reverse, block_rows):
+@pytest.mark.parametrize("blocks", [None, 30])
+def test_fill_prev_min(skewed, reverse, blocks):
     pdf, df = skewed
     s = pdf.sort_values(["v", "id"], ascending=not reverse)
     g = s.groupby("k")
     want = pd.DataFrame({"id": s["id"], "f": g["x"].ffill(), "p": g["x"].shift(), "m": g["v"].cummin()}).set_index("id").sort_index()
-    got = running(df, ["k"], ["v", "id"], {"f": ("fill", "x"), "p": ("prev", "x"), "m": ("min", "v")}, reverse, block_rows).toPandas().set_index("id").sort_index()
+    got = running(df, ["k"], ["v", "id"], {"f": ("fill", "x"), "p": ("prev", "x"), "m": ("min", "v")}, reverse, blocks).toPandas().set_index("id").sort_index()
     for c in "fpm":
         pd.testing.assert_series_equal(got[c].astype(float), want[c].astype(float), check_names=False)
 
 
-@pytest.mark.parametrize("block_rows", [None, 100])
-def test_quantiles(skewed, block_rows):
+@pytest.mark.parametrize("blocks", [None, 30])
+def test_quantiles(skewed, blocks):
     pdf, df = skewed
-    got = quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}, block_rows).toPandas().set_index("k").sort_index()
+    got = quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}, blocks).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k")["v"].quantile([0.25, 0.5, 0.9]).unstack()
     assert np.allclose(got[["a", "b", "c"]], want.sort_index())
-    whole = quantiles(df, [], "v", {"m": 0.5}, block_rows).first()["m"]
+    whole = quantiles(df, [], "v", {"m": 0.5}, blocks).first()["m"]
     assert whole == pytest.approx(pdf["v"].median())
 
 
-@pytest.mark.parametrize("block_rows", [None, 100])
-def test_weighted_quantiles(spark, block_rows):
+@pytest.mark.parametrize("blocks", [None, 30])
+def test_weighted_quantiles(spark, blocks):
     rows = [("a", float(v), w) for v, w in zip(range(300), np.random.default_rng(0).integers(1, 5, 300).tolist())]
     df = spark.createDataFrame(rows, "k string, v double, w long")
     flat = np.repeat([r[1] for r in rows], [r[2] for r in rows])
-    assert quantiles(df, ["k"], "v", {"m": 0.5}, block_rows, weight="w").first()["m"] == pytest.approx(np.median(flat))
+    assert quantiles(df, ["k"], "v", {"m": 0.5}, blocks, weight="w").first()["m"] == pytest.approx(np.median(flat))
 
 
-@pytest.mark.parametrize("block_rows", [None, 100])
-def test_average_rank(skewed, block_rows):
+@pytest.mark.parametrize("blocks", [None, 30])
+def test_average_rank(skewed, blocks):
     pdf, df = skewed
-    got = average_rank(df, ["k"], "v", block_rows).toPandas()
+    got = average_rank(df, ["k"], "v", blocks).toPandas()
     want = pdf.assign(r=pdf.groupby("k")["v"].rank()).groupby(["k", "v"])["r"].first()
     assert np.allclose(got.set_index(["k", "v"])["avg_rank"].sort_index(), want.sort_index())
 

@@ -58,7 +58,7 @@ def test_replicates_ignore_failures(spark):
 
 @pytest.mark.parametrize("n,limit", [(5, 3), (31, 30), (7, 7), (1, 4), (100, 8)])
 def test_pages_are_balanced(spark, n, limit):
-    got = sc.paginate(spark.range(n), ["id"], limit, block_rows=3).groupBy("page").count().orderBy("page").collect()
+    got = sc.paginate(spark.range(n), ["id"], limit, blocks=3).groupBy("page").count().orderBy("page").collect()
     sizes = [r["count"] for r in got]
     assert sum(sizes) == n and max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True) and len(sizes) == -(-n // limit)
 

@@ -79,7 +79,7 @@ def test_smooth_caps_window_and_keeps_short(spark):
 
 def test_noise(signal):
     pdf, df = signal
-    got = sg.noise(df, block_rows=500).toPandas().set_index("sample")["noise"]
+    got = sg.noise(df, blocks=500).toPandas().set_index("sample")["noise"]
     for s, part in pdf.groupby("sample"):
         y = part["y"].to_numpy()
         r = y - savgol(y, 11, 2)
@@ -134,7 +134,7 @@ def test_detect_peaks_blocks(spark, signal, block):
     flat = pdf.assign(y=np.clip(pdf["y"] - 9.0, 0, None))
     df = spark.createDataFrame(flat)
     levels = sg.noise(df).toPandas().set_index("sample")["noise"]
-    got = sg.detect_peaks(df, 0.01, block=block, block_rows=300).toPandas()
+    got = sg.detect_peaks(df, 0.01, block=block, blocks=300).toPandas()
     for s, part in flat.groupby("sample"):
         y, rt = part["y"].to_numpy(), part["rt"].to_numpy()
         want = brute_peaks(y, max(5 * levels[s], 0.005 * y.max()), 1.0)
@@ -187,7 +187,7 @@ def test_cluster_peaks_matches_sweep(spark, block, spread):
     rng = np.random.default_rng(3)
     rows = [(float(np.round(rng.uniform(0, spread), 3)), f"s{rng.integers(0, 6)}", k) for k in range(500)]
     df = spark.createDataFrame(rows, "rt double, sample string, ord long").repartition(4)
-    got = sg.cluster_peaks(df, 0.05, block=block, block_rows=100).toPandas()
+    got = sg.cluster_peaks(df, 0.05, block=block, blocks=100).toPandas()
     assert {frozenset(p["ord"]) for _, p in got.groupby("cluster")} == plain_clusters(rows, 0.05)
 
 
@@ -196,8 +196,8 @@ def test_resample_and_grid(spark):
     pdf = pd.concat([pd.DataFrame({"sample": s, "rt": np.sort(rng.uniform(0, 50, 400)), "y": rng.normal(size=400)}) for s in "ab"])
     pdf["ord"] = np.arange(len(pdf))
     df = spark.createDataFrame(pdf)
-    grid = sg.common_grid(df, block_rows=100)
-    got = sg.resample(df, grid, block_rows=100).toPandas()
+    grid = sg.common_grid(df, blocks=100)
+    got = sg.resample(df, grid, blocks=100).toPandas()
     at = grid.low + np.arange(grid.n) * grid.step
     steps = [np.median(np.diff(p["rt"])) for _, p in pdf.groupby("sample")]
     assert grid.step == pytest.approx(np.median(steps))

@@ -144,3 +144,41 @@ def test_row_numbers_over_splits(spark, tmp_path, tiny_splits):
     (tmp_path / "r.csv").write_text("PDB Code,center_x\n" + "".join(f"1abc,{k}\n" for k in range(300)))
     got = tb.read_receptors(spark, str(tmp_path / "r.csv")).orderBy("row_index").collect()
     assert [r["center_x"] for r in got] == [float(k) for k in range(300)] and got[1]["receptor"] == "1ABC_R002"
+
+
+def test_runs_and_sidecars_in_indented_files(spark, tmp_path):
+    import json
+    from assayloom.sources import records as rc
+    pose = {"mode": 1, "affinity": -7.5, "rmsd_lb": 0.0, "rmsd_ub": 0.0}
+    run = {"ligand_name": "A", "receptor_key": "R1", "replicate": 2, "seed": 43, "poses": [pose], "output_pdbqt": None, "log_path": None, "error": None}
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "a.json").write_text(json.dumps(run, indent=2))
+    (tmp_path / "state" / "b.json").write_text(json.dumps(run | {"ligand_name": "B", "error": "failed"}, indent=2))
+    (tmp_path / "state" / "c.json").write_text('{"ligand_name": "C",')
+    got = rc.read_run_checkpoints(spark, str(tmp_path / "state")).collect()
+    assert [(r.ligand, r.receptor, r.replicate, r.poses[0].affinity) for r in got] == [("A", "R1", 2, -7.5)]
+    side = {"ligand_name": "A", "ligand_code": "", "ligand_chain": "X", "ligand_resname": "LIG", "is_native": True}
+    (tmp_path / "out" / "4XYZ").mkdir(parents=True)
+    (tmp_path / "out" / "4XYZ" / "A best.json").write_text(json.dumps(side, indent=2))
+    (tmp_path / "out" / "4XYZ" / "A best.pdb").write_text("END\n")
+    got = rc.read_complex_sidecars(spark, str(tmp_path / "out")).collect()
+    assert [(r.receptor, r.complex, r.ligand_resname, r.is_native) for r in got] == [("4XYZ", "A best", "LIG", True)]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "cp1252"])
+def test_lines_in_other_encodings(spark, tmp_path, encoding):
+    from assayloom.sources.lines import ORDER, read_lines
+    lines = ["Ret.Time;Höhe", "1,5;20", "", "2,5;µ30"]
+    (tmp_path / "x.txt").write_bytes("\r\n".join(lines).encode(encoding))
+    got = [r.line for r in read_lines(spark, str(tmp_path)).orderBy(*ORDER).collect()]
+    assert got == lines
+
+
+def test_doubled_quotes_and_numbers(spark):
+    from pyspark.sql import functions as F
+    from assayloom.functions.text import read_number
+    from assayloom.sources.chromatograms import _cells
+    df = spark.createDataFrame([('a,"say ""hi"", x",2',)], "line string")
+    assert df.select(_cells(F.col("line"), F.lit(",")).alias("c")).first().c == ["a", 'say "hi", x', "2"]
+    rows = spark.createDataFrame([(x,) for x in ("1f", "0.2d", " 1.5 ", "-inf", "nan", "", "1e3", "['-']", ".5")], "t string")
+    assert [r[0] for r in rows.select(read_number("t")).collect()] == [None, None, 1.5, float("-inf"), None, None, 1000.0, None, 0.5]
