@@ -151,6 +151,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dic
     return out.drop(*[f"_{p}_{n}" for p in "wc" for n in specs], *([] if given else [_BLK]))
 
 
+def given_blocks(df: DataFrame, first: Sequence[str]) -> DataFrame:
+    """Take the leading order columns as blocks, where they are known to be small units, as the splits of a file are."""
+    return df.withColumn(_BLK, F.struct(*first))
+
+
 def without_blocks(df: DataFrame) -> DataFrame:
     return df.drop(_BLK)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayloom.ordered import running
+from assayloom.ordered import given_blocks, numbered, running, without_blocks
 
 ORDER = ["part", "block", "pos"]
 # where Windows-1252 differs from Latin-1: the code points that Latin-1 gives, and the characters meant
@@ -56,9 +58,19 @@ def read_lines(spark: SparkSession, path: str | list[str], folder: str | None =
     return df.select(document.alias("document"), *ORDER, F.regexp_replace(decoded(F.col("value")), "^\ufeff|\r$", "").alias("line"))
 
 
-def with_section(lines: DataFrame, blocks: int | None = None) -> DataFrame:
+def along_lines(lines: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str]], reverse: bool = False) -> DataFrame:
+    """Running values along the lines of each key; the splits of the files are the blocks."""
+    return without_blocks(running(given_blocks(lines, ORDER[:2]), keys, ORDER, specs, reverse))
+
+
+def numbered_lines(lines: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Running number of the lines of each key."""
+    return without_blocks(numbered(given_blocks(lines, ORDER[:2]), keys, ORDER, out))
+
+
+def with_section(lines: DataFrame) -> DataFrame:
     """Number the ``[Name]`` sections of each document; the heading lines themselves are dropped."""
     heading = F.trim("line").rlike(r"^\[.+\][\s,;|\t]*$")
     marked = lines.withColumns({"_head": heading.cast("long"), "_name": F.when(heading, F.regexp_extract(F.trim("line"), r"^\[(.+)\]", 1))})
-    out = running(marked, ["document"], ORDER, {"section": ("sum", "_head"), "section_name": ("fill", "_name")}, blocks=blocks)
+    out = along_lines(marked, ["document"], {"section": ("sum", "_head"), "section_name": ("fill", "_name")})
     return out.where("_head = 0").drop("_head", "_name").withColumn("section_name", F.trim(F.coalesce("section_name", F.lit(""))))

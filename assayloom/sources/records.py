@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayloom.functions.text import clean_text, guess_element, parse_atom_spec
-from assayloom.ordered import running
 from assayloom.session import cut
 from assayloom.sources.chromatograms import _cells, sniff_delimiter
-from assayloom.sources.lines import ORDER, read_lines
+from assayloom.sources.lines import ORDER, along_lines, read_lines
 
 # Contact table header words and the positions used without a header.
 CONTACT_HEADERS = {"category": ("category",), "type_subtype": ("types", "type", "type/subtype"), "from": ("from",), "from_chemistry": ("from chemistry",),
@@ -66,24 +65,24 @@ def read_pdb_atoms(spark: SparkSession, path: str, folder: str | None = None) ->
     return lines.select(F.col("document").alias("structure"), *_atom_columns("line"), *ORDER).where("resnum is not null")
 
 
-def read_pose_atoms(spark: SparkSession, path: str, folder: str | None = None, blocks: int | None = None) -> DataFrame:
+def read_pose_atoms(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """Atoms of every MODEL block with the model number; atoms outside a model are ignored."""
     lines = read_lines(spark, path, folder).where(F.col("line").rlike("^(MODEL|ENDMDL|ATOM|HETATM)"))
     start, end = F.col("line").startswith("MODEL"), F.col("line").startswith("ENDMDL")
     marked = lines.withColumns({"_m": start.cast("long"), "_e": end.cast("long"),
                                 "_no": F.when(start, F.struct(F.regexp_extract("line", r"^MODEL\S*\s+(\d+)", 1).try_cast("int").alias("no")))})
-    rows = running(marked, ["document"], ORDER, {"_ms": ("sum", "_m"), "_es": ("sum", "_e"), "_id": ("fill", "_no")}, blocks=blocks)
+    rows = along_lines(marked, ["document"], {"_ms": ("sum", "_m"), "_es": ("sum", "_e"), "_id": ("fill", "_no")})
     rows = rows.where(F.col("line").rlike("^(ATOM|HETATM)") & (F.col("_ms") > F.col("_es")))
     kind = F.regexp_extract(F.substring("line", 78, 20), r"(\S+)\s*$", 1)
     atom = F.trim(F.substring("line", 13, 4))
     return rows.select("document", F.coalesce("_id.no", F.col("_ms").cast("int")).alias("model"), *[c for c in _atom_columns("line")][:-1], guess_element(atom, kind).alias("element"), *ORDER)
 
 
-def read_score_logs(spark: SparkSession, path: str, folder: str | None = None, blocks: int | None = None) -> DataFrame:
+def read_score_logs(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """Score rows below the table rule of docking logs."""
     lines = read_lines(spark, path, folder)
     marked = lines.withColumn("_rule", (F.col("line").contains("-----+") & F.col("line").contains("----------")).cast("long"))
-    rows = running(marked, ["document"], ORDER, {"_seen": ("sum", "_rule")}, blocks=blocks).where("_seen > 0 and _rule = 0")
+    rows = along_lines(marked, ["document"], {"_seen": ("sum", "_rule")}).where("_seen > 0 and _rule = 0")
     parts = F.filter(F.split(F.trim("line"), r"\s+"), lambda c: c != "")
     rows = rows.withColumn("p", parts).where((F.size("p") >= 2) & F.col("p")[0].rlike(r"^\d+$"))
     number = lambda k: F.try_element_at("p", F.lit(k)).try_cast("double")
