@@ -5,6 +5,7 @@ Hashes are polynomials modulo 2**64 over bytes or words, taken from running sums
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,7 +75,10 @@ class Rolling:
         n = len(data)
         up, self.down = _power(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + _U(1)) * up[:-1], out=self.sums[1:])
+        term = data.astype(np.uint64)
+        term += _U(1)
+        term *= up[:-1]
+        np.cumsum(term, out=self.sums[1:])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of ``data[start:end]``; depends on the bytes and the length only."""
@@ -100,6 +104,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each hold about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -110,6 +122,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         at = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(at, [*at[1:], batch.num_rows]):
             yield batch.slice(int(lo), int(hi - lo))
+    release()
 
 
 class Words:
@@ -121,8 +134,9 @@ class Words:
         n = len(limits) - 1
         wide = np.full(len(data) + n + 1, 32, np.uint8)
         self.shift = limits + np.arange(n + 1)
-        doc = np.repeat(np.arange(n), np.diff(limits))
-        wide[np.arange(len(data)) + doc + 1] = data
+        letters = np.ones(len(wide), bool)
+        letters[self.shift] = False
+        wide[letters] = data
         blank = _BLANK[wide]
         edge = np.diff(blank.astype(np.int8))
         self.start = np.flatnonzero(edge == -1) + 1

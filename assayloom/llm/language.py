@@ -22,6 +22,7 @@ GRAM = 3
 CLASSES = 64
 UNKNOWN = "und"
 SEED = 11
+SLICE_BYTES = 1 << 19
 
 _cache: dict = {}
 
@@ -102,7 +103,7 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text", SLICE_BYTES):
             langs = np.array(batch.column("lang").to_pylist(), object)
             found, counts = grams(batch.column("text").to_pylist())
             name, gram = langs[found // CLASSES ** GRAM], found % CLASSES ** GRAM
@@ -135,7 +136,7 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred
     letters_of = _letter_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 21):
+        for batch in slices(batches, "_text", SLICE_BYTES):
             texts = batch.column("_text").to_pylist()
             vectors = bundles(texts, dimensions).astype(np.float64)
             has = np.linalg.norm(vectors, axis=1)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assayloom.llm.common import NO_ID, Words, fold, long_values, mix, runs, short_bytes, slices, utf8
+from assayloom.llm.common import NO_ID, Words, fold, long_values, mix, release, runs, short_bytes, slices, utf8
 from assayloom.llm.packs import buckets_of, by_id, in_packs, split_by, text_bytes
 
 PACK_BYTES = 8 << 20
@@ -137,6 +137,7 @@ class Counted:
     """A bucket's bigrams from all packs: sorted arrays of first word, second word and count."""
 
     def __init__(self, table: pa.Table):
+        release()
         self.rows = [{c: table[c][k].as_py() for c in table.column_names} for k in range(table.num_rows)]
         lefts, rights, counts = [], [], []
         for r in self.rows:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import NO_ID, quoted
+from assayloom.llm.common import NO_ID, quoted, release
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -32,6 +32,7 @@ def in_packs(docs: DataFrame, size: int, pack_bytes: int, keep: list[str] = [])
 
 def by_id(table: pa.Table) -> pa.Table:
     """Rows of a pack in one order, however they arrived."""
+    release()
     return table.sort_by([("_id", "ascending"), ("_text", "ascending")])
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import NO_ID, Rolling, long_values, runs, short_bytes, utf8
+from assayloom.llm.common import NO_ID, Rolling, long_values, release, runs, short_bytes, utf8
 from assayloom.llm.packs import buckets_of, by_id, in_packs, split_by, text_bytes
 
 WINDOW, GRAM = 50, 20
@@ -212,6 +212,7 @@ def _owners(row: dict) -> np.ndarray:
 
 def _answer_names(table: pa.Table) -> pa.Table:
     """Per entry asked: whether a smaller document has the stretch; whether its windows have to be sorted; whether its sample is common."""
+    release()
     rows = [{c: table[c][k].as_py() for c in table.column_names} for k in range(table.num_rows)]
     name = np.concatenate([long_values(r["names"], WIDTH) for r in rows])
     content = np.concatenate([long_values(r["contents"], WIDTH) for r in rows])
@@ -297,6 +298,7 @@ def _ask_windows(left: pa.Table, right: pa.Table, window: int, gram: int, bucket
 
 def _answer_windows(table: pa.Table, window: int) -> pa.Table:
     """Per window asked: whether it stands in a document with a smaller id."""
+    release()
     out = []
     rows = [{c: table[c][k].as_py() for c in table.column_names} for k in range(table.num_rows)]
     for r in rows:
