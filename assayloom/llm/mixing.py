@@ -90,9 +90,9 @@ def _schedule(docs: DataFrame, keep: Sequence[str], weights, cap, seed, per_bloc
     vb = vb.select(F.col("_vb").alias("_v"), F.coalesce(F.sum("_sum").over(Window.orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_vcarry"))
     run = F.sum("_size").over(Window.partitionBy("_vb").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
     taken = copies.withColumn("_run", run).join(vb, F.col("_vb") == F.col("_v")).where(F.col("_run") + F.col("_vcarry") <= F.col("_budget"))
-    last = cut(taken.agg(F.max("_m").alias("_last")))       # one row
+    last = cut(taken.agg(F.max("_m").alias("_last")))
     full = summed(placed) if set(keep) <= {"doc_id", "source"} else summed(_placed(_keyed(docs, seed).select(*keep, "_size", "_key"), targets, per_block))
-    full = full.crossJoin(F.broadcast(last))                # exactly one row on that side
+    full = full.withColumn("_last", last.scalar())
     took = [F.when((F.col("_size") > 0) & (_mark(F.lit(c)) <= F.col("_last")), 1).otherwise(0) for c in range(cap)]
     return full.withColumn("copies", sum(took[1:], took[0]))
 
