@@ -122,6 +122,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         at = np.flatnonzero(np.diff(part, prepend=-1))
         for lo, hi in zip(at, [*at[1:], batch.num_rows]):
             yield batch.slice(int(lo), int(hi - lo))
+    _powers.clear()
     release()
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import fold, quoted, slices
+from assayloom.llm.common import fold, quoted, release, slices
 
 DIMENSIONS = 1_024
 GRAM = 3
@@ -64,6 +64,13 @@ def gram_vectors(dimensions: int) -> GramVectors:
     return _cache["vectors"]
 
 
+def _forget() -> None:
+    """Drop the vectors at the end of a task, as workers live on."""
+    _cache.pop("dimensions", None)
+    _cache.pop("vectors", None)
+    release()
+
+
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of each text with their counts: arrays of (text * CLASSES**GRAM + n-gram) and counts."""
     low = [" " + (t or "").lower() + " " for t in texts]
@@ -118,6 +125,7 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
                 part = met[at:at + 4096]
                 vector += count[part] @ gram_vectors(dimensions).of(part).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(vector)], ["lang", "at", "value"])
+        _forget()
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, at int, value long")
     rows = rows.groupBy("lang", "at").agg(F.sum("value").alias("value"))
@@ -147,6 +155,7 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred
             found = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
             value = np.where(known, np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(value)], names)
+        _forget()
 
     kept = [f"_c{k}" for k in range(len(docs.columns))]
     names = [*kept, "_pred", "_score"]

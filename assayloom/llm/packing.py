@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import slices
+from assayloom.llm.common import release, slices
 from assayloom.session import cut
 
 CAPACITY = 2_048
@@ -58,7 +58,7 @@ class TextTokens:
 
 
 def tokens_of(tokenizer: str, ranks: str | None) -> TextTokens:
-    """One instance per worker process."""
+    """One instance per task."""
     import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (tokenizer, ranks)
@@ -149,6 +149,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
             if with_ids:
                 columns.append(pa.array([r[5].astype(np.int64) for r in out], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])
+        del tokens
+        _loaded.clear()     # workers live on after the task
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES + (", ids array<long>" if with_ids else ""))
 

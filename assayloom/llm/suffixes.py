@@ -26,8 +26,8 @@ from assayloom.llm.common import NO_ID, Rolling, long_values, release, runs, sho
 from assayloom.llm.packs import buckets_of, by_id, in_packs, split_by, text_bytes
 
 WINDOW, GRAM = 50, 20
-PACK_BYTES = 3 << 20
-BUCKET_BYTES = 40 << 20
+PACK_BYTES = 2 << 20
+BUCKET_BYTES = 20 << 20
 SORT_BYTES = 1 << 19        # bytes of one suffix sort, if one sample does not have more
 COMMON = 16                 # different stretches of one sample in a pack from which on it is common
 WIDTH = 6                   # bytes of a name
