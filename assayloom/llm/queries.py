@@ -18,7 +18,7 @@ def query(fn):
 
 @query
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), each_row=True)
 
 
 ORACLES["op1_exact_top_k"] = """
@@ -53,7 +53,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashing.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+    return hashing.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), each_row=True)
 
 
 @query

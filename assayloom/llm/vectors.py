@@ -19,17 +19,18 @@ CELL_VECTORS = 16_384
 CELL_QUERIES = 4_096
 
 
-def usable(vectors: DataFrame, limit: float, zero: bool) -> DataFrame:
-    """vec_id and ``x`` (array of double): vectors without null or non-finite components, one per id.
+def usable(vectors: DataFrame, zero: bool, each_row: bool = False) -> DataFrame:
+    """vec_id and ``x`` (array of double): vectors without null or non-finite components.
 
-    Rows of one id are one vector, the smallest array. Null ids, empty arrays, components of ``limit`` or more and, unless ``zero``,
-    vectors of zeros take no part.
+    Rows of one id are one vector, the smallest array, unless ``each_row``. Null ids, empty arrays and, unless ``zero``, vectors of zeros
+    take no part.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
-    good = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < limit)) & (F.size("x") > 0)     # NaN is above every number
+    good = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < math.inf)) & (F.size("x") > 0)     # NaN is above every number
     if not zero:
         good = good & F.exists("x", lambda v: v != 0)
-    return vectors.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & good).groupBy("vec_id").agg(F.min("x").alias("x"))
+    rows = vectors.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & good)
+    return rows if each_row else rows.groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -45,11 +46,11 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def grid(vectors: DataFrame, every: int, best: int, search: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: str,
-         order: Callable[[Column], Column], cell_vectors: int = CELL_VECTORS, cell_queries: int = CELL_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``best`` of every row whose id is divisible by ``every``.
+def grid(vectors: DataFrame, every: int, best: int, search: Callable[..., tuple], scores: dict[str, str], order: list[Column], cell_vectors: int = CELL_VECTORS,
+         cell_queries: int = CELL_QUERIES) -> DataFrame:
+    """query_id, rank, vec_id and the columns ``scores`` (name to type): the ``best`` of every row whose id is divisible by ``every``.
 
-    ``search(query ids, query matrix, ids, matrix)`` returns positions of queries, positions of vectors and scores of one cell.
+    ``search(query ids, query matrix, ids, matrix)`` returns positions of queries, positions of vectors and the score columns of one cell.
     """
     is_query = F.col("vec_id") % every == 0
     n, nq, width = vectors.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
@@ -58,8 +59,8 @@ def grid(vectors: DataFrame, every: int, best: int, search: Callable[..., tuple[
     everywhere = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     rows = vectors.select("vec_id", "x", F.lit(False).alias("q"), deal(groups).alias("g"), everywhere(blocks).alias("b"))
     rows = rows.unionByName(vectors.where(is_query).select("vec_id", "x", F.lit(True).alias("q"), deal(blocks).alias("b"), everywhere(groups).alias("g")))
-    kind = pa.int64() if score_type == "long" else pa.float64()
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", kind)])
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), *[(c, kinds[t]) for c, t in scores.items()]])
 
     def cell(table: pa.Table) -> pa.Table:
         is_q = table["q"].to_numpy()
@@ -69,12 +70,12 @@ def grid(vectors: DataFrame, every: int, best: int, search: Callable[..., tuple[
         if is_q.all() or not is_q.any():
             return schema.empty_table()
         q_ids, c_ids = ids[is_q], ids[~is_q]
-        qi, ci, score = search(q_ids, x[is_q], c_ids, x[~is_q])
-        return pa.table([q_ids[qi], c_ids[ci], score], schema=schema)
+        qi, ci, *score = search(q_ids, x[is_q], c_ids, x[~is_q])
+        return pa.table([q_ids[qi], c_ids[ci], *score], schema=schema)
 
-    found = rows.groupBy("g", "b").applyInArrow(cell, f"query_id long, vec_id long, score {score_type}")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order(F.col("score")), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= best).select("query_id", "rank", "vec_id", "score")
+    found = rows.groupBy("g", "b").applyInArrow(cell, ", ".join(["query_id long, vec_id long", *[f"{c} {t}" for c, t in scores.items()]]))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= best).select("query_id", "rank", "vec_id", *scores)
 
 
 def first_per_query(qi: np.ndarray, ci: np.ndarray, score: np.ndarray, best: int) -> np.ndarray:
