@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayloom.llm import chat, hashing, jaccard, language, mixing, ngram, packing, quality, suffixes, topk
+from assayloom.llm import chat, collocations, extraction, hashing, jaccard, language, mixing, ngram, packing, quality, suffixes, topk, whitening
 from assayloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -120,3 +120,49 @@ from m group by conv_id"""
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+with recursive d as (select coalesce(lang, 'und') as lang,
+                  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps from documents),
+p as (select lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') as w from d),
+s as (select lang, len(w) as many, w, unnest(range(1, len(w) + 1)) as i from p),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from s, (select unnest([1, 2, 3, 4, 5]) as k) where i + k - 1 <= many),
+f as (select lang, k, phrase, count(*)::hugeint as a from g group by all),
+n as (select lang, sum(a)::hugeint as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1 and a >= 100),
+u as (select c.*, unnest(range(1, k)) as cut from c),
+x as (select u.lang, u.k, u.phrase, u.a, u.cut, l.a as l, r.a as r, n.n, (1000 * u.a * n.n) // (l.a * r.a) as score from u join n using (lang)
+      join f l on l.lang = u.lang and l.k = u.cut and l.phrase = array_to_string(w[1:cut], ' ')
+      join f r on r.lang = u.lang and r.k = u.k - u.cut and r.phrase = array_to_string(w[cut + 1:], ' ')),
+b as (select * from x qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ as (select lang, array_to_string(w[unnest(range(1, k - j + 2)):][1:j], ' ') as phrase, a from c, (select unnest([2, 3, 4]) as j) where j < k),
+covered as (select b.lang, b.phrase from b join inner_ i on b.lang = i.lang and b.phrase = i.phrase group by b.lang, b.phrase having max(100 * i.a) >= 100 * max(b.a)),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b
+      where not exists (select 1 from covered v where v.lang = b.lang and v.phrase = b.phrase))
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o where rank <= 2000"""
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
+# the article of pages marked up as those of the given table; a page's node densities cannot be written in SQL
+ORACLES["op13_html_extraction"] = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as a from pages),
+b as (select page_id, url, regexp_split_to_array(regexp_replace(a, '</?b>', '', 'g'), '</?(?:p|h1)>') as bs from a),
+t as (select page_id, url, [trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) for x in bs] as bs from b)
+select page_id, url, array_to_string([x for x in bs if x <> ''], chr(10) || chr(10)) as text,
+       len(array_to_string([x for x in bs if x <> ''], chr(10) || chr(10)))::bigint as n_chars from t"""
