@@ -144,22 +144,23 @@ def _counted(p: Phrases, first: bool, new: Bits | None, old: Bits | None, longes
         h = _named(chain[at], k)
         yield h[~done], at[~done]
         if k < longest:
+            # a bit may be on by chance before the phrase's own parts are, so these count too, then and now
             started, ended = none.copy(), none.copy()
             started[at] = new.has(h)
             if old:
-                ended[at] = old.has(h)
+                ended[at] = done & old.has(h)
 
 
 def _dealt(docs: DataFrame, path: str, shards: int) -> DataFrame:
     """Texts in packs of a few megabytes, packs in shards, written once: every scan reads one shard only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = pack = 0
-        for batch in batches:
+        for batch in batches:       # all of one partition
             for part in slices(iter([batch]), "text", SLICE_BYTES):
                 n = part.num_rows
                 size += part.column("text").nbytes
                 number = (part.column("part")[0].as_py() << 24) + pack
-                yield pa.RecordBatch.from_arrays([pa.array([number % shards] * n, pa.int32()), pa.array([number] * n, pa.int64()), part.column("lang"), part.column("text")],
+                yield pa.RecordBatch.from_arrays([pa.array([(number + (number >> 24)) % shards] * n, pa.int32()), pa.array([number] * n, pa.int64()), part.column("lang"), part.column("text")],
                                                  ["shard", "pack", "lang", "text"])
                 if size >= PACK_BYTES:
                     size, pack = 0, pack + 1

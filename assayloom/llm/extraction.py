@@ -171,8 +171,8 @@ class Page:
         self._pop_to(tag)
 
 
-def _densities(page: Page) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum of its children's."""
+def _densities(page: Page) -> tuple[list[float], list[float], bool]:
+    """Composite density of every node, the sum of its children's, and whether there is text outside links."""
     n = len(page.tag)
     chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
     inside = [False] * n
@@ -201,16 +201,16 @@ def _densities(page: Page) -> tuple[list[float], list[float]]:
             density[k] = c / t * math.log(c / max(lc, 1) * t / lt) / max(math.log(base), 0.05)
         if k:
             sums[page.parent[k]] += density[k]
-    return density, sums
+    return density, sums, chars[0] > linked[0]
 
 
 def _marked(page: Page) -> list[bool]:
     """Nodes whose texts are main text."""
     n = len(page.tag)
-    density, sums = _densities(page)
+    density, sums, any_text = _densities(page)
     live = [k for k in range(n) if not page.drop[k]]
-    if not any(density):        # text too short, or nothing but links
-        return [False] * n
+    if not any(density):        # a letter or two, or nothing but links
+        return [any_text and not d for d in page.drop]
     top = max(live, key=lambda k: (sums[k], -k)) if any(s > 0 for s in sums) else 0
     threshold, at = density[top], top
     while at >= 0:
