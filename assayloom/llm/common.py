@@ -112,14 +112,18 @@ def release() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of each hold about ``limit`` bytes; a longer text stands alone."""
+SLICE_ROWS = 1 << 14
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of each hold about ``limit`` bytes, and it at most ``rows`` rows; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // limit
         at = np.flatnonzero(np.diff(part, prepend=-1))
+        at = np.unique(np.concatenate([np.arange(lo, hi, rows) for lo, hi in zip(at, [*at[1:], batch.num_rows])]))
         for lo, hi in zip(at, [*at[1:], batch.num_rows]):
             yield batch.slice(int(lo), int(hi - lo))
     _powers.clear()
