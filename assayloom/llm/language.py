@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayloom.llm.common import fold, quoted, release, slices
+from assayloom.llm.common import fold, fresh, quoted, release, slices
 
 DIMENSIONS = 1_024
 GRAM = 3
@@ -23,6 +23,9 @@ CLASSES = 64
 UNKNOWN = "und"
 SEED = 11
 SLICE_BYTES = 1 << 19
+SLICE_ROWS = 1 << 10
+LEAST_SHARE = 1e-5     # of the training documents may stay below the least cosine
+PIECE = 2_048           # n-grams whose vectors are added at a time
 
 _cache: dict = {}
 
@@ -98,8 +101,9 @@ def bundles(texts: list[str | None], dimensions: int) -> np.ndarray:
     limits = np.searchsorted(found, np.arange(len(texts) + 1) * CLASSES ** GRAM)
     vectors = gram_vectors(dimensions)
     for k, (lo, hi) in enumerate(zip(limits, limits[1:])):
-        if hi > lo:
-            out[k] = counts[lo:hi].astype(np.float32) @ vectors.of(found[lo:hi] - k * CLASSES ** GRAM).astype(np.float32)
+        for at in range(lo, hi, PIECE):
+            end = min(at + PIECE, hi)
+            out[k] += counts[at:end].astype(np.float32) @ vectors.of(found[at:end] - k * CLASSES ** GRAM).astype(np.float32)
     return out
 
 
@@ -110,19 +114,18 @@ def learn_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[lis
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
             langs = np.array(batch.column("lang").to_pylist(), object)
             found, counts = grams(batch.column("text").to_pylist())
             name, gram = langs[found // CLASSES ** GRAM], found % CLASSES ** GRAM
             for lang in set(langs):
                 at = name == lang
-                total.setdefault(lang, np.zeros(CLASSES ** GRAM, np.int64))
-                total[lang] += np.bincount(gram[at], counts[at], CLASSES ** GRAM).astype(np.int64)
+                np.add.at(total.setdefault(lang, np.zeros(CLASSES ** GRAM, np.int64)), gram[at], counts[at])
         for lang, count in total.items():
             met = np.flatnonzero(count)
             vector = np.zeros(dimensions, np.int64)
-            for at in range(0, len(met), 4096):
-                part = met[at:at + 4096]
+            for at in range(0, len(met), PIECE):
+                part = met[at:at + PIECE]
                 vector += count[part] @ gram_vectors(dimensions).of(part).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(vector)], ["lang", "at", "value"])
         _forget()
@@ -140,14 +143,14 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred
     Null texts, texts without a letter, and all texts where nothing was learned are ``und`` with score 0.
     """
     dimensions = prototypes.shape[1]
-    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)
+    unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)).astype(np.float32)
     letters_of = _letter_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", SLICE_BYTES):
+        for batch in slices(batches, "_text", SLICE_BYTES, SLICE_ROWS):
             texts = batch.column("_text").to_pylist()
-            vectors = bundles(texts, dimensions).astype(np.float64)
-            has = np.linalg.norm(vectors, axis=1)
+            vectors = bundles(texts, dimensions)
+            has = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
             cosine = vectors @ unit.T / np.maximum(has, 1e-300)[:, None] if len(languages) else np.zeros((len(texts), 1))
             letters = np.array([any(letters_of()[ord(c)] for c in set(t or "".lower())) for t in texts], bool)
             best = cosine.argmax(1)
@@ -165,6 +168,38 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred
     return out.select(*[F.col(k).alias(c) for c, k in zip([*docs.columns, pred, score], names)])
 
 
+def least_cosine(docs: DataFrame, languages: list[str], prototypes: np.ndarray, share: float = LEAST_SHARE) -> float:
+    """Cosine that all but a ``share`` of the documents with a language reach, less a tenth of it: below it a text is like none of the languages.
+
+    A quantile by counts of cosines in thousandths, so the driver sees at most a thousand rows; 0 where nothing was learned.
+    """
+    if not languages:
+        return 0.0
+    rows = classify(docs.where(F.col("lang").isNotNull()).select("text"), languages, prototypes, "p", "s").where(F.col("p") != UNKNOWN)
+    counts = sorted((r["at"], r["n"]) for r in rows.groupBy(F.floor(F.col("s") * 1000).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = share * sum(n for _, n in counts)
+    for at, n in counts:
+        left -= n
+        if left < 0:
+            return 0.9 * float(at) / 1000
+    return 0.0
+
+
+def with_language(docs: DataFrame, parts: int = 3, held: int = 1, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Rows of ``docs`` whose text is like a language learned: those with a letter whose cosine is at least the least cosine of the training folds.
+
+    Where no language was learned, all rows with a letter stay. Rows of null or empty text, or without a letter, go.
+    """
+    trained = docs.where(fold("doc_id", parts) != held).select("text", "lang")
+    languages, prototypes = learn_prototypes(trained, dimensions)
+    if not languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    least = least_cosine(trained, languages, prototypes)
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
+    found = classify(docs, languages, prototypes, pred, score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
+
+
 def identify(docs: DataFrame, keep: list[str], parts: int = 3, held: int = 1, dimensions: int = DIMENSIONS, pred: str = "lang_pred",
              score: str = "score", held_out: str = "held_out") -> DataFrame:
     """Learn from the documents outside the held-out fold, then predict all: ``keep``, whether held out, language, score.
