@@ -12,7 +12,7 @@ from assayloom.plans.registry import query
 from assayloom.plans.screening import r6
 from assayloom.session import cut
 
-LONG = """feat AS (SELECT vec_id AS sample, i - 1 AS feature, greatest(CAST(e AS DOUBLE), 0) AS value, label FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+LONG = """feat AS (SELECT vec_id AS sample, i - 1 AS feature, abs(CAST(e AS DOUBLE)) AS value, label FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
  long AS (SELECT sample, feature, value FROM feat),
  dense AS (SELECT s.sample, f.feature, coalesce(l.value, 0) AS value FROM (SELECT DISTINCT sample FROM long) s CROSS JOIN (SELECT DISTINCT feature FROM long) f LEFT JOIN long l USING (sample, feature)),
  lab2 AS (SELECT vec_id AS sample, CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS label FROM embeddings),
@@ -20,9 +20,9 @@ LONG = """feat AS (SELECT vec_id AS sample, i - 1 AS feature, greatest(CAST(e AS
 
 
 def feature_long(spark, sf):
-    """All embedding entries as peak-like features; negative ones are stored as 0."""
+    """All embedding entries as peak-like features, by their absolute value."""
     rows = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("feature", "value"))
-    return rows.select("sample", F.col("feature").cast("long").alias("feature"), F.greatest(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    return rows.select("sample", F.col("feature").cast("long").alias("feature"), F.abs(F.col("value").cast("double")).alias("value"))
 
 
 def labels(spark, sf, k: int = 2):

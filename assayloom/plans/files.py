@@ -196,12 +196,15 @@ def _(spark, sf):
     return ch.read_peak_tables(spark, _documents(spark, lines.unionByName(head), "sample", ["seq"], "peaks"), "min", "sample").select("sample", "rt", "area", "height", "name")
 
 
-@query("S13_read_feature_matrix", f"WITH {LONG} SELECT 'V' || sample AS sample, 'F' || feature AS feature, value FROM dense")
+@query("S13_read_feature_matrix", f"""WITH {LONG} SELECT 'V' || sample AS sample, 'F' || feature AS feature, CASE WHEN (sample + feature) % 5 = 0 THEN 0 ELSE value END AS value FROM dense""")
 def _(spark, sf):
+    """Every cell is written as a number but every fifth one of a line, which is a dash and reads as zero."""
     cells = densify(feature_long(spark, sf))
     names = sorted(r["feature"] for r in cells.select("feature").distinct().collect())
-    rows = cells.groupBy("sample").pivot("feature", names).agg(F.first("value"))
-    lines = rows.select(F.lit("m").alias("doc"), F.col("sample").alias("seq"), F.concat_ws(",", F.concat(F.lit("V"), "sample"), *[F.when(F.col(f"`{n}`") == 0, "-").otherwise(F.col(f"`{n}`").cast("string")) for n in names]).alias("line"))
+    text = F.when((F.col("sample") + F.col("feature")) % 5 == 0, "-").otherwise(F.col("value").cast("string"))
+    rows = cells.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("feature", text.alias("t")))).alias("cells"))
+    line = F.concat_ws(",", F.concat(F.lit("V"), "sample"), F.array_join(F.transform("cells", lambda c: c["t"]), ","))
+    lines = rows.select(F.lit("m").alias("doc"), F.col("sample").alias("seq"), line.alias("line"))
     head = spark.range(1).select(F.lit("m").alias("doc"), F.lit(-1).cast("long").alias("seq"), F.lit(",".join(["Sample"] + [f"F{n}" for n in names])).alias("line"))
     return ch.read_feature_matrix(spark, _documents(spark, lines.unionByName(head), "doc", ["seq"], "matrix"), "doc").drop("document")
 

@@ -8,15 +8,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from assayloom.plans import all_queries
+from assayloom.plans.registry import ORACLES
 
+all_queries()
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SAMPLE = ["A1_replicate_stats", "A10_summarize_docking_by_group", "A12_rmsd_summary", "A8_property_distribution", "P4_classify_rules", "J13_interaction_similarity", "J5_map_batches", "P18_scale_pareto",
-          "P19_normalize_pqn", "A25_mann_whitney", "W1_benjamini_hochberg", "J17_resample", "A20_bin_signal", "P24_rt_factor", "J8_kovats_index", "J10_inherit_peak_names", "J18_fill_gaps", "J19_assign_charges",
-          "J7_nearest_native", "S1_read_ligands", "S18_read_pdb_atoms", "ST1_stream_replicate_stats", "F6_parse_atom_spec", "W6_paginate"]
-if os.environ.get("ALL_QUERIES"):
-    SAMPLE = sorted(entry.oracle_sql())
+# every query outside the training-data subpackage, whose tests run its own
+SQL_QUERIES = sorted(ORACLES)
 
 
 def plain(v):
@@ -33,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", SQL_QUERIES)
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rel = duck.sql(entry.oracle_sql()[name])
