@@ -6,6 +6,7 @@ Hashes are polynomials modulo 2**64 over bytes or words, taken from running sums
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +131,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int, rows: int =
     release()
 
 
+def let_go(spark) -> None:
+    """Let the driver notice which shuffles and checkpoints nothing refers to any more, so that their files go.
+
+    Spark deletes them when the driver collects its garbage; a job of many small rounds may end before that happens by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Words:
     """Words of a batch of texts: limits in the byte array, number of the text, hash; A-Z is lower-cased first."""
 
