@@ -1,7 +1,7 @@
 """PCA, clustering and cross-validated classifiers.
 
-Rows are only ever touched by Spark. What reaches the driver is a table of moments whose size follows from the number of features,
-classes and folds: means, features-by-features cross products, class sums. Predictions go back to the rows as matrix products.
+Rows are only ever touched by Spark. What reaches the driver is a few vectors as long as there are features, per class and fold: sums, squares,
+class sums and components (``linear``). Predictions go back to the rows as products with such vectors.
 """
 
 from __future__ import annotations
@@ -12,29 +12,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayloom.functions.udfs import beta_quantile
-from assayloom.operators.features import _n_samples, class_list, densify, scale_features
+from assayloom.operators import linear
+from assayloom.operators.features import class_list, scale_features
+from assayloom.operators.linear import EVERY, Moments, fold_moments
 from assayloom.ordered import numbered
 from assayloom.session import cut
 
 CHI2_95 = 5.991  # fixed value
-MAX_FEATURES = 2000
+SMALL_INDEX = 100_000       # features whose numbers are sent to all tasks; longer lists are joined by shuffle
 
 
 # ---- wide rows ---------------------------------------------------------------------------------------------
 
 def feature_names(long: DataFrame) -> list:
-    """Distinct features in order. Models hold features-by-features matrices, so too many features are refused, not cut."""
-    found = [r["feature"] for r in long.select("feature").distinct().limit(MAX_FEATURES + 1).collect()]
-    if len(found) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features; choose some with top_features first")
-    return sorted(found)
+    """Distinct features in order; the list is as long as a vector of the models."""
+    return sorted(r["feature"] for r in long.select("feature").distinct().collect())
 
 
 def wide_rows(long: DataFrame, names: list) -> DataFrame:
@@ -42,7 +39,8 @@ def wide_rows(long: DataFrame, names: list) -> DataFrame:
     spark = long.sparkSession
     kind = dict(long.dtypes)["feature"]
     index = spark.createDataFrame([(f, k) for k, f in enumerate(names)], f"feature {kind}, k int")
-    cells = long.join(F.broadcast(index), "feature").groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))
+    cells = long.join(F.broadcast(index) if len(names) <= SMALL_INDEX else index, "feature")
+    cells = cells.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))
     keys = F.sequence(F.lit(0), F.lit(len(names) - 1))
     return cells.select("sample", F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0))).alias("x"))
 
@@ -56,26 +54,41 @@ class PcaTables:
     variance: DataFrame    # component, ratio
 
 
+def _projected(rows: DataFrame, load: np.ndarray) -> DataFrame:
+    """sample and ``s``: the products of its row with the columns of ``load``."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"sample": pdf["sample"], "s": list(np.vstack(pdf["x"].to_numpy()) @ load)})
+    return rows.select("sample", "x").mapInPandas(run, f"sample {dict(rows.dtypes)['sample']}, s array<double>")
+
+
+def _components(scaled: DataFrame, p: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Leading eigenvalues and vectors of the cross products of scaled, centred rows, and their trace."""
+    rows = scaled.select("x", F.lit(0).alias("fold"))
+    values, vectors = linear.leading(lambda v: linear.products(rows, v), [EVERY], p, k)[EVERY]
+    trace = scaled.agg(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
+    return values, vectors, trace
+
+
 def pca(long: DataFrame, labels: DataFrame, k: int = 3, scaling: str = "auto") -> PcaTables:
-    """Principal components of the scaled matrix; the largest loading of a component is positive, empty components are zero."""
+    """Principal components of the scaled matrix; the largest loading of a component is positive, empty components are zero.
+
+    Tables of any number of features: the components are found by products of the matrix with a few vectors.
+    """
     spark = long.sparkSession
     if labels.select("label").distinct().count() < 2:
         raise ValueError("PCA needs at least two classes")
     names = feature_names(long)
-    scaled = wide_rows(scale_features(long, scaling), names).select("sample", array_to_vector("x").alias("v"))
+    scaled = cut(wide_rows(scale_features(long, scaling), names))
     n = scaled.count()
     if n < 3 or len(names) < 2:
         raise ValueError("PCA needs three samples and two features")
     k = min(k, len(names), n - 1)
-    model = PCA(k=k, inputCol="v", outputCol="s").fit(scaled)
-    load = np.array(model.pc.toArray())
-    sign = np.sign(load[np.abs(load).argmax(axis=0), np.arange(k)])
-    ratio = np.array(model.explainedVariance.toArray())
+    values, load, trace = _components(scaled, len(names), k)
+    ratio = values / max(trace, 1e-300)
     empty = ratio < 1e-12
-    sign = np.where(empty, 0.0, sign)
-    load, ratio = load * sign, np.where(empty, 0.0, ratio)
-    flips = F.array(*[F.lit(float(s)) for s in sign])
-    scores = model.transform(scaled).select("sample", F.posexplode(F.zip_with(vector_to_array("s"), flips, lambda a, b: a * b)).alias("c", "score"))
+    load, ratio = np.where(empty, 0.0, load), np.where(empty, 0.0, ratio)
+    scores = _projected(scaled, load).select("sample", F.posexplode("s").alias("c", "score"))
     kind = dict(long.dtypes)["feature"]
     rows = [(f, c + 1, float(load[j, c])) for j, f in enumerate(names) for c in range(k)]
     return PcaTables(
@@ -122,7 +135,8 @@ def top_loadings(loadings: DataFrame, n: int = 8) -> DataFrame:
 
 # ---- Ward clustering -----------------------------------------------------------------------------------------
 
-MICRO_CLUSTERS = 512
+LEAVES = 512            # of the tree of clustering features, at most
+DIRECTIONS = 256        # components in which features are compared
 
 
 def _squared_gaps(points: np.ndarray) -> np.ndarray:
@@ -183,87 +197,135 @@ def _cut_tree(merges: np.ndarray, n: int, clusters: int) -> np.ndarray:
 class ClusterTables:
     merges: DataFrame     # left, right, height, size
     labels: DataFrame     # sample, cluster, leaf
-    exact: bool           # True when no micro-clusters were needed
+    error: float          # share of the sum of squares that lies inside the leaves
 
 
-def hierarchical_clusters(long: DataFrame, n_clusters: int = 3, micro: int = MICRO_CLUSTERS, seed: int = 0, scaling: str = "auto") -> ClusterTables:
-    """Ward linkage on z-scored features.
+class _Tree:
+    """Tree of clustering features: every leaf is a count, a sum and a sum of squares per feature, all of them additive.
 
-    Up to ``micro`` samples the linkage is the plain one. Beyond, Spark first groups the samples into ``micro`` clusters and the
-    linkage runs on their centres weighted by size; ``exact`` tells which.
+    Leaves are split at their mean along the feature that varies most, those with the largest sum of squares first, so the tree follows from
+    the set of rows alone, however they are partitioned.
+    """
+
+    def __init__(self):
+        self.feature, self.at, self.low, self.leaf = [-1], [0.0], [-1], [0]     # children stand at low and low + 1
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Leaf number of every row."""
+        feature, at, low = np.array(self.feature), np.array(self.at), np.array(self.low)
+        node = np.zeros(len(x), np.int64)
+        while True:
+            inner = np.flatnonzero(feature[node] >= 0)
+            if not len(inner):
+                return np.array(self.leaf)[node]
+            here = node[inner]
+            node[inner] = low[here] + (x[inner, feature[here]] > at[here])
+
+    def features(self, rows: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, sum and sum of squares of the leaves, one pass."""
+        tree, count = self, max(self.leaf) + 1
+
+        def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, s = np.zeros(count), np.zeros((count, 2 * p))
+            for pdf in it:
+                x = np.vstack(pdf["x"].to_numpy())
+                leaf = tree.place(x)
+                order = np.argsort(leaf, kind="stable")
+                at = np.flatnonzero(np.diff(leaf[order], prepend=-1))
+                used = leaf[order][at]
+                n += np.bincount(leaf, minlength=count)
+                s[used] += np.add.reduceat(np.hstack([x, x * x])[order], at)
+            used = np.flatnonzero(n)
+            if len(used):
+                yield pd.DataFrame({"leaf": used, "v": list(np.hstack([n[used, None], s[used]]))})
+
+        found = linear.vector_sum(rows.select("x").mapInPandas(partial, "leaf int, v array<double>"), ["leaf"])
+        m = np.vstack([found[(k,)] for k in range(count)])
+        return m[:, 0], m[:, 1:1 + p], m[:, 1 + p:]
+
+    def split(self, n: np.ndarray, s: np.ndarray, q: np.ndarray, most: int) -> bool:
+        """Split what can be split, up to ``most`` leaves; False where nothing was."""
+        within = np.maximum(q - s * s / n[:, None], 0.0)
+        within[within <= 1e-9 * q] = 0.0        # no more than rounding
+        spread = within.sum(1)
+        chosen = np.argsort(-spread, kind="stable")
+        chosen = chosen[spread[chosen] > 0][:most - len(n)]
+        node_of = {leaf: node for node, leaf in enumerate(self.leaf) if self.feature[node] < 0}
+        for leaf in chosen:
+            node, j = node_of[int(leaf)], int(within[leaf].argmax())
+            self.feature[node], self.at[node], self.low[node] = j, float(s[leaf, j] / n[leaf]), len(self.feature)
+            for number in (int(leaf), max(self.leaf) + 1):
+                self.feature.append(-1)
+                self.at.append(0.0)
+                self.low.append(-1)
+                self.leaf.append(number)
+        return len(chosen) > 0
+
+
+def _ward_of(rows: DataFrame, p: int, leaves: int) -> tuple[_Tree, np.ndarray, np.ndarray, float]:
+    """The tree, Ward's merges of its leaves' means weighted by their counts, the counts, and the share of squares inside the leaves."""
+    tree = _Tree()
+    n, s, q = tree.features(rows, p)
+    whole = float(np.maximum(q - s * s / n[:, None], 0.0).sum())
+    while len(n) < leaves and tree.split(n, s, q, leaves):
+        n, s, q = tree.features(rows, p)
+    inside = np.maximum(q - s * s / n[:, None], 0.0)
+    inside[inside <= 1e-9 * q] = 0.0
+    return tree, ward_merges(_squared_gaps(s / n[:, None]), n), n, float(inside.sum()) / max(whole, 1e-300)
+
+
+def hierarchical_clusters(long: DataFrame, n_clusters: int = 3, leaves: int = LEAVES, scaling: str = "auto") -> ClusterTables:
+    """Ward linkage on z-scored features, over the leaves of a tree of clustering features.
+
+    The tree is split in Spark until it has ``leaves`` leaves or every leaf holds equal rows, whatever the number of samples. With no more
+    than ``leaves`` different rows each is a leaf, and the linkage is Ward's own over them; beyond, ``error`` is the share of the sum
+    of squares that the leaves hide. Only the leaves (a count and a mean each) reach the driver; samples find their leaf in Spark.
     """
     spark = long.sparkSession
     names = feature_names(long)
-    rows = cut(wide_rows(scale_features(long, scaling), names).select("sample", array_to_vector("x").alias("v")))
-    n = rows.count()
-    if n < 2:
+    rows = cut(wide_rows(scale_features(long, scaling), names))
+    if rows.limit(2).count() < 2:
         raise ValueError("clustering needs two samples")
+    tree, merges, size, error = _ward_of(rows, len(names), leaves)
+    label, leaf = _cut_tree(merges, len(size), n_clusters), {m: k for k, m in enumerate(_leaves(merges, len(size)))}
     kind = dict(long.dtypes)["sample"]
-    if n <= micro:
-        got = rows.orderBy("sample").collect()
-        centres, sizes = np.array([r["v"].toArray() for r in got]), np.ones(n)
-        members = spark.createDataFrame([(r["sample"], k) for k, r in enumerate(got)], f"sample {kind}, micro int")
-    else:
-        model = KMeans(k=micro, seed=seed, featuresCol="v", predictionCol="micro", maxIter=20).fit(rows)
-        members = model.transform(rows).select("sample", "micro")
-        count = {r["micro"]: r["n"] for r in members.groupBy("micro").agg(F.count(F.lit(1)).alias("n")).collect()}
-        used = sorted(count)
-        centres, sizes = np.array(model.clusterCenters())[used], np.array([count[k] for k in used])
-        remap = spark.createDataFrame([(k, j) for j, k in enumerate(used)], "micro int, j int")
-        members = members.join(F.broadcast(remap), "micro").select("sample", F.col("j").alias("micro"))
-    merges = ward_merges(_squared_gaps(centres), sizes)
-    label, leaf = _cut_tree(merges, len(centres), n_clusters), {m: k for k, m in enumerate(_leaves(merges, len(centres)))}
-    lookup = spark.createDataFrame([(k, int(label[k]), leaf[k]) for k in range(len(centres))], "micro int, cluster int, leaf int")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = np.array([leaf[k] for k in range(len(size))])
+        for pdf in it:
+            at = tree.place(np.vstack(pdf["x"].to_numpy()))
+            yield pd.DataFrame({"sample": pdf["sample"], "cluster": label[at], "leaf": places[at]})
+
     table = spark.createDataFrame([(int(a), int(b), float(h), int(s)) for a, b, h, s in merges], "left int, right int, height double, size long")
-    return ClusterTables(table, members.join(F.broadcast(lookup), "micro").select("sample", "cluster", "leaf"), n <= micro)
+    return ClusterTables(table, rows.select("sample", "x").mapInPandas(run, f"sample {kind}, cluster int, leaf int"), error)
 
 
-def cluster_order(long: DataFrame, micro: int = MICRO_CLUSTERS) -> DataFrame:
+def cluster_order(long: DataFrame, leaves: int = LEAVES, directions: int = DIRECTIONS) -> DataFrame:
     """Cells with the leaf position of their row and column; needs three or more on each axis.
 
-    Columns are compared through the features-by-features cross products, so all samples count.
+    Columns are compared by their coordinates along the ``directions`` leading components of the scaled matrix, so all samples count.
     """
     spark = long.sparkSession
     names = feature_names(long)
     if len(names) < 3 or long.select("sample").distinct().limit(3).count() < 3:
         raise ValueError("clustering both axes needs three samples and three features")
-    rows = hierarchical_clusters(long, 1, micro).labels.select("sample", F.col("leaf").alias("row_leaf"))
-    one = wide_rows(long, names).select("x", F.lit(0).alias("y"), F.lit(0).alias("fold"))
-    cross = fold_moments(one, 1, 1, len(names))[0].scaled("auto")[2]
-    own = np.diag(cross)
-    merges = ward_merges(np.maximum(own[:, None] + own[None, :] - 2.0 * cross, 0.0), np.ones(len(names)))
+    rows = hierarchical_clusters(long, 1, leaves).labels.select("sample", F.col("leaf").alias("row_leaf"))
+    scaled = cut(wide_rows(scale_features(long, "auto"), names))
+    values, load, _ = _components(scaled, len(names), min(len(names), directions))
     kind = dict(long.dtypes)["feature"]
-    leaves = spark.createDataFrame([(names[j], k) for k, j in enumerate(_leaves(merges, len(names)))], f"feature {kind}, col_leaf int")
-    return long.join(rows, "sample").join(F.broadcast(leaves), "feature")
+    points = spark.createDataFrame([(f, [float(c) for c in x]) for f, x in zip(names, load * np.sqrt(values))], f"sample {kind}, x array<double>")
+    tree, merges, size, _ = _ward_of(points, load.shape[1], leaves)
+    place = {m: k for k, m in enumerate(_leaves(merges, len(size)))}
+    at = tree.place(load * np.sqrt(values))
+    index = spark.createDataFrame([(f, place[int(a)]) for f, a in zip(names, at)], f"feature {kind}, col_leaf int")
+    return long.join(rows, "sample").join(F.broadcast(index) if len(names) <= SMALL_INDEX else index, "feature")
 
 
 # ---- cross-validated classifiers ------------------------------------------------------------------------------
 
-@dataclass
-class Moments:
-    """Additive moments of a set of samples: count, sum, cross products, class counts and class sums."""
-
-    n: float
-    s: np.ndarray
-    g: np.ndarray
-    cn: np.ndarray
-    cs: np.ndarray
-
-    def __sub__(self, other: Moments) -> Moments:
-        return Moments(self.n - other.n, self.s - other.s, self.g - other.g, self.cn - other.cn, self.cs - other.cs)
-
-    def __add__(self, other: Moments) -> Moments:
-        return Moments(self.n + other.n, self.s + other.s, self.g + other.g, self.cn + other.cn, self.cs + other.cs)
-
-    def scaled(self, method: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean, divisor and the scaled, centred cross products."""
-        mean = self.s / self.n
-        centred = self.g - self.n * np.outer(mean, mean)
-        std = np.sqrt(np.maximum(np.diag(centred) / self.n, 0.0))
-        std = np.where(std <= 1e-12 * np.maximum(np.abs(mean), 1e-300), 1.0, std)
-        div = {"auto": std, "pareto": np.sqrt(std), "center": np.ones_like(std)}[method]
-        return mean, div, centred / np.outer(div, div)
-
+RANK = 256              # components that permuted labels are fitted on
+PERM_BLOCK = 128
+ROW_BLOCK = 4_096
 
 def stratified_folds(labels: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Fold per sample: samples of a class in hashed order, dealt round robin."""
@@ -272,85 +334,114 @@ def stratified_folds(labels: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return numbered(hashed, ["label"], ["_h", "_h2"], "_rn").select("sample", "label", ((F.col("_rn") - 1) % k).cast("int").alias("fold"))
 
 
-def _vector_sum(df: DataFrame, keys: list[str], col: str) -> dict[tuple, np.ndarray]:
-    summed = df.groupBy(*keys).agg(Summarizer.sum(array_to_vector(col)).alias("v"))
-    return {tuple(r[k] for k in keys): r["v"].toArray() for r in summed.collect()}
-
-
-def fold_moments(rows: DataFrame, folds: int, classes: int, p: int) -> list[Moments]:
-    """Moments per fold in one pass; ``rows`` has x (array), y (class index) and fold."""
-    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[int, np.ndarray] = {}
-        for pdf in it:
-            for fold, part in pdf.groupby("fold"):
-                x = np.vstack(part["x"].to_numpy())
-                z = np.hstack([np.ones((len(x), 1)), np.eye(classes)[part["y"].to_numpy()], x])
-                prod = z.T @ z
-                acc[fold] = acc.get(fold, 0.0) + prod
-        for fold, m in acc.items():
-            yield pd.DataFrame({"fold": fold, "row": np.arange(len(m)), "v": list(m)})
-
-    parts = rows.select("fold", "y", "x").mapInPandas(partial, "fold int, row int, v array<double>")
-    sums = _vector_sum(parts, ["fold", "row"], "v")
-    out = []
-    for f in range(folds):
-        m = np.vstack([sums[(f, r)] for r in range(1 + classes + p)])
-        out.append(Moments(m[0, 0], m[0, 1 + classes:], m[1 + classes:, 1 + classes:], m[0, 1:1 + classes], m[1:1 + classes, 1 + classes:]))
-    return out
-
-
-def _total(parts: list[Moments]) -> Moments:
-    out = parts[0]
-    for m in parts[1:]:
-        out = out + m
-    return out
+class _Pls:
+    """PLS of one training set, grown by one component per product of its cross products with a weight vector."""
+
+    def __init__(self, m: Moments, scaling: str):
+        self.n, self.share = m.n, m.cn / m.n
+        self.mean, self.div, self.squares = m.scaled(scaling)
+        self.c = ((m.cs - np.outer(m.cn, self.mean)) / self.div).T        # features x classes, X'Y centred
+        self.w, self.p, self.q, self.tt, self.linear = [], [], [], [], []
+
+    def weight(self) -> np.ndarray | None:
+        u, sv, _ = np.linalg.svd(self.c, full_matrices=False)
+        return None if not len(sv) or sv[0] < 1e-12 else u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0] or 1.0)
+
+    def add(self, w: np.ndarray, product: np.ndarray) -> bool:
+        """``product``: X'X w of the scaled matrix; deflated here by the components so far."""
+        for p, tt in zip(self.p, self.tt):
+            product = product - tt * p * (p @ w)
+        tt = float(w @ product)
+        if tt < 1e-12:
+            return False
+        p, q = product / tt, self.c.T @ w / tt
+        self.c = self.c - tt * np.outer(p, q)
+        for have, new in ((self.w, w), (self.p, p), (self.q, q), (self.tt, tt)):
+            have.append(new)
+        W, P, Q = np.array(self.w).T, np.array(self.p).T, np.array(self.q).T
+        b = W @ np.linalg.pinv(P.T @ W) @ Q.T
+        self.linear.append((b / self.div[:, None], self.share - (self.mean / self.div) @ b))
+        return True
+
+    def models(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each number of components the linear model; the class shares where there is none."""
+        return self.linear or [(np.zeros((len(self.mean), len(self.share))), self.share)]
+
+    def explained(self) -> np.ndarray:
+        """Share of X's sum of squares that each component takes away."""
+        return np.array([tt * float(p @ p) for p, tt in zip(self.p, self.tt)]) / max(self.squares, 1e-300)
+
+
+def fit_pls(rows: DataFrame, moments: dict[int, Moments], scaling: str, k_max: int) -> dict[int, _Pls]:
+    """PLS of all training sets together: one pass over the rows per component."""
+    fits = {f: _Pls(m, scaling) for f, m in moments.items()}
+    sets = {f: (m.n, fits[f].mean, fits[f].div) for f, m in moments.items()}
+    live = {f for f in fits}
+    for a in range(k_max):
+        weights = {f: fits[f].weight() for f in live if a < max(1, min(k_max, int(fits[f].n) - 1, len(fits[f].mean)))}
+        weights = {f: w[:, None] for f, w in weights.items() if w is not None}
+        if not weights:
+            break
+        found = linear.scaled_products(rows, sets, weights)
+        live = {f for f in weights if fits[f].add(weights[f][:, 0], found[f][:, 0])}
+    return fits
 
 
-def pls_from_moments(m: Moments, scaling: str, k_max: int, prepared=None) -> dict:
-    """PLS on moments: for each number of components the linear model, plus weights and scores' sums of squares."""
-    mean, div, cross = prepared if prepared is not None else m.scaled(scaling)
-    share = m.cn / m.n
-    c = ((m.cs - np.outer(m.cn, mean)) / div).T          # features x classes, X'Y centred
-    s = cross.copy()
-    w_all, p_all, q_all, tt_all, coefs = [], [], [], [], []
-    for _ in range(max(1, min(k_max, int(m.n) - 1, len(mean)))):
-        u, sv, _vt = np.linalg.svd(c, full_matrices=False)
-        w = u[:, 0] * np.sign(u[np.abs(u[:, 0]).argmax(), 0] or 1.0)
-        tt = float(w @ s @ w)
-        if sv[0] < 1e-12 or tt < 1e-12:
+def pls_from_cross(c: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """Coefficients (components x classes) of PLS where the cross products are diagonal: ``c`` is X'Y, ``values`` the diagonal."""
+    w_all, p_all, q_all, tt_all = [], [], [], []
+    for _ in range(k):
+        u, sv, _ = np.linalg.svd(c, full_matrices=False)
+        if not len(sv) or sv[0] < 1e-12:
+            break
+        w = u[:, 0]
+        s = values * w
+        for p, tt in zip(p_all, tt_all):
+            s = s - tt * p * (p @ w)
+        tt = float(w @ s)
+        if tt < 1e-12:
             break
-        p, q = s @ w / tt, c.T @ w / tt
-        c, s = c - tt * np.outer(p, q), s - tt * np.outer(p, p)
+        p, q = s / tt, c.T @ w / tt
+        c = c - tt * np.outer(p, q)
         w_all.append(w); p_all.append(p); q_all.append(q); tt_all.append(tt)
-        W, P, Q = np.array(w_all).T, np.array(p_all).T, np.array(q_all).T
-        rot = W @ np.linalg.pinv(P.T @ W)
-        coefs.append(rot @ Q.T)
-    if not coefs:
-        coefs.append(np.zeros((len(mean), len(share))))
-    linear = [(b / div[:, None], share - (mean / div) @ b) for b in coefs]
-    return {"linear": linear, "w": np.array(w_all), "p": np.array(p_all), "q": np.array(q_all), "tt": np.array(tt_all), "mean": mean, "div": div, "cross": cross}
-
-
-def lda_from_moments(m: Moments, scaling: str, k: int, prepared=None) -> tuple[np.ndarray, np.ndarray]:
-    """Linear discriminants on the leading components of the training covariance: weights and intercepts per class."""
-    if prepared is None:
-        mean, div, cross = m.scaled(scaling)
-        vals, vecs = np.linalg.eigh(cross)
-        top = vecs[:, ::-1][:, :max(1, min(k, int(m.n) - 1, len(mean)))]
-        prepared = (mean, div, cross, top)
-    mean, div, cross, top = prepared
-    classes = np.flatnonzero(m.cn > 0)
-    centre = ((m.cs[classes] / m.cn[classes, None] - mean) / div) @ top
-    within = top.T @ cross @ top - (centre * m.cn[classes, None]).T @ centre
-    inv = np.linalg.pinv(within / max(m.n - len(classes), 1), rcond=1e-8, hermitian=True)
-    weight, const = np.zeros((len(mean), len(m.cn))), np.full(len(m.cn), -1e300)
-    coef = centre @ inv
+    if not w_all:
+        return np.zeros_like(c)
+    W, P, Q = np.array(w_all).T, np.array(p_all).T, np.array(q_all).T
+    return W @ np.linalg.pinv(P.T @ W) @ Q.T
+
+
+def lda_from_cross(centre: np.ndarray, cn: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linear discriminants where the cross products are diagonal: weights and intercepts per class; ``centre``: class means (classes x components)."""
+    classes = np.flatnonzero(cn > 0)
+    n, mean = cn.sum(), centre[classes]
+    within = np.diag(values) - (mean * cn[classes, None]).T @ mean
+    inv = np.linalg.pinv(within / max(n - len(classes), 1), rcond=1e-8, hermitian=True)
+    weight, const = np.zeros((centre.shape[1], len(cn))), np.full(len(cn), -1e300)
+    coef = mean @ inv
     for j, c in enumerate(classes):
-        weight[:, c] = (top @ coef[j]) / div
-        const[c] = -0.5 * coef[j] @ centre[j] + math.log(m.cn[c] / m.n) - (mean / div) @ (top @ coef[j])
+        weight[:, c] = coef[j]
+        const[c] = -0.5 * coef[j] @ mean[j] + math.log(cn[c] / n)
     return weight, const
 
 
+def fold_components(rows: DataFrame, moments: dict[int, Moments], scaling: str, k: int) -> dict[int, tuple]:
+    """Per training set mean, divisor, leading eigenvalues and vectors of its scaled cross products."""
+    scaled = {f: m.scaled(scaling) for f, m in moments.items()}
+    sets = {f: (m.n, *scaled[f][:2]) for f, m in moments.items()}
+    p = len(next(iter(moments.values())).s)
+    found = linear.leading(lambda v: linear.scaled_products(rows, sets, v), list(moments), p, k)
+    return {f: (*scaled[f][:2], *found[f]) for f in moments}
+
+
+def lda_model(m: Moments, base: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts per class for rows as they are."""
+    mean, div, values, top = base
+    centre = ((m.cs / np.maximum(m.cn, 1)[:, None] - mean) / div) @ top
+    weight, const = lda_from_cross(centre, m.cn, values)
+    weight = (top @ weight) / div[:, None]
+    return weight, const - mean @ weight
+
+
 def _score_rows(rows: DataFrame, models: dict[int, list[tuple[np.ndarray, np.ndarray]]], kept: list[str]) -> DataFrame:
     """Scores of every model of a row's fold: model number, class scores."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
@@ -401,19 +492,26 @@ def prepare_study(long: DataFrame, labels: DataFrame, scaling: str = "pareto", f
     return Study(rows, classes, names, k, fold_moments(rows, k, len(classes), len(names)), scaling)
 
 
+def _training(study: Study) -> dict[int, Moments]:
+    """Moments of every training set: all folds but one, and all."""
+    every = linear.total(study.moments)
+    return {f: every - held for f, held in enumerate(study.moments)} | {EVERY: every}
+
+
 @dataclass
 class ClassifierTables:
     summary: DataFrame
     confusion: DataFrame
     predictions: DataFrame
+    explained: DataFrame | None = None      # component, x_variance
     vip: DataFrame | None = None
     scores: DataFrame | None = None
     permuted: DataFrame | None = None
 
 
-def _summary(study: Study, method: str, k: int, q2: float | None, report: DataFrame) -> DataFrame:
+def _summary(study: Study, method: str, k: int, q2: float | None, report: DataFrame, x_variance: float | None = None) -> DataFrame:
     return report.select(F.lit(method).alias("method"), F.lit(k).alias("n_components"), F.lit(study.folds).alias("n_splits"),
-                         "accuracy", "balanced_accuracy", F.lit(q2).cast("double").alias("q2"))
+                         "accuracy", "balanced_accuracy", F.lit(q2).cast("double").alias("q2"), F.lit(x_variance).cast("double").alias("x_variance"))
 
 
 def _named(study: Study, c: Column) -> Column:
@@ -424,10 +522,11 @@ def pls_da(long: DataFrame, labels: DataFrame, scaling: str = "pareto", max_comp
            n_permutations: int = 0, seed: int = 0, study: Study | None = None) -> ClassifierTables:
     """Cross-validated PLS discriminant analysis; the number of components is the one with the best Q2."""
     study = study or prepare_study(long, labels, scaling, folds, seed)
-    total = _total(study.moments)
+    training = _training(study)
+    total = training[EVERY]
     k_max = max(1, min(max_components, int(total.n) - 2, len(study.names)))
-    fits = [pls_from_moments(total - held, scaling, k_max)["linear"] for held in study.moments]
-    models = {f: [fit[min(k, len(fit) - 1)] for k in range(k_max)] for f, fit in enumerate(fits)}
+    fits = fit_pls(study.rows, training, scaling, k_max)
+    models = {f: [fits[f].models()[min(k, len(fits[f].models()) - 1)] for k in range(k_max)] for f in range(study.folds)}
     scored = cut(_score_rows(study.rows, models, ["sample", "y", "fold"]))
     onehot = lambda j: (F.col("y") == j).cast("double")
     miss = sum((F.col("scores")[j] - onehot(j)) ** 2 for j in range(len(study.classes)))
@@ -440,15 +539,20 @@ def pls_da(long: DataFrame, labels: DataFrame, scaling: str = "pareto", max_comp
             best, q2 = k, here
     pred = scored.where(F.col("model") == best).select("sample", _named(study, F.col("y")).alias("truth"), _named(study, _argmax()).alias("pred"))
     confusion, report = classification_report(pred)
-    full = pls_from_moments(total, scaling, best + 1)
+    full = fits[EVERY]
     spark, kind = long.sparkSession, dict(long.dtypes)["feature"]
-    ss = (full["q"] ** 2).sum(axis=1) * full["tt"]
-    vip = np.sqrt(len(study.names) * ((full["w"] ** 2).T @ ss) / max(ss.sum(), 1e-12))
-    rot = full["w"].T @ np.linalg.pinv(full["p"] @ full["w"].T)
-    project = {f: [(rot / full["div"][:, None], -(full["mean"] / full["div"]) @ rot)] for f in range(study.folds)}
+    use = slice(0, best + 1)
+    w, p_, q, tt = (np.array(x[use]) for x in (full.w, full.p, full.q, full.tt))
+    w, p_, q = (v.reshape(len(tt), -1) if len(tt) else np.zeros((0, width)) for v, width in ((w, len(study.names)), (p_, len(study.names)), (q, len(study.classes))))
+    ss = (q ** 2).sum(axis=1) * tt
+    vip = np.sqrt(len(study.names) * ((w ** 2).T @ ss) / max(ss.sum(), 1e-12))
+    rot = w.T @ np.linalg.pinv(p_ @ w.T) if len(tt) else np.zeros((len(study.names), 0))
+    project = {f: [(rot / full.div[:, None], -(full.mean / full.div) @ rot)] for f in range(study.folds)}
     scores = _score_rows(study.rows, project, ["sample", "fold"]).select("sample", F.posexplode("scores").alias("c", "score"))
+    explained = full.explained()[use]
     out = ClassifierTables(
-        _summary(study, "PLS-DA", best + 1, q2, report), confusion, pred,
+        _summary(study, "PLS-DA", best + 1, q2, report, float(explained.sum())), confusion, pred,
+        spark.createDataFrame([(c + 1, float(v)) for c, v in enumerate(explained)], "component int, x_variance double"),
         spark.createDataFrame([(f, float(v)) for f, v in zip(study.names, vip)], f"feature {kind}, vip double"),
         scores.select("sample", (F.col("c") + 1).alias("component"), "score"))
     if n_permutations:
@@ -460,9 +564,10 @@ def lda_cv(long: DataFrame, labels: DataFrame, scaling: str = "pareto", n_compon
            n_permutations: int = 0, seed: int = 0, study: Study | None = None) -> ClassifierTables:
     """Cross-validated linear discriminants on principal components."""
     study = study or prepare_study(long, labels, scaling, folds, seed)
-    total = _total(study.moments)
-    k = max(1, min(n_components, int(total.n) // 3, len(study.names)))
-    models = {f: [lda_from_moments(total - held, scaling, k)] for f, held in enumerate(study.moments)}
+    training = {f: m for f, m in _training(study).items() if f != EVERY}
+    k = max(1, min(n_components, int(sum(m.n for m in study.moments)) // 3, len(study.names)))
+    base = fold_components(study.rows, training, scaling, k)
+    models = {f: [lda_model(m, base[f])] for f, m in training.items()}
     scored = _score_rows(study.rows, models, ["sample", "y", "fold"])
     pred = scored.select("sample", _named(study, F.col("y")).alias("truth"), _named(study, _argmax()).alias("pred"))
     confusion, report = classification_report(pred)
@@ -486,50 +591,80 @@ def permuted_labels(study: Study, n: int, seed: int = 0) -> DataFrame:
     return ranked.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", y.alias("y")))), lambda s: s["y"]).alias("ys"))
 
 
-def permutation_test(study: Study, kind: str, k: int, report: DataFrame, n: int = 200, seed: int = 0) -> DataFrame:
-    """Accuracies under permuted labels with the observed one and p. Folds stay fixed; only class sums change."""
-    classes, p, folds = len(study.classes), len(study.names), study.folds
-    rows = cut(study.rows.select("sample", "x", "fold").join(permuted_labels(study, n, seed), "sample"))
+def permutation_test(study: Study, kind: str, k: int, report: DataFrame, n: int = 200, seed: int = 0, rank: int = RANK) -> DataFrame:
+    """Accuracies under permuted labels with the observed one and p. Folds stay fixed; only class sums change.
 
-    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[int, np.ndarray] = {}
+    Samples are turned to the ``rank`` leading components of each training set (all of them, where there are no more features), where cross products
+    are diagonal, so a fit needs nothing but its own class sums. Every (fold, permutation) is a row and is fitted by a task; predictions meet
+    samples in blocks of both. No table that grows with the permutations reaches the driver or all tasks.
+    """
+    classes, p = len(study.classes), len(study.names)
+    training = {f: m for f, m in _training(study).items() if f != EVERY}
+    base = fold_components(study.rows, training, study.scaling, min(rank, p))
+    counts = {f: m.cn for f, m in training.items()}
+    sizes = np.array([c for _, c in study.classes], float)
+    chunks = -(-n // PERM_BLOCK)
+    slices = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda c: F.struct(c.alias("chunk"), F.slice("ys", c * PERM_BLOCK + 1, PERM_BLOCK).alias("ys")))
+    rows = study.rows.select("sample", "x", "fold").join(permuted_labels(study, n, seed), "sample")
+    sample_kind = dict(rows.dtypes)["sample"]
+
+    def turn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for fold, part in pdf.groupby("fold"):
-                x = np.hstack([np.ones((len(part), 1)), np.vstack(part["x"].to_numpy())])
-                ys = np.vstack(part["ys"].to_numpy())
-                sums = np.stack([(ys == c).T.astype(float) @ x for c in range(classes)], axis=1)   # perm x class x (1 + p)
-                acc[fold] = acc.get(fold, 0.0) + sums
-        for fold, m in acc.items():
-            flat = m.reshape(n * classes, -1)
-            yield pd.DataFrame({"fold": fold, "row": np.arange(len(flat)), "v": list(flat)})
-
-    sums = _vector_sum(rows.mapInPandas(partial, "fold int, row int, v array<double>"), ["fold", "row"], "v")
-    total = _total(study.moments)
-    train = [total - held for held in study.moments]
-    table = np.stack([np.vstack([sums[(f, r)] for r in range(n * classes)]).reshape(n, classes, -1) for f in range(folds)])
-    models: dict[int, list] = {f: [] for f in range(folds)}
-    for f in range(folds):
-        base = train[f].scaled(study.scaling)
-        if kind == "lda":
-            _, vecs = np.linalg.eigh(base[2])
-            base = (*base, vecs[:, ::-1][:, :max(1, min(k, int(train[f].n) - 1, p))])
-        rest = table.sum(axis=0) - table[f]
-        for r in range(n):
-            m = Moments(train[f].n, train[f].s, train[f].g, rest[r, :, 0], rest[r, :, 1:])
-            models[f].append(pls_from_moments(m, study.scaling, k, base)["linear"][-1] if kind == "pls" else lda_from_moments(m, study.scaling, k, base))
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+            x = np.vstack(pdf["x"].to_numpy())
+            for f, (mean, div, _, top) in base.items():
+                yield pdf[["sample", "fold", "ys"]].assign(set=f, z=list(((x - mean) / div) @ top))
 
-    def hits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(n)
-        for pdf in it:
-            for fold, part in pdf.groupby("fold"):
-                x, ys = np.vstack(part["x"].to_numpy()), np.vstack(part["ys"].to_numpy())
-                for r, (b, c) in enumerate(shared.value[fold]):
-                    acc[r] += ((x @ b + c).argmax(axis=1) == ys[:, r]).sum()
-        yield pd.DataFrame({"perm": np.arange(n), "hit": acc})
+    turned = cut(rows.mapInPandas(turn, f"sample {sample_kind}, fold int, ys array<int>, set int, z array<double>"))
+    dealt = turned.select("sample", "fold", "set", "z", F.explode(slices).alias("c")).select("sample", "fold", "set", "z", "c.chunk", "c.ys")
 
-    per = rows.mapInPandas(hits, "perm int, hit double").groupBy("perm").agg((F.sum("hit") / float(total.n)).alias("accuracy"))
-    per = cut(per)
+    def class_sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in it:
+            for (f, chunk), part in pdf.groupby(["set", "chunk"]):
+                z, ys = np.vstack(part["z"].to_numpy()), np.vstack(part["ys"].to_numpy())
+                z = np.hstack([np.ones((len(z), 1)), z])
+                sums = np.stack([(ys == c).T.astype(float) @ z for c in range(classes)], axis=1)        # perm x class x (1 + r)
+                acc[f, chunk] = acc.get((f, chunk), 0.0) + sums
+        for (f, chunk), m in acc.items():
+            yield pd.DataFrame({"set": f, "perm": chunk * PERM_BLOCK + np.arange(len(m)), "v": list(m.reshape(len(m), -1))})
+
+    sums = dealt.where("fold <> set").mapInPandas(class_sums, "set int, perm int, v array<double>")
+    sums = sums.groupBy("set", "perm").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("set", "perm", vector_to_array("v").alias("v"))
+
+    def fit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for f, v in zip(pdf["set"], pdf["v"]):
+                m = v.reshape(classes, -1)
+                cn, cs, values = m[:, 0], m[:, 1:], base[f][2]
+                if kind == "pls":
+                    b, const = pls_from_cross(cs.T.copy(), values, k), cn / cn.sum()
+                else:
+                    use = max(1, min(k, int(counts[f].sum()) - 1, p))
+                    b, const = lda_from_cross((cs / np.maximum(cn, 1)[:, None])[:, :use], cn, values[:use])
+                    b = np.vstack([b, np.zeros((len(values) - len(b), classes))])
+                out.append(np.concatenate([const, b.ravel()]))
+            yield pdf[["set", "perm"]].assign(chunk=pdf["perm"] // PERM_BLOCK, b=out)
+
+    fitted = cut(sums.mapInPandas(fit, "set int, perm int, chunk int, b array<double>"))
+    # blocks of samples and blocks of permutations
+    blocks = max(1, math.ceil(sizes.sum() / ROW_BLOCK))
+    held = dealt.where("fold = set").select("set", "chunk", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int").alias("block"), "z", "ys")
+    models = fitted.select("set", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "perm", "b")
+
+    def hits(samples: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        if not len(samples) or not len(fits):
+            return pd.DataFrame({"perm": np.zeros(0, int), "hit": np.zeros(0)})
+        z, ys = np.vstack(samples["z"].to_numpy()), np.vstack(samples["ys"].to_numpy())
+        out = []
+        for perm, b in zip(fits["perm"], fits["b"]):
+            guess = (z @ b[classes:].reshape(-1, classes) + b[:classes]).argmax(axis=1)
+            out.append(float((guess == ys[:, perm % PERM_BLOCK]).sum()))
+        return pd.DataFrame({"perm": fits["perm"], "hit": out})
+
+    key = ["set", "chunk", "block"]
+    per = held.groupBy(*key).cogroup(models.groupBy(*key)).applyInPandas(hits, "perm int, hit double")
+    per = cut(per.groupBy("perm").agg((F.sum("hit") / float(sizes.sum())).alias("accuracy")))
     observed = report.select("accuracy").first()["accuracy"]
     at_least = per.agg(((F.sum((F.col("accuracy") >= observed).cast("int")) + 1) / (n + 1.0)).alias("p")).scalar()
     return per.select("perm", "accuracy", F.lit(observed).alias("observed"), at_least.alias("p_value"))
