@@ -31,27 +31,41 @@ def _(spark, sf):
     return op.top_loadings(op.pca(feature_long(spark, sf), labels(spark, sf)).loadings, 8)
 
 
-AXES = "axes AS (SELECT vec_id AS sample, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 'C' || (label % 5) AS label FROM embeddings)"
+AXES = """dims AS (SELECT vec_id AS sample, i AS component, CAST(embedding[i] AS DOUBLE) AS score, 'C' || (label % 5) AS label
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+ pairs AS (SELECT a.sample, a.label || ':' || (a.component // 2) AS label, a.score AS x, b.score AS y FROM dims a JOIN dims b ON a.sample = b.sample AND b.component = a.component + 1 WHERE a.component % 2 = 1)"""
 
 
-def axes(spark, sf):
-    return b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample"), F.col("embedding")[0].cast("double").alias("x"),
-                                                   F.col("embedding")[1].cast("double").alias("y"), F.concat(F.lit("C"), F.col("label") % 5).alias("label"))
+def dimensions(spark, sf):
+    """Every entry of every embedding as the score of a component."""
+    rows = b.table(spark, sf, "embeddings")
+    return rows.select(F.col("vec_id").alias("sample"), F.concat(F.lit("C"), F.col("label") % 5).alias("label"),
+                       F.posexplode("embedding").alias("c", "v")).select("sample", "label", (F.col("c") + 1).alias("component"), F.col("v").cast("double").alias("score"))
 
 
-@query("A27_hotelling_t2", f"""WITH {AXES}, v AS (SELECT var_samp(x) AS vx, var_samp(y) AS vy, count(*) AS n FROM axes)
- SELECT sample, round(x * x / vx + y * y / vy, 6) AS t2, round((n - 1) ** 2 / n * (1 - 0.05 ** (2.0 / (n - 3))), 6) AS limit_95,
-  x * x / vx + y * y / vy > (n - 1) ** 2 / n * (1 - 0.05 ** (2.0 / (n - 3))) AS outlier FROM axes, v""")
+# the quantile of the beta distribution by bisection; its first parameter is 32, so the distribution is a sum of 32 terms
+@query("A27_hotelling_t2", f"""WITH RECURSIVE {AXES}, v AS (SELECT component, var_samp(score) AS v FROM dims GROUP BY 1),
+ t AS (SELECT sample, sum(score * score / v) AS t2 FROM dims JOIN v USING (component) GROUP BY 1),
+ n AS (SELECT count(*)::DOUBLE AS n, (count(*) - 65) / 2.0 AS b FROM t),
+ s(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT k + 1, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END FROM (
+   SELECT k, lo, hi, 1 - (SELECT sum(exp(n.b * ln(1 - (lo + hi) / 2) + lgamma(n.b + j) - lgamma(n.b) - lgamma(j + 1) + j * ln((lo + hi) / 2))) FROM n, (SELECT unnest(range(0, 32)) AS j)) < 0.95 AS below
+   FROM s WHERE k < 60)),
+ l AS (SELECT (n - 1) ** 2 / n * lo AS limit_95 FROM s, n WHERE k = 60)
+ SELECT sample, round(t2, 6) AS t2, round(limit_95, 6) AS limit_95, t2 > limit_95 AS outlier FROM t, l""")
 def _(spark, sf):
-    scores = axes(spark, sf).select("sample", F.posexplode(F.array("x", "y")).alias("component", "score"))
-    return op.hotelling_t2(scores).select("sample", *r6("t2", "limit_95"), "outlier")
+    return op.hotelling_t2(dimensions(spark, sf).drop("label")).select("sample", *r6("t2", "limit_95"), "outlier")
 
 
-@query("A28_confidence_ellipse", f"""WITH {AXES}, m AS (SELECT label, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c, count(*) AS n FROM axes GROUP BY 1)
+@query("A28_confidence_ellipse", f"""WITH {AXES}, m AS (SELECT label, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c, count(*) AS n FROM pairs GROUP BY 1)
  SELECT label, round(cx, 6) AS cx, round(cy, 6) AS cy, round(2 * sqrt(5.991 * ((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b))), 6) AS width,
   round(2 * sqrt(5.991 * ((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b))), 6) AS height, round(degrees(atan2(2 * b, a - c) / 2), 6) AS angle FROM m WHERE n >= 3""")
 def _(spark, sf):
-    return op.confidence_ellipse(axes(spark, sf)).select("label", *r6("cx", "cy", "width", "height", "angle"))
+    """One ellipse per class and pair of neighbouring dimensions, so that all dimensions are read."""
+    d = dimensions(spark, sf).groupBy("sample", "label", F.floor((F.col("component") - 1) / 2).alias("pair")).agg(
+        F.max(F.when(F.col("component") % 2 == 1, F.col("score"))).alias("x"), F.max(F.when(F.col("component") % 2 == 0, F.col("score"))).alias("y"))
+    points = d.select(F.concat_ws(":", "label", F.col("pair").cast("string")).alias("label"), "x", "y")
+    return op.confidence_ellipse(points).select("label", *r6("cx", "cy", "width", "height", "angle"))
 
 
 @query("A29_hierarchical_clusters")
@@ -84,6 +98,11 @@ def _(spark, sf):
     return op.pls_da(feature_long(spark, sf), labels(spark, sf, 5)).scores
 
 
+@query("A30_pls_explained")
+def _(spark, sf):
+    return op.pls_da(feature_long(spark, sf), labels(spark, sf, 5)).explained
+
+
 @query("A31_lda_cv")
 def _(spark, sf):
     return op.lda_cv(feature_long(spark, sf), labels(spark, sf, 5)).summary
