@@ -22,41 +22,38 @@ BACKBONE_CHARGES = {"N": -0.4157, "H": 0.2719, "CA": 0.0337, "HA": 0.0823, "C":
 N_TERMINUS_CHARGES = {"H1": 0.1921, "H2": 0.1921, "H3": 0.1921}
 C_TERMINUS_CHARGES = {"OXT": -0.5679}
 WATER_CHARGES = {"O": -0.834, "OW": -0.834, "H1": 0.417, "H2": 0.417, "HW1": 0.417, "HW2": 0.417}
-SIDE_CHAIN_TEXT = """
-ALA CB 0.0000
-VAL CB 0.0000 CG1 0.0000 CG2 0.0000
-LEU CB 0.0000 CG 0.0000 CD1 0.0000 CD2 0.0000
-ILE CB 0.0000 CG1 0.0000 CG2 0.0000 CD1 0.0000 CD 0.0000
-PRO CB 0.0000 CG 0.0000 CD 0.0192
-PHE CB 0.0000 CG 0.0000 CD1 0.0000 CD2 0.0000 CE1 0.0000 CE2 0.0000 CZ 0.0000
-MET CB 0.0000 CG 0.0440 SD -0.2737 CE 0.0536
-MSE CB 0.0000 CG 0.0440 SE -0.2737 CE 0.0536
-TRP CB 0.0000 CG -0.0260 CD1 0.0402 CD2 0.1243 NE1 -0.3418 HE1 0.3412 CE2 -0.0515 CE3 0.0000 CZ2 0.0000 CZ3 0.0000 CH2 0.0000
-SER CB 0.2117 OG -0.6546 HG 0.4275
-THR CB 0.3654 OG1 -0.6761 HG1 0.4102 CG2 0.0000
-ASN CB 0.0000 CG 0.7130 OD1 -0.5931 ND2 -0.9191 HD21 0.4196 HD22 0.4196
-GLN CB 0.0000 CG 0.0000 CD 0.6951 OE1 -0.6086 NE2 -0.9407 HE21 0.4251 HE22 0.4251
-TYR CB 0.0000 CG 0.0000 CD1 0.0000 CD2 0.0000 CE1 0.0000 CE2 0.0000 CZ 0.3226 OH -0.5579 HH 0.3992
-ASP CB -0.0303 CG 0.7994 OD1 -0.8014 OD2 -0.8014
-GLU CB 0.0000 CG 0.0136 CD 0.8054 OE1 -0.8188 OE2 -0.8188
-LYS CB 0.0000 CG 0.0187 CD 0.0482 CE 0.2175 NZ -0.3854 HZ1 0.3400 HZ2 0.3400 HZ3 0.3400
-ARG CB 0.0000 CG 0.0390 CD 0.0486 NE -0.5295 HE 0.3456 CZ 0.8076 NH1 -0.8627 HH11 0.4478 HH12 0.4478 NH2 -0.8627 HH21 0.4478 HH22 0.4478
-CYS CB 0.1190 SG -0.1996 HG 0.1933
-CYX CB 0.0984 SG -0.0984
-HID CB 0.0000 CG -0.0266 ND1 -0.3819 CE1 0.2057 NE2 -0.5727 CD2 0.1292 HD1 0.3652
-HIE CB 0.0000 CG 0.1868 ND1 -0.5432 CE1 0.1868 NE2 -0.2795 CD2 -0.2207 HE2 0.3324
-HIP CB 0.0000 CG -0.0012 ND1 -0.1739 CE1 -0.0170 NE2 -0.1717 CD2 0.1141 HD1 0.3800 HE2 0.3900
-"""
+SIDE_CHAIN_CHARGES = {
+    "ALA": {"CB": 0.0},
+    "VAL": {"CB": 0.0, "CG1": 0.0, "CG2": 0.0},
+    "LEU": {"CB": 0.0, "CG": 0.0, "CD1": 0.0, "CD2": 0.0},
+    "ILE": {"CB": 0.0, "CG1": 0.0, "CG2": 0.0, "CD1": 0.0, "CD": 0.0},
+    "PRO": {"CB": 0.0, "CG": 0.0, "CD": 0.0192},
+    "PHE": {"CB": 0.0, "CG": 0.0, "CD1": 0.0, "CD2": 0.0, "CE1": 0.0, "CE2": 0.0, "CZ": 0.0},
+    "MET": {"CB": 0.0, "CG": 0.044, "SD": -0.2737, "CE": 0.0536},
+    "MSE": {"CB": 0.0, "CG": 0.044, "SE": -0.2737, "CE": 0.0536},
+    "TRP": {"CB": 0.0, "CG": -0.026, "CD1": 0.0402, "CD2": 0.1243, "NE1": -0.3418, "HE1": 0.3412, "CE2": -0.0515, "CE3": 0.0, "CZ2": 0.0, "CZ3": 0.0, "CH2": 0.0},
+    "SER": {"CB": 0.2117, "OG": -0.6546, "HG": 0.4275},
+    "THR": {"CB": 0.3654, "OG1": -0.6761, "HG1": 0.4102, "CG2": 0.0},
+    "ASN": {"CB": 0.0, "CG": 0.713, "OD1": -0.5931, "ND2": -0.9191, "HD21": 0.4196, "HD22": 0.4196},
+    "GLN": {"CB": 0.0, "CG": 0.0, "CD": 0.6951, "OE1": -0.6086, "NE2": -0.9407, "HE21": 0.4251, "HE22": 0.4251},
+    "TYR": {"CB": 0.0, "CG": 0.0, "CD1": 0.0, "CD2": 0.0, "CE1": 0.0, "CE2": 0.0, "CZ": 0.3226, "OH": -0.5579, "HH": 0.3992},
+    "ASP": {"CB": -0.0303, "CG": 0.7994, "OD1": -0.8014, "OD2": -0.8014},
+    "GLU": {"CB": 0.0, "CG": 0.0136, "CD": 0.8054, "OE1": -0.8188, "OE2": -0.8188},
+    "LYS": {"CB": 0.0, "CG": 0.0187, "CD": 0.0482, "CE": 0.2175, "NZ": -0.3854, "HZ1": 0.34, "HZ2": 0.34, "HZ3": 0.34},
+    "ARG": {"CB": 0.0, "CG": 0.039, "CD": 0.0486, "NE": -0.5295, "HE": 0.3456, "CZ": 0.8076, "NH1": -0.8627, "HH11": 0.4478, "HH12": 0.4478, "NH2": -0.8627, "HH21": 0.4478, "HH22": 0.4478},
+    "CYS": {"CB": 0.119, "SG": -0.1996, "HG": 0.1933},
+    "CYX": {"CB": 0.0984, "SG": -0.0984},
+    "HID": {"CB": 0.0, "CG": -0.0266, "ND1": -0.3819, "CE1": 0.2057, "NE2": -0.5727, "CD2": 0.1292, "HD1": 0.3652},
+    "HIE": {"CB": 0.0, "CG": 0.1868, "ND1": -0.5432, "CE1": 0.1868, "NE2": -0.2795, "CD2": -0.2207, "HE2": 0.3324},
+    "HIP": {"CB": 0.0, "CG": -0.0012, "ND1": -0.1739, "CE1": -0.017, "NE2": -0.1717, "CD2": 0.1141, "HD1": 0.38, "HE2": 0.39},
+}
 
 # Residues that are solvent, buffer or additive rather than a ligand.
 NOT_LIGANDS = ("HOH", "WAT", "DOD", "H2O", "EDO", "GOL", "DMS", "SO4", "PO4", "ACT", "ACE", "MES", "TRS", "EPE")
 
 
 def side_chain_table(spark: SparkSession) -> DataFrame:
-    rows = []
-    for line in SIDE_CHAIN_TEXT.strip().splitlines():
-        name, *pairs = line.split()
-        rows += [(name, atom, float(q)) for atom, q in zip(pairs[::2], pairs[1::2])]
+    rows = [(variant, atom, charge) for variant, atoms in SIDE_CHAIN_CHARGES.items() for atom, charge in atoms.items()]
     return spark.createDataFrame(rows, "variant string, atom string, charge double")
 
 

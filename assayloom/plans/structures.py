@@ -68,7 +68,7 @@ def _(spark, sf):
 
 
 ALLERGEN_SQL = "al(ord, name, cas) AS (VALUES " + ", ".join(
-    "({}, '{}', '{}')".format(k, *[x.strip() for x in line.split(" | ")[:2]]) for k, line in enumerate(idn.ALLERGEN_TEXT.strip().splitlines())) + ")"
+    f"({k}, '{name}', '{cas}')" for k, (name, cas, *_) in enumerate(idn.ALLERGENS)) + ")"
 
 
 def smelled(spark, sf):
@@ -168,7 +168,7 @@ def _(spark, sf):
 
 
 SIDE_SQL = "side(variant, atom, q) AS (VALUES " + ", ".join(
-    f"('{p[0]}', '{a}', {q}::DOUBLE)" for p in (x.split() for x in op.SIDE_CHAIN_TEXT.strip().splitlines()) for a, q in zip(p[1::2], p[2::2])) + ")"
+    f"('{variant}', '{a}', {q}::DOUBLE)" for variant, atoms in op.SIDE_CHAIN_CHARGES.items() for a, q in atoms.items()) + ")"
 _CASE = lambda table, cond="": " ".join(f"WHEN v.atom = '{a}'{cond} THEN {q}::DOUBLE" for a, q in table.items())
 
 

@@ -37,168 +37,151 @@ class Rule:
     label_sql: str = ""
 
 
-# The property rules, one line per rule, in report order:
-# column | label | type | lo | hi | unit | citation | note. For tiered_range, lo and hi are the break points.
-# A bound written with > or < is strict; it is stored as the bound plus or minus 1e-9.
-RULE_TEXT = {
-    "Fisikokimia": """
-MW | Molecular Weight | range | 100 | 600 | Da | Drug-Like Soft rule
-Vol | Volume | descriptive | | | A^3 | Van der Waals volume
-Dense | Density | descriptive | | | | MW / Volume
-nHA | H-Bond Acceptors | range | 0 | 12 | | Drug-Like Soft rule
-nHD | H-Bond Donors | range | 0 | 7 | | Drug-Like Soft rule
-TPSA | TPSA | range | 0 | 140 | A^2 | Veber et al. 2002
-nRot | Rotatable Bonds | range | 0 | 11 | | Drug-Like Soft rule
-nRing | Ring Count | range | 0 | 6 | | Drug-Like Soft rule
-MaxRing | Max Ring Size | range | 0 | 18 | atoms | Drug-Like Soft rule
-nHet | Heteroatom Count | range | 1 | 15 | | Drug-Like Soft rule
-fChar | Formal Charge | range | -4 | 4 | | Drug-Like Soft rule
-nRig | Rigid Bonds | range | 0 | 30 | | Drug-Like Soft rule
-Flex | Flexibility | descriptive | | | | nRot / nRig
-nStereo | Stereo Centers | threshold_lte | | 2 | | Lead-Like Soft rule
-logS | logS | range | -4 | 0.5 | log mol/L | Rentang ADMETLab3
-logP | logP | range | 0 | 3 | log mol/L | Rentang ADMETLab3
-logD | logD 7.4 | range | 1 | 3 | log mol/L | Rentang ADMETLab3
-mp | Melting Point | descriptive | | | C
-bp | Boiling Point | descriptive | | | C
-pka_acidic | pKa (acidic) | descriptive | | | | Makin kecil, asam makin kuat
-pka_basic | pKa (basic) | descriptive | | | | Makin besar, basa makin kuat
-QED | QED | threshold_gte | >0.67 | | | Bickerton et al. 2012
-Synth | SAscore | threshold_lte | | <6 | 1-10 | Ertl & Schuffenhauer 2009
-gasa | GASA | binary_inverted | | | 0/1 | Yu et al. 2022 (0 mudah, 1 sulit)
-Fsp3 | Fsp3 | threshold_gte | 0.42 | | | Lovering et al. 2009
-MCE-18 | MCE-18 | threshold_gte | 45 | | | Ivanenkov et al. 2019
-Natural Product-likeness | Natural Product-likeness | descriptive | | | -5 sampai 5 | Ertl et al. 2008
-Alarm_NMR | ALARM NMR Alerts | alert_count | | | | Huth et al. 2005
-BMS | BMS Alerts | alert_count | | | | Pearce et al. 2006
-Chelating | Chelator Alerts | alert_count | | | | Agrawal et al. 2010
-PAINS | PAINS Alerts | alert_count | | | | Baell & Holloway 2010
-Lipinski | Lipinski Rule | threshold_lte | | 1 | pelanggaran | Lipinski et al. 1997
-Pfizer | Pfizer Rule | threshold_lte | | 1 | pelanggaran | Hughes et al. 2008
-GSK | GSK Rule | threshold_lte | | 0 | pelanggaran | Gleeson 2008
-GoldenTriangle | Golden Triangle | threshold_lte | | 0 | pelanggaran | Johnson et al. 2009
-Aggregators | Colloidal Aggregators | tiered
-Fluc | FLuc Inhibitors | tiered
-Blue_fluorescence | Blue Fluorescence | tiered
-Green_fluorescence | Green Fluorescence | tiered
-Reactive | Reactive Compounds | tiered
-Promiscuous | Promiscuous Compounds | tiered
-Other_assay_interference | Other Assay Interference | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-""",
-    "Absorpsi": """
-caco2 | Caco-2 Permeability | threshold_gte | >-5.15 | | log cm/s
-PAMPA | PAMPA | tiered
-MDCK | MDCK Permeability | threshold_gte | -5.70 | | log cm/s | | Ambang linear 2e-6 cm/s dikonversi ke log10 (-5,70) karena kolom CSV berisi log10(Papp).
-pgp_inh | P-gp Inhibitor | tiered
-pgp_sub | P-gp Substrate | tiered
-hia | HIA | tiered
-f20 | F20% | tiered
-f30 | F30% | tiered
-f50 | F50% | tiered
-""",
-    "Distribusi": """
-OATP1B1 | OATP1B1 Inhibitor | tiered
-OATP1B3 | OATP1B3 Inhibitor | tiered
-BCRP | BCRP Inhibitor | tiered_reversed | | | | | Arah pita kebalikan dari transporter sejenis (OATP1B1/3, BSEP, MRP1).
-BSEP | BSEP Inhibitor | tiered
-MRP1 | MRP1 Inhibitor | tiered
-PPB | Plasma Protein Binding | threshold_lte | | 90 | %
-VDss | VDss | range | -1.4 | 1.3 | log10(L/kg) | | Rentang linear 0,04-20 L/kg dikonversi ke log10 karena kolom CSV berisi log10(VDss).
-BBB | BBB Penetration | tiered
-Fu | Fraction Unbound | threshold_gte | 5 | | % | | Nilai CSV sudah dalam skala persen (bukan pecahan 0-1).
-""",
-    "Metabolisme": """
-CYP1A2-inh | CYP1A2 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP1A2-sub | CYP1A2 Substrate | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2C19-inh | CYP2C19 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2C19-sub | CYP2C19 Substrate | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2C9-inh | CYP2C9 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2C9-sub | CYP2C9 Substrate | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2D6-inh | CYP2D6 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2D6-sub | CYP2D6 Substrate | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP3A4-inh | CYP3A4 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP3A4-sub | CYP3A4 Substrate | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2B6-inh | CYP2B6 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2B6-sub | CYP2B6 Substrate | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-CYP2C8-inh | CYP2C8 Inhibitor | tiered | | | | | Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7.
-LM-human | HLM Stability | tiered_reversed | | | | | Keluaran berupa probabilitas ketidakstabilan.
-""",
-    "Ekskresi": """
-cl-plasma | Plasma Clearance | tiered_range | 5 | 15 | mL/min/kg
-t0.5 | Half-life | tiered_range_descending | 1 | 8 | jam | | Nilai keluaran sering berkumpul dekat batas merah/kuning; tafsirkan dengan hati-hati.
-""",
-    "Toksisitas": """
-Neurotoxicity-DI | Drug-induced Neurotoxicity | tiered
-Ototoxicity | Ototoxicity | tiered
-Hematotoxicity | Hematotoxicity | tiered
-Nephrotoxicity-DI | Drug-induced Nephrotoxicity | tiered
-Genotoxicity | Genotoxicity | tiered
-RPMI-8226 | RPMI-8226 Immunotoxicity | tiered
-A549 | A549 Cytotoxicity | tiered
-HEK293 | HEK293 Cytotoxicity | tiered
-hERG-10um | hERG Blockers (10 uM) | tiered
-hERG | hERG Blockers | tiered
-H-HT | Human Hepatotoxicity | tiered
-DILI | DILI | tiered
-Ames | Ames Mutagenicity | tiered
-ROA | Rat Oral Acute Toxicity | tiered
-FDAMDD | FDAMDD | tiered
-SkinSen | Skin Sensitization | tiered
-Carcinogenicity | Carcinogenicity | tiered
-EC | Eye Corrosion | tiered
-EI | Eye Irritation | tiered
-Respiratory | Respiratory Toxicity | tiered
-NR-AhR | NR-AhR | tiered
-NR-AR | NR-AR | tiered
-NR-AR-LBD | NR-AR-LBD | tiered
-NR-Aromatase | NR-Aromatase | tiered
-NR-ER | NR-ER | tiered
-NR-ER-LBD | NR-ER-LBD | tiered
-NR-PPAR-gamma | NR-PPAR-gamma | tiered
-SR-ARE | SR-ARE | tiered
-SR-ATAD5 | SR-ATAD5 | tiered
-SR-HSE | SR-HSE | tiered
-SR-MMP | SR-MMP | tiered
-SR-p53 | SR-p53 | tiered
-BCF | Bioconcentration Factor | descriptive | | | log10(L/kg)
-IGC50 | T. pyriformis IGC50 | descriptive | | | -log10[(mg/L)/(1000*MW)]
-LC50DM | D. magna LC50 | descriptive | | | -log10[(mg/L)/(1000*MW)]
-LC50FM | Fathead Minnow LC50 | descriptive | | | -log10[(mg/L)/(1000*MW)]
-LD50_oral | Acute Toxicity Rule | alert_count | | | | 20 substruktur
-NonBiodegradable | NonBiodegradable Rule | alert_count | | | | 19 substruktur
-NonGenotoxic_Carcinogenicity | NonGenotoxic Carcinogenicity Rule | alert_count | | | | 23 substruktur
-SureChEMBL | SureChEMBL Rule | alert_count | | | | 164 substruktur
-Skin_Sensitization | Skin Sensitization Rule | alert_count | | | | 155 substruktur
-Acute_Aquatic_Toxicity | Aquatic Toxicity Rule | alert_count | | | | 99 substruktur
-Genotoxic_Carcinogenicity_Mutagenicity | Genotoxic Carcinogenicity Rule | alert_count | | | | 117 substruktur
-FAF-Drugs4 Rule | FAF-Drugs4 Rule | alert_count
-""",
-}
-
-# State texts of the two temperature properties.
-TEMPERATURE_LABELS = {
-    "mp": "case when value < 25 then 'Cair (<25 C)' else 'Padat (>=25 C)' end",
-    "bp": "case when value < 25 then 'Gas (<25 C)' else 'Cair/padat pada suhu ruang (>=25 C)' end",
-}
-
-
-def _bound(text: str) -> float | None:
-    if not text:
-        return None
-    shift = {">": 1e-9, "<": -1e-9}.get(text[0], 0.0)
-    return float(text.lstrip("<>")) + shift
-
-
-def _parse(category: str, line: str) -> Rule:
-    column, label, kind, lo, hi, unit, citation, note = ([x.strip() for x in line.split("|")] + [""] * 8)[:8]
-    return Rule(
-        column, category, label, {"binary_inverted": "binary", "tiered_range_descending": "tiered_range"}.get(kind, kind),
-        _bound(lo), _bound(hi), ascending_bad=kind != "tiered_range_descending", inverted=kind == "binary_inverted",
-        unit=unit, citation=citation, note=note, label_sql=TEMPERATURE_LABELS.get(column, ""))
-
-
-DEFAULT_RULES: tuple[Rule, ...] = tuple(
-    _parse(category, line) for category, text in RULE_TEXT.items() for line in text.strip().splitlines())
+# A bound that is itself outside is the bound plus or minus this.
+STRICT = 1e-9
+
+# The property rules in report order. For tiered_range, the two numbers are the break points.
+DEFAULT_RULES: tuple[Rule, ...] = (
+    Rule("MW", "Fisikokimia", "Molecular Weight", "range", 100, 600, unit="Da", citation="Drug-Like Soft rule"),
+    Rule("Vol", "Fisikokimia", "Volume", "descriptive", unit="A^3", citation="Van der Waals volume"),
+    Rule("Dense", "Fisikokimia", "Density", "descriptive", citation="MW / Volume"),
+    Rule("nHA", "Fisikokimia", "H-Bond Acceptors", "range", 0, 12, citation="Drug-Like Soft rule"),
+    Rule("nHD", "Fisikokimia", "H-Bond Donors", "range", 0, 7, citation="Drug-Like Soft rule"),
+    Rule("TPSA", "Fisikokimia", "TPSA", "range", 0, 140, unit="A^2", citation="Veber et al. 2002"),
+    Rule("nRot", "Fisikokimia", "Rotatable Bonds", "range", 0, 11, citation="Drug-Like Soft rule"),
+    Rule("nRing", "Fisikokimia", "Ring Count", "range", 0, 6, citation="Drug-Like Soft rule"),
+    Rule("MaxRing", "Fisikokimia", "Max Ring Size", "range", 0, 18, unit="atoms", citation="Drug-Like Soft rule"),
+    Rule("nHet", "Fisikokimia", "Heteroatom Count", "range", 1, 15, citation="Drug-Like Soft rule"),
+    Rule("fChar", "Fisikokimia", "Formal Charge", "range", -4, 4, citation="Drug-Like Soft rule"),
+    Rule("nRig", "Fisikokimia", "Rigid Bonds", "range", 0, 30, citation="Drug-Like Soft rule"),
+    Rule("Flex", "Fisikokimia", "Flexibility", "descriptive", citation="nRot / nRig"),
+    Rule("nStereo", "Fisikokimia", "Stereo Centers", "threshold_lte", None, 2, citation="Lead-Like Soft rule"),
+    Rule("logS", "Fisikokimia", "logS", "range", -4, 0.5, unit="log mol/L", citation="Rentang ADMETLab3"),
+    Rule("logP", "Fisikokimia", "logP", "range", 0, 3, unit="log mol/L", citation="Rentang ADMETLab3"),
+    Rule("logD", "Fisikokimia", "logD 7.4", "range", 1, 3, unit="log mol/L", citation="Rentang ADMETLab3"),
+    Rule("mp", "Fisikokimia", "Melting Point", "descriptive", unit="C",
+         label_sql="case when value < 25 then 'Cair (<25 C)' else 'Padat (>=25 C)' end"),
+    Rule("bp", "Fisikokimia", "Boiling Point", "descriptive", unit="C",
+         label_sql="case when value < 25 then 'Gas (<25 C)' else 'Cair/padat pada suhu ruang (>=25 C)' end"),
+    Rule("pka_acidic", "Fisikokimia", "pKa (acidic)", "descriptive", citation="Makin kecil, asam makin kuat"),
+    Rule("pka_basic", "Fisikokimia", "pKa (basic)", "descriptive", citation="Makin besar, basa makin kuat"),
+    Rule("QED", "Fisikokimia", "QED", "threshold_gte", 0.67 + STRICT, None, citation="Bickerton et al. 2012"),
+    Rule("Synth", "Fisikokimia", "SAscore", "threshold_lte", None, 6 - STRICT, unit="1-10", citation="Ertl & Schuffenhauer 2009"),
+    Rule("gasa", "Fisikokimia", "GASA", "binary", inverted=True, unit="0/1", citation="Yu et al. 2022 (0 mudah, 1 sulit)"),
+    Rule("Fsp3", "Fisikokimia", "Fsp3", "threshold_gte", 0.42, None, citation="Lovering et al. 2009"),
+    Rule("MCE-18", "Fisikokimia", "MCE-18", "threshold_gte", 45, None, citation="Ivanenkov et al. 2019"),
+    Rule("Natural Product-likeness", "Fisikokimia", "Natural Product-likeness", "descriptive", unit="-5 sampai 5", citation="Ertl et al. 2008"),
+    Rule("Alarm_NMR", "Fisikokimia", "ALARM NMR Alerts", "alert_count", citation="Huth et al. 2005"),
+    Rule("BMS", "Fisikokimia", "BMS Alerts", "alert_count", citation="Pearce et al. 2006"),
+    Rule("Chelating", "Fisikokimia", "Chelator Alerts", "alert_count", citation="Agrawal et al. 2010"),
+    Rule("PAINS", "Fisikokimia", "PAINS Alerts", "alert_count", citation="Baell & Holloway 2010"),
+    Rule("Lipinski", "Fisikokimia", "Lipinski Rule", "threshold_lte", None, 1, unit="pelanggaran", citation="Lipinski et al. 1997"),
+    Rule("Pfizer", "Fisikokimia", "Pfizer Rule", "threshold_lte", None, 1, unit="pelanggaran", citation="Hughes et al. 2008"),
+    Rule("GSK", "Fisikokimia", "GSK Rule", "threshold_lte", None, 0, unit="pelanggaran", citation="Gleeson 2008"),
+    Rule("GoldenTriangle", "Fisikokimia", "Golden Triangle", "threshold_lte", None, 0, unit="pelanggaran", citation="Johnson et al. 2009"),
+    Rule("Aggregators", "Fisikokimia", "Colloidal Aggregators", "tiered"),
+    Rule("Fluc", "Fisikokimia", "FLuc Inhibitors", "tiered"),
+    Rule("Blue_fluorescence", "Fisikokimia", "Blue Fluorescence", "tiered"),
+    Rule("Green_fluorescence", "Fisikokimia", "Green Fluorescence", "tiered"),
+    Rule("Reactive", "Fisikokimia", "Reactive Compounds", "tiered"),
+    Rule("Promiscuous", "Fisikokimia", "Promiscuous Compounds", "tiered"),
+    Rule("Other_assay_interference", "Fisikokimia", "Other Assay Interference", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("caco2", "Absorpsi", "Caco-2 Permeability", "threshold_gte", -5.15 + STRICT, None, unit="log cm/s"),
+    Rule("PAMPA", "Absorpsi", "PAMPA", "tiered"),
+    Rule("MDCK", "Absorpsi", "MDCK Permeability", "threshold_gte", -5.7, None, unit="log cm/s",
+         note="Ambang linear 2e-6 cm/s dikonversi ke log10 (-5,70) karena kolom CSV berisi log10(Papp)."),
+    Rule("pgp_inh", "Absorpsi", "P-gp Inhibitor", "tiered"),
+    Rule("pgp_sub", "Absorpsi", "P-gp Substrate", "tiered"),
+    Rule("hia", "Absorpsi", "HIA", "tiered"),
+    Rule("f20", "Absorpsi", "F20%", "tiered"),
+    Rule("f30", "Absorpsi", "F30%", "tiered"),
+    Rule("f50", "Absorpsi", "F50%", "tiered"),
+    Rule("OATP1B1", "Distribusi", "OATP1B1 Inhibitor", "tiered"),
+    Rule("OATP1B3", "Distribusi", "OATP1B3 Inhibitor", "tiered"),
+    Rule("BCRP", "Distribusi", "BCRP Inhibitor", "tiered_reversed", note="Arah pita kebalikan dari transporter sejenis (OATP1B1/3, BSEP, MRP1)."),
+    Rule("BSEP", "Distribusi", "BSEP Inhibitor", "tiered"),
+    Rule("MRP1", "Distribusi", "MRP1 Inhibitor", "tiered"),
+    Rule("PPB", "Distribusi", "Plasma Protein Binding", "threshold_lte", None, 90, unit="%"),
+    Rule("VDss", "Distribusi", "VDss", "range", -1.4, 1.3, unit="log10(L/kg)",
+         note="Rentang linear 0,04-20 L/kg dikonversi ke log10 karena kolom CSV berisi log10(VDss)."),
+    Rule("BBB", "Distribusi", "BBB Penetration", "tiered"),
+    Rule("Fu", "Distribusi", "Fraction Unbound", "threshold_gte", 5, None, unit="%", note="Nilai CSV sudah dalam skala persen (bukan pecahan 0-1)."),
+    Rule("CYP1A2-inh", "Metabolisme", "CYP1A2 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP1A2-sub", "Metabolisme", "CYP1A2 Substrate", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2C19-inh", "Metabolisme", "CYP2C19 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2C19-sub", "Metabolisme", "CYP2C19 Substrate", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2C9-inh", "Metabolisme", "CYP2C9 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2C9-sub", "Metabolisme", "CYP2C9 Substrate", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2D6-inh", "Metabolisme", "CYP2D6 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2D6-sub", "Metabolisme", "CYP2D6 Substrate", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP3A4-inh", "Metabolisme", "CYP3A4 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP3A4-sub", "Metabolisme", "CYP3A4 Substrate", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2B6-inh", "Metabolisme", "CYP2B6 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2B6-sub", "Metabolisme", "CYP2B6 Substrate", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("CYP2C8-inh", "Metabolisme", "CYP2C8 Inhibitor", "tiered",
+         note="Tidak ada skala keputusan khusus di dokumentasi, dipakai pita bertingkat 0,3/0,7."),
+    Rule("LM-human", "Metabolisme", "HLM Stability", "tiered_reversed", note="Keluaran berupa probabilitas ketidakstabilan."),
+    Rule("cl-plasma", "Ekskresi", "Plasma Clearance", "tiered_range", 5, 15, unit="mL/min/kg"),
+    Rule("t0.5", "Ekskresi", "Half-life", "tiered_range", 1, 8, ascending_bad=False, unit="jam",
+         note="Nilai keluaran sering berkumpul dekat batas merah/kuning; tafsirkan dengan hati-hati."),
+    Rule("Neurotoxicity-DI", "Toksisitas", "Drug-induced Neurotoxicity", "tiered"),
+    Rule("Ototoxicity", "Toksisitas", "Ototoxicity", "tiered"),
+    Rule("Hematotoxicity", "Toksisitas", "Hematotoxicity", "tiered"),
+    Rule("Nephrotoxicity-DI", "Toksisitas", "Drug-induced Nephrotoxicity", "tiered"),
+    Rule("Genotoxicity", "Toksisitas", "Genotoxicity", "tiered"),
+    Rule("RPMI-8226", "Toksisitas", "RPMI-8226 Immunotoxicity", "tiered"),
+    Rule("A549", "Toksisitas", "A549 Cytotoxicity", "tiered"),
+    Rule("HEK293", "Toksisitas", "HEK293 Cytotoxicity", "tiered"),
+    Rule("hERG-10um", "Toksisitas", "hERG Blockers (10 uM)", "tiered"),
+    Rule("hERG", "Toksisitas", "hERG Blockers", "tiered"),
+    Rule("H-HT", "Toksisitas", "Human Hepatotoxicity", "tiered"),
+    Rule("DILI", "Toksisitas", "DILI", "tiered"),
+    Rule("Ames", "Toksisitas", "Ames Mutagenicity", "tiered"),
+    Rule("ROA", "Toksisitas", "Rat Oral Acute Toxicity", "tiered"),
+    Rule("FDAMDD", "Toksisitas", "FDAMDD", "tiered"),
+    Rule("SkinSen", "Toksisitas", "Skin Sensitization", "tiered"),
+    Rule("Carcinogenicity", "Toksisitas", "Carcinogenicity", "tiered"),
+    Rule("EC", "Toksisitas", "Eye Corrosion", "tiered"),
+    Rule("EI", "Toksisitas", "Eye Irritation", "tiered"),
+    Rule("Respiratory", "Toksisitas", "Respiratory Toxicity", "tiered"),
+    Rule("NR-AhR", "Toksisitas", "NR-AhR", "tiered"),
+    Rule("NR-AR", "Toksisitas", "NR-AR", "tiered"),
+    Rule("NR-AR-LBD", "Toksisitas", "NR-AR-LBD", "tiered"),
+    Rule("NR-Aromatase", "Toksisitas", "NR-Aromatase", "tiered"),
+    Rule("NR-ER", "Toksisitas", "NR-ER", "tiered"),
+    Rule("NR-ER-LBD", "Toksisitas", "NR-ER-LBD", "tiered"),
+    Rule("NR-PPAR-gamma", "Toksisitas", "NR-PPAR-gamma", "tiered"),
+    Rule("SR-ARE", "Toksisitas", "SR-ARE", "tiered"),
+    Rule("SR-ATAD5", "Toksisitas", "SR-ATAD5", "tiered"),
+    Rule("SR-HSE", "Toksisitas", "SR-HSE", "tiered"),
+    Rule("SR-MMP", "Toksisitas", "SR-MMP", "tiered"),
+    Rule("SR-p53", "Toksisitas", "SR-p53", "tiered"),
+    Rule("BCF", "Toksisitas", "Bioconcentration Factor", "descriptive", unit="log10(L/kg)"),
+    Rule("IGC50", "Toksisitas", "T. pyriformis IGC50", "descriptive", unit="-log10[(mg/L)/(1000*MW)]"),
+    Rule("LC50DM", "Toksisitas", "D. magna LC50", "descriptive", unit="-log10[(mg/L)/(1000*MW)]"),
+    Rule("LC50FM", "Toksisitas", "Fathead Minnow LC50", "descriptive", unit="-log10[(mg/L)/(1000*MW)]"),
+    Rule("LD50_oral", "Toksisitas", "Acute Toxicity Rule", "alert_count", citation="20 substruktur"),
+    Rule("NonBiodegradable", "Toksisitas", "NonBiodegradable Rule", "alert_count", citation="19 substruktur"),
+    Rule("NonGenotoxic_Carcinogenicity", "Toksisitas", "NonGenotoxic Carcinogenicity Rule", "alert_count", citation="23 substruktur"),
+    Rule("SureChEMBL", "Toksisitas", "SureChEMBL Rule", "alert_count", citation="164 substruktur"),
+    Rule("Skin_Sensitization", "Toksisitas", "Skin Sensitization Rule", "alert_count", citation="155 substruktur"),
+    Rule("Acute_Aquatic_Toxicity", "Toksisitas", "Aquatic Toxicity Rule", "alert_count", citation="99 substruktur"),
+    Rule("Genotoxic_Carcinogenicity_Mutagenicity", "Toksisitas", "Genotoxic Carcinogenicity Rule", "alert_count", citation="117 substruktur"),
+    Rule("FAF-Drugs4 Rule", "Toksisitas", "FAF-Drugs4 Rule", "alert_count"),
+)
 
 RULE_SCHEMA = ("column string, category string, category_ord int, label string, rule_type string, lo double, hi double, "
                "ascending_bad boolean, inverted boolean, unit string, citation string, note string, rule_ord int")
