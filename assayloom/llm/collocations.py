@@ -36,6 +36,7 @@ PACK_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 20 << 20
 HELD = 4_000_000            # hashes a task gathers before it adds them up
+RANK_PARTS = 16
 SALTS = (64, 16, 8, 8, 8, 8, 8, 8)        # by length: totals of languages and words are asked for most often
 
 _U = np.uint64
@@ -357,7 +358,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, be
     lowest = cuts.withColumn("score", score).groupBy("h").agg(F.min(F.struct("score", "at", "l", "r", "n")).alias("c"))
     rows = found.select("h", "lang", "phrase", "a").join(gone, "h", "left_anti").join(lowest, "h")
     rows = rows.select("lang", "phrase", "a", "c.l", "c.r", "c.n", "c.score")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    rows = rows.withColumn("rank", F.row_number().over(order).cast("long"))
+    place = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    if best is not None:        # the best of every part of a language first, so that no task ranks more than RANK_PARTS * best
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).orderBy(*place)
+        rows = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= best).drop("rank")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*place)).cast("long"))
     rows = rows if best is None else rows.where(F.col("rank") <= best)
     return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -169,7 +169,7 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred
 
 
 def least_cosine(docs: DataFrame, languages: list[str], prototypes: np.ndarray, share: float = LEAST_SHARE) -> float:
-    """Cosine that all but a ``share`` of the documents with a language reach, less a tenth of it: below it a text is like none of the languages.
+    """Cosine that all but a ``share`` of the documents with a language reach, halved: below it a text is like none of the languages.
 
     A quantile by counts of cosines in thousandths, so the driver sees at most a thousand rows; 0 where nothing was learned.
     """
@@ -181,7 +181,7 @@ def least_cosine(docs: DataFrame, languages: list[str], prototypes: np.ndarray,
     for at, n in counts:
         left -= n
         if left < 0:
-            return 0.9 * float(at) / 1000
+            return 0.5 * float(at) / 1000
     return 0.0
 
 
