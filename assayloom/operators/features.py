@@ -325,10 +325,10 @@ def class_mean_signal(signal: DataFrame, labels: DataFrame) -> DataFrame:
             .join(size, "label").select("label", "i", (F.col("s") / F.col("n")).alias("y")))
 
 
-def mirror_pairs(signal: DataFrame, labels: DataFrame, max_pairs: int = 6) -> DataFrame:
-    """Cosine and common scale of the mean signals of the first class pairs, classes in order of appearance.
+def mirror_pairs(signal: DataFrame, labels: DataFrame, max_pairs: int | None = None) -> DataFrame:
+    """Cosine and common scale of the mean signals of all class pairs, or the first ``max_pairs``, classes in order of appearance.
 
-    ``labels`` has sample, label and ord.
+    ``labels`` has sample, label and ord. Only the classes reach the driver.
     """
     means = class_mean_signal(signal, labels)
     order = [r["label"] for r in labels.groupBy("label").agg(F.min("ord").alias("o")).orderBy("o").collect()]

@@ -79,19 +79,22 @@ def value_range(df: DataFrame, value: str = "value") -> DataFrame:
             .withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi"))))
 
 
-MAX_PINNED = 3  # fixed value
-
-
 def rank_profiles(profile: DataFrame, criteria: list[str], rank_by: str | None = None, per_page: int = 8,
-                  pinned: list[str] = (), max_pages: int = 5, key: str = "ligand", ord_col: str = "ord") -> DataFrame:
-    """Rows by criterion or mean, split into pages; pinned rows are repeated on every page, pages beyond the limit are cut."""
+                  pinned: list[str] = (), max_pages: int | None = None, max_pinned: int | None = None, key: str = "ligand", ord_col: str = "ord") -> DataFrame:
+    """Rows by criterion or mean, split into pages; pinned rows are repeated on every page.
+
+    All pages and pins are given; ``max_pages`` (5 makes a report of charts) and ``max_pinned`` (3) keep the first ones only.
+    """
     score = F.col(rank_by) if rank_by in criteria else reduce(lambda a, c: a + F.col(c), criteria[1:], F.col(criteria[0])) / len(criteria)
     # one small row per profile is kept: the ranking below reads it several times
     rows = cut(profile.select(key, ord_col, score.alias("score")).withColumn("_down", -F.col("score")))
-    shown = rows.where(F.col(key).isin(list(pinned))).orderBy("_down", ord_col).limit(MAX_PINNED) if pinned else None
+    shown = rows.where(F.col(key).isin(list(pinned))) if pinned else None
+    if shown is not None and max_pinned is not None:
+        shown = shown.orderBy("_down", ord_col).limit(max_pinned)
     n_pinned = shown.count() if shown is not None else 0
     rest = rows if shown is None else rows.join(shown.select(key), key, "left_anti")
-    paged = paginate(rest, ["_down", ord_col], max(1, per_page - n_pinned)).where(F.col("page") <= max_pages)
+    paged = paginate(rest, ["_down", ord_col], max(1, per_page - n_pinned))
+    paged = paged if max_pages is None else paged.where(F.col("page") <= max_pages)
     out = paged.select(key, "score", "page", F.lit(False).alias("pinned"))
     if n_pinned:
         pages = F.sequence(F.lit(1).cast("long"), paged.agg(F.coalesce(F.max("page"), F.lit(1)).cast("long").alias("n")).scalar())

@@ -165,14 +165,14 @@ def _(spark, sf):
 
 
 @query("T2_rank_profiles", f"""WITH {PROFILE}, {_minmax_sql()}, s AS (SELECT ligand, ord, ({" + ".join(CRITERIA)}) / {len(CRITERIA)} AS score FROM mm),
- pin AS (SELECT * FROM s WHERE ligand IN ('L1', 'L2', 'L3', 'L5') ORDER BY round(score, 9) DESC, ord LIMIT 3),
+ pin AS (SELECT * FROM s WHERE ligand IN ('L1', 'L2', 'L3', 'L5') ),
  rest AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) - 1 AS k0, count(*) OVER () AS n FROM s WHERE ligand NOT IN (SELECT ligand FROM pin)),
  z AS (SELECT *, 8 - (SELECT count(*) FROM pin) AS size FROM rest), y AS (SELECT *, CAST(ceil(n / size) AS BIGINT) AS pages FROM z),
  p AS (SELECT ligand, score, CAST(CASE WHEN k0 < (n % pages) * (n // pages + 1) THEN k0 // (n // pages + 1) ELSE n % pages + (k0 - (n % pages) * (n // pages + 1)) // (n // pages) END + 1 AS BIGINT) AS page FROM y)
- SELECT ligand, round(score, 6) AS score, page, false AS pinned FROM p WHERE page <= 5
- UNION ALL SELECT ligand, round(score, 6), page, true FROM pin, (SELECT DISTINCT page FROM p WHERE page <= 5)""")
+ SELECT ligand, round(score, 6) AS score, page, false AS pinned FROM p
+ UNION ALL SELECT ligand, round(score, 6), page, true FROM pin, (SELECT DISTINCT page FROM p)""")
 def _(spark, sf):
-    return pr.rank_profiles(minmax(spark, sf), CRITERIA, None, 8, ["L1", "L2", "L3", "L5"], 5).withColumn("score", F.round("score", 6))
+    return pr.rank_profiles(minmax(spark, sf), CRITERIA, None, 8, ["L1", "L2", "L3", "L5"]).withColumn("score", F.round("score", 6))
 
 
 @query("T3_top_variance_axes", f"""WITH {b.FLAGS} SELECT label, rule_ord, round(var_pop(CASE flag WHEN 'green' THEN 1.0 WHEN 'yellow' THEN 0.5 WHEN 'red' THEN 0.0 ELSE 0.5 END), 6) AS variance

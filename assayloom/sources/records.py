@@ -98,15 +98,19 @@ RUN_SCHEMA = ("ligand_name string, receptor_key string, replicate int, seed long
 def _json_records(spark: SparkSession, path: str, schema: str, lines: bool, glob: str) -> DataFrame:
     """Records of JSON files with the file's path, broken ones as null.
 
-    A file holds one record or several, indented or not, each beginning at the start of a line; it is read whole. Large files with one
-    record per line are read with ``lines``.
+    A file holds one record or several, indented or not, each beginning with a brace at the start of a line. Files are read as lines by as many
+    tasks as they have splits; records are numbered along the lines, and the lines of each are put together again, so no task holds more
+    than a record. With ``lines`` every line is a record.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    path_column = F.col("_metadata.file_path").alias("file")
     if lines:
-        text = reader.text(path).select("value", path_column)
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        text = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     else:
-        text = reader.text(path, wholetext=True).select(path_column, F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
+        rows = read_lines(spark, path, glob=glob, full_path=True)
+        rows = rows.withColumn("_begins", F.col("line").startswith("{").cast("long"))
+        rows = along_lines(rows, ["document"], {"_record": ("sum", "_begins")})
+        text = rows.groupBy(F.col("document").alias("file"), "_record").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "line"))).alias("l"))
+        text = text.select("file", F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("value"))
     return text.select("file", F.from_json(F.regexp_replace("value", "^\ufeff", ""), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("file", "r.*")
 
 

@@ -1,6 +1,7 @@
 """Readers on small files, including files cut into many splits."""
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -146,6 +147,21 @@ def test_row_numbers_over_splits(spark, tmp_path, tiny_splits):
     assert [r["center_x"] for r in got] == [float(k) for k in range(300)] and got[1]["receptor"] == "1ABC_R002"
 
 
+def test_records_over_many_splits_of_one_file(spark, tmp_path, tiny_splits):
+    """A file far longer than a split gives the same records, whatever their layout."""
+    records = [{"ligand_name": f"L{k}", "receptor_key": "R{1", "replicate": k, "seed": k, "poses": [{"mode": 1, "affinity": -k / 10, "rmsd_lb": 0.0, "rmsd_ub": 0.0}],
+                "error": None} for k in range(60)]
+    for layout in (None, 2):
+        folder = tmp_path / f"layout{layout}"
+        folder.mkdir()
+        text = "\n".join(json.dumps(r, indent=layout) for r in records[:30]) + "\n{ broken\n" + "\n".join(json.dumps(r, indent=layout) for r in records[30:])
+        (folder / "all.json").write_text("\ufeff" + text)
+        df = rc.read_run_checkpoints(spark, str(folder))
+        got = sorted((r.ligand, r.receptor, r.replicate, r.poses[0].affinity) for r in df.collect())
+        assert got == sorted((r["ligand_name"], r["receptor_key"], r["replicate"], r["poses"][0]["affinity"]) for r in records)
+    assert ln.read_lines(spark, str(folder), glob="*.json").rdd.getNumPartitions() > 3
+
+
 def test_runs_and_sidecars_in_indented_files(spark, tmp_path):
     import json
     from assayloom.sources import records as rc
