@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayloom.functions.text import NATIVE_GROUP, NO_GROUP, compound_key, group_label
 from assayloom.ordered import matrix_cells, numbered, quantiles
-from assayloom.rules import CATEGORIES, DEFAULT_RULES, PHYSICOCHEMICAL, Rule, flag_score, wide_category_scores
+from assayloom.rules import CATEGORIES, DEFAULT_RULES, PHYSICOCHEMICAL, Rule, flag_score, wide_category_scores, wide_flag_counts
 
 
 def _groups(groups: DataFrame, key: str = "ligand") -> DataFrame:
@@ -172,25 +172,33 @@ def _scored(flags: DataFrame, category: str | None) -> DataFrame:
     return rows if category is None else rows.where(F.col("category") == category)
 
 
-def flag_scores_by_group(flags: DataFrame, groups: DataFrame, category: str | None = None) -> DataFrame:
-    """Mean flag score per group and parameter; na and info do not count."""
-    rows = with_group(_scored(flags, category), groups)
-    return rows.groupBy("group", "category", "label", "rule_ord").agg(F.avg(flag_score(F.col("flag"))).alias("score"))
+def _counted(flags: DataFrame, by: list[str], category: str | None) -> DataFrame:
+    """Cells per flag, from flags or straight from the wide property table."""
+    if "flag" not in flags.columns:
+        return wide_flag_counts(flags, by, category)
+    counts = [F.count_if(F.col("flag") == n).alias(n) for n in ("green", "yellow", "red")]
+    return _scored(flags, category).groupBy(*by, "category", "label", "rule_ord").agg(*counts)
+
 
+def _share_columns() -> list[Column]:
+    return [(100.0 * F.col(n) / (F.col("green") + F.col("yellow") + F.col("red"))).alias(n) for n in ("green", "yellow", "red")]
 
-def _shares() -> list[Column]:
-    share = lambda name: (100.0 * F.count_if(F.col("flag") == name) / F.count(F.lit(1))).alias(name)
-    return [share("green"), share("yellow"), share("red")]
+
+def flag_scores_by_group(flags: DataFrame, groups: DataFrame, category: str | None = None) -> DataFrame:
+    """Mean flag score per group and parameter; na and info do not count. ``flags`` may be the wide property table."""
+    counts = _counted(with_group(flags, groups), ["group"], category)
+    mean = (F.col("green") + 0.5 * F.col("yellow")) / (F.col("green") + F.col("yellow") + F.col("red"))
+    return counts.select("group", "category", "label", "rule_ord", mean.alias("score"))
 
 
 def flag_shares_by_group(flags: DataFrame, groups: DataFrame, category: str | None = None) -> DataFrame:
-    """Percent green, yellow and red per group and parameter."""
-    return with_group(_scored(flags, category), groups).groupBy("group", "category", "label", "rule_ord").agg(*_shares())
+    """Percent green, yellow and red per group and parameter; ``flags`` may be the wide property table."""
+    return _counted(with_group(flags, groups), ["group"], category).select("group", "category", "label", "rule_ord", *_share_columns())
 
 
 def flag_shares(flags: DataFrame, category: str | None = None) -> DataFrame:
-    """Percent green, yellow and red per parameter over all ligands."""
-    return _scored(flags, category).groupBy("category", "label", "rule_ord").agg(*_shares())
+    """Percent green, yellow and red per parameter over all ligands; ``flags`` may be the wide property table."""
+    return _counted(flags, [], category).select("category", "label", "rule_ord", *_share_columns())
 
 
 def category_scores(flags: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _(spark, sf):
 @query("A5_flag_scores_by_group", f"""WITH {b.FLAGS}, {b.GROUPS} SELECT grp AS "group", category, label, rule_ord, round(CAST(avg(s) AS DOUBLE), 6) AS score
  FROM scored JOIN grps USING (ligand) WHERE category = 'Toksisitas' GROUP BY ALL""")
 def _(spark, sf):
-    df = op.flag_scores_by_group(flags(spark, sf), b.ligand_groups(spark, sf), "Toksisitas")
+    df = op.flag_scores_by_group(b.properties(spark, sf), b.ligand_groups(spark, sf), "Toksisitas")
     return df.withColumn("score", F.round("score", 6))
 
 
@@ -67,7 +67,7 @@ SHARES = ", ".join(f"round(CAST(100.0 * sum(CASE WHEN flag = '{c}' THEN 1 ELSE 0
 @query("A6_flag_shares_by_group", f"""WITH {b.FLAGS}, {b.GROUPS} SELECT grp AS "group", category, label, rule_ord, {SHARES}
  FROM scored JOIN grps USING (ligand) GROUP BY grp, category, label, rule_ord""")
 def _(spark, sf):
-    df = op.flag_shares_by_group(flags(spark, sf), b.ligand_groups(spark, sf))
+    df = op.flag_shares_by_group(b.properties(spark, sf), b.ligand_groups(spark, sf))
     return df.select("group", "category", "label", "rule_ord", *r6("green", "yellow", "red"))
 
 
@@ -137,7 +137,7 @@ def _(spark, sf):
 
 @query("A37_flag_shares", f"WITH {b.FLAGS} SELECT category, label, rule_ord, {SHARES} FROM scored GROUP BY category, label, rule_ord")
 def _(spark, sf):
-    return op.flag_shares(flags(spark, sf)).select("category", "label", "rule_ord", *r6("green", "yellow", "red"))
+    return op.flag_shares(b.properties(spark, sf)).select("category", "label", "rule_ord", *r6("green", "yellow", "red"))
 
 
 @query("A38_affinity_matrix", f"""WITH {b.GROUPED} SELECT receptor, ligand AS "column", affinity_best AS value FROM g WHERE grp <> 'Native'

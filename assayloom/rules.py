@@ -313,6 +313,32 @@ def wide_category_scores(wide: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULE
     return spread(wide).select(key, F.inline(F.array(*means))).where("score is not null")
 
 
+def wide_flag_counts(wide: DataFrame, by: list[str], category: str | None = None, rules: tuple[Rule, ...] = DEFAULT_RULES, key: str = "ligand") -> DataFrame:
+    """Green, yellow and red cells per ``by`` and rule, counted by place in an array of the wide row's scores: no cell becomes a row of its own.
+
+    Rules without a counted cell have no row.
+    """
+    order = {r.column: k for k, r in enumerate(rules)}
+    scores, places = [], {}
+    for c in wide.columns:
+        at = order.get(COLUMN_ALIASES.get(c, c))
+        if c in IDENTITY_COLUMNS or c == key or c in by or at is None or category not in (None, rules[at].category):
+            continue
+        score = rule_score(rules[at], F.col(f"`{c}`").cast("string"))
+        if score is not None:
+            places.setdefault(at, []).append(len(scores))
+            scores.append(score)
+    if not scores:
+        nothing = [F.lit("").alias("category"), F.lit("").alias("label"), F.lit(0).alias("rule_ord"), *[F.lit(0).cast("long").alias(n) for n in FLAG_SCORES]]
+        return wide.select(*by, *nothing).limit(0)
+    rows = spread(wide).select(*by, F.array(*scores).alias("_s"))
+    count = lambda j, value: F.count_if(F.get("_s", F.lit(j)) == value)
+    counts = rows.groupBy(*by).agg(*[count(j, v).alias(f"_{n}{j}") for j in range(len(scores)) for n, v in FLAG_SCORES.items()])
+    cell = lambda at, js: F.struct(F.lit(rules[at].category).alias("category"), F.lit(rules[at].label).alias("label"), F.lit(at).alias("rule_ord"),
+                                   *[reduce(lambda a, b: a + b, [F.col(f"_{n}{j}") for j in js]).alias(n) for n in FLAG_SCORES])
+    return counts.select(*by, F.inline(F.array(*[cell(at, js) for at, js in sorted(places.items())]))).where("green + yellow + red > 0")
+
+
 def flag_score(flag: Column) -> Column:
     """Score of a counted flag; null for na and info."""
     return reduce(lambda acc, kv: acc.when(flag == kv[0], F.lit(kv[1])), list(FLAG_SCORES.items())[1:],
