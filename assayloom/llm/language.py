@@ -25,6 +25,7 @@ SEED = 11
 SLICE_BYTES = 1 << 19
 SLICE_ROWS = 1 << 10
 LEAST_SHARE = 1e-5     # of the training documents may stay below the least cosine
+KEPT = 1 << 16          # n-gram vectors a worker keeps: 64 MB at 1,024 dimensions
 PIECE = 2_048           # n-grams whose vectors are added at a time
 
 _cache: dict = {}
@@ -42,23 +43,35 @@ def _letter_classes() -> np.ndarray:
 
 
 class GramVectors:
-    """Vectors of n-grams, made when first met; rows that are never met take no memory."""
+    """Vectors of n-grams, made when first met; the first ``KEPT`` of them are kept in a row, others are made again."""
 
     def __init__(self, dimensions: int):
         letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, dimensions))
         self.turned = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
-        self.rows = np.zeros((CLASSES ** GRAM, dimensions), np.int8)
-        self.have = np.zeros(CLASSES ** GRAM, bool)
+        self.rows = np.zeros((KEPT, dimensions), np.int8)       # takes memory as it fills
+        self.place = np.full(CLASSES ** GRAM, -1, np.int32)
+        self.used = 0
+
+    def _made(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones((len(grams), self.rows.shape[1]), np.int8)
+        for k in range(GRAM):
+            out *= self.turned[k][grams // CLASSES ** (GRAM - 1 - k) % CLASSES]
+        return out
 
     def of(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[~self.have[grams]]
+        """Vectors of different n-grams."""
+        new = grams[self.place[grams] < 0][:KEPT - self.used]
         if len(new):
-            out = np.ones((len(new), self.rows.shape[1]), np.int8)
-            for k in range(GRAM):
-                out *= self.turned[k][new // CLASSES ** (GRAM - 1 - k) % CLASSES]
-            self.rows[new] = out
-            self.have[new] = True
-        return self.rows[grams]
+            end = self.used + len(new)
+            self.rows[self.used:end] = self._made(new)
+            self.place[new] = np.arange(self.used, end)
+            self.used = end
+        at = self.place[grams]
+        out = self.rows[np.maximum(at, 0)]
+        missing = at < 0
+        if missing.any():
+            out[missing] = self._made(grams[missing])
+        return out
 
 
 def gram_vectors(dimensions: int) -> GramVectors:

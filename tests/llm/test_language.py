@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from assayloom.llm.common import fold
+from assayloom.llm import language
 from assayloom.llm.language import GRAM, bundles, classify, gram_vectors, identify, learn_prototypes
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -58,3 +59,11 @@ def test_predictions_do_not_see_lang_and_columns_stay(spark):
     assert a.columns == [*docs.columns, "pred", "cos"]
     key = lambda df: sorted((r.doc_id, r.pred, r.cos, r.score, r.lang_pred) for r in df.collect())
     assert key(a) == key(b)
+
+
+def test_vectors_beyond_those_kept_are_the_same(monkeypatch):
+    grams = np.arange(0, 3000, 7)
+    want = language.GramVectors(64).of(grams)
+    monkeypatch.setattr(language, "KEPT", 100)
+    few = language.GramVectors(64)
+    assert np.array_equal(few.of(grams), want) and np.array_equal(few.of(grams[::-1]), want[::-1]) and few.used == 100
