@@ -95,6 +95,33 @@ def test_mzxml(spark, tmp_path):
     assert got == {(1.0, 11.0), (2.0, 7.0)}
 
 
+@pytest.mark.parametrize("size", ["61", "700", "100000"])
+def test_xml_files_are_split(spark, tmp_path, size):
+    """The same points wherever the splits fall: inside tags, attributes and closing tags."""
+    cv = lambda a, v="", u="": f'<cvParam cvRef="MS" accession="{a}" value="{v}" unitName="{u}" />'
+    head = '<?xml version="1.0" encoding="utf-8"?>\n<indexedmzML><mzML>\n<run id="r"><spectrumList count="60" defaultDataProcessingRef="x">\n'
+    rows = [f'  <spectrum index="{k}"\n id="scan={k}" defaultArrayLength="0">\n{cv("MS:1000511", 1 + k % 2)}{cv("MS:1000285", k + 1)}<scanList><scan>'
+            f'{cv("MS:1000016", k / 4, "minute")}</scan></scanList>\n  </spectrum>\n' for k in range(60)] + ['<spectrum index="60" id="scan=60"/>\n']
+    tail = '</spectrumList></run></mzML><indexList count="1"><index name="spectrum"><offset idRef="scan=0">99</offset></index></indexList></indexedmzML>'
+    (tmp_path / "a.mzML").write_text(head + "".join(rows) + tail)
+    inner = lambda k: f'<scan num="{k}b" msLevel="2" retentionTime="PT{k}S" totIonCurrent="9"><scanOrigin parentFileID="f" num="{k}"/><peaks></peaks></scan>'
+    scans = [f'<scan num="{k}" msLevel="1" retentionTime="PT{k * 15}S" totIonCurrent="{k + 1}">\n<peaks></peaks>{inner(k)}</scan>\n' for k in range(60)]
+    (tmp_path / "a.mzXML").write_text("\n<mzXML><msRun>" + "".join(scans) + "</msRun></mzXML>")
+    old = {c: spark.conf.get(f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        pieces = ch._pieces(spark, str(tmp_path), "spectrum", None, "*.mzML", False)
+        assert pieces.rdd.getNumPartitions() > 3 or size == "100000"
+        got = {(r["sample"], r["rt"], r["y"]) for r in ch.read_mzml_tic(spark, str(tmp_path), glob="*.mzML").collect()}
+        assert got == {("a", k / 4, k + 1.0) for k in range(0, 60, 2)}
+        got = {(r["sample"], r["rt"], r["y"]) for r in ch.read_mzxml_tic(spark, str(tmp_path), glob="*.mzXML").collect()}
+        assert got == {("a", k / 4, k + 1.0) for k in range(60)}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(f"spark.sql.files.{c}", v)
+
+
 def test_read_all_keeps_going(spark, tmp_path):
     t, y = gauss()
     for d in ("Asli", "Tiruan"):
