@@ -87,14 +87,27 @@ def drop_constant_features(long: DataFrame) -> DataFrame:
     return long.join(feature_moments(long).where("std > 0").select("feature"), "feature", "left_semi").select(*long.columns)
 
 
-def scale_features(long: DataFrame, method: str = "auto") -> DataFrame:
-    """Centred cells divided by the deviation (auto), its root (pareto) or nothing (center); dense result."""
+def scaled_cells(long: DataFrame, method: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """Centred cells divided by the deviation (auto), its root (pareto) or nothing (center), in two tables.
+
+    The first has the cells present (sample, feature, value), a null value being zero; the second has, per feature, the one value that all its absent cells
+    take. So the rows grow with the cells, not with samples times features.
+    """
     if method not in ("auto", "pareto", "center"):
         raise ValueError(f"unknown scaling {method!r}")
+    long = long.select("sample", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
     std = F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     divisor = {"auto": std, "pareto": F.sqrt(std), "center": F.lit(1.0)}[method]
-    cells = densify(long).join(feature_moments(long), "feature")
-    return cells.select("sample", "feature", ((F.col("value") - F.col("mean")) / divisor).alias("value"))
+    moments = feature_moments(long).select("feature", "mean", divisor.alias("_div"))
+    scaled = lambda v: ((v - F.col("mean")) / F.col("_div")).alias("value")
+    return long.join(moments, "feature").select("sample", "feature", scaled(F.col("value"))), moments.select("feature", scaled(F.lit(0.0)))
+
+
+def scale_features(long: DataFrame, method: str = "auto") -> DataFrame:
+    """``scaled_cells`` as one table with every cell of the matrix; only cells that are absent are added."""
+    cells, absent = scaled_cells(long, method)
+    grid = matrix_cells(long.select("sample").distinct(), absent.withColumnRenamed("value", "_absent"), "sample")
+    return grid.join(cells, ["sample", "feature"], "left").select("sample", "feature", F.coalesce("value", "_absent").alias("value"))
 
 
 def normalize_samples(long: DataFrame, method: str = "total", blocks: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayloom.functions.udfs import beta_quantile
 from assayloom.operators import linear
-from assayloom.operators.features import class_list, scale_features
+from assayloom.operators.features import class_list, scaled_cells
 from assayloom.operators.linear import EVERY, Moments, fold_moments
 from assayloom.ordered import numbered
 from assayloom.session import cut
@@ -34,15 +34,35 @@ def feature_names(long: DataFrame) -> list:
     return sorted(r["feature"] for r in long.select("feature").distinct().collect())
 
 
-def wide_rows(long: DataFrame, names: list) -> DataFrame:
-    """One array per sample holding its value for every feature, absent ones as zero."""
+def wide_rows(long: DataFrame, names: list, absent: np.ndarray | None = None) -> DataFrame:
+    """One array per sample holding its value for every feature; absent cells take the feature's value in ``absent``, else zero."""
     spark = long.sparkSession
-    kind = dict(long.dtypes)["feature"]
-    index = spark.createDataFrame([(f, k) for k, f in enumerate(names)], f"feature {kind}, k int")
+    base = np.zeros(len(names)) if absent is None else absent
+    types = dict(long.dtypes)
+    index = spark.createDataFrame([(f, k) for k, f in enumerate(names)], f"feature {types['feature']}, k int")
     cells = long.join(F.broadcast(index) if len(names) <= SMALL_INDEX else index, "feature")
-    cells = cells.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))
-    keys = F.sequence(F.lit(0), F.lit(len(names) - 1))
-    return cells.select("sample", F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0))).alias("x"))
+    cells = cells.groupBy("sample").agg(F.collect_list(F.struct("k", F.coalesce("value", F.lit(0.0)).alias("value"))).alias("c"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for k, v in zip(pdf["k"], pdf["v"]):
+                if len(np.unique(k)) < len(k):
+                    raise ValueError("a sample has two values of one feature")
+                x = base.copy()
+                x[k] = v
+                rows.append(x)
+            yield pd.DataFrame({"sample": pdf["sample"], "x": rows})
+
+    kind = f"sample {types['sample']}, x array<double>"
+    return cells.select("sample", F.col("c.k").alias("k"), F.col("c.value").alias("v")).mapInPandas(run, kind)
+
+
+def scaled_rows(long: DataFrame, names: list, scaling: str) -> DataFrame:
+    """The scaled matrix as one array per sample, made from the cells present and one value per feature for the others."""
+    cells, absent = scaled_cells(long, scaling)
+    value = {r["feature"]: r["value"] for r in absent.collect()}        # as long as a vector of the models
+    return wide_rows(cells, names, np.array([value[f] for f in names], float))
 
 
 # ---- PCA ---------------------------------------------------------------------------------------------------
@@ -79,7 +99,7 @@ def pca(long: DataFrame, labels: DataFrame, k: int = 3, scaling: str = "auto") -
     if labels.select("label").distinct().count() < 2:
         raise ValueError("PCA needs at least two classes")
     names = feature_names(long)
-    scaled = cut(wide_rows(scale_features(long, scaling), names))
+    scaled = cut(scaled_rows(long, names, scaling))
     n = scaled.count()
     if n < 3 or len(names) < 2:
         raise ValueError("PCA needs three samples and two features")
@@ -283,7 +303,7 @@ def hierarchical_clusters(long: DataFrame, n_clusters: int = 3, leaves: int = LE
     """
     spark = long.sparkSession
     names = feature_names(long)
-    rows = cut(wide_rows(scale_features(long, scaling), names))
+    rows = cut(scaled_rows(long, names, scaling))
     if rows.limit(2).count() < 2:
         raise ValueError("clustering needs two samples")
     tree, merges, size, error = _ward_of(rows, len(names), leaves)
@@ -310,7 +330,7 @@ def cluster_order(long: DataFrame, leaves: int = LEAVES, directions: int = DIREC
     if len(names) < 3 or long.select("sample").distinct().limit(3).count() < 3:
         raise ValueError("clustering both axes needs three samples and three features")
     rows = hierarchical_clusters(long, 1, leaves).labels.select("sample", F.col("leaf").alias("row_leaf"))
-    scaled = cut(wide_rows(scale_features(long, "auto"), names))
+    scaled = cut(scaled_rows(long, names, "auto"))
     values, load, _ = _components(scaled, len(names), min(len(names), directions))
     kind = dict(long.dtypes)["feature"]
     points = spark.createDataFrame([(f, [float(c) for c in x]) for f, x in zip(names, load * np.sqrt(values))], f"sample {kind}, x array<double>")

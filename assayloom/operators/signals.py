@@ -539,15 +539,31 @@ def peak_feature_matrix(clusters: DataFrame) -> DataFrame:
     return clusters.select("sample", "cluster", F.when(F.col("area") > 0, F.col("area")).otherwise(F.col("height")).alias("area"), "height")
 
 
+GAP_SLICES = 16     # tasks a time bucket's points are dealt over, at most; features are repeated as often
+
+
+def found_gaps(clusters: DataFrame, features: DataFrame, signal: DataFrame, noise_levels: DataFrame, tol: float, snr: float = 5.0,
+               slices: int = GAP_SLICES) -> DataFrame:
+    """Cells without a peak whose largest signal near the feature time stands out of the noise; every other such cell is 0 and has no row.
+
+    Only points that reach their sample's limit meet the features, by time bucket, so rows grow with what stands out and not with samples times
+    features. Samples without a positive noise level have no such cells; null times and intensities are skipped.
+    """
+    width = 2 * tol
+    points = signal.select("sample", "rt", "y").join(noise_levels.where("noise > 0").select("sample", "noise"), "sample").where(F.col("y") >= snr * F.col("noise"))
+    points = points.select("sample", "rt", "y", F.floor(F.col("rt") / width).alias("_k"), F.pmod(F.xxhash64("sample"), F.lit(slices)).alias("_slice"))
+    times = features.select("cluster", F.col("rt").alias("f_rt"), "ratio", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("_slice"))
+    times = times.withColumn("_k", F.explode(F.sequence(F.floor((F.col("f_rt") - tol) / width), F.floor((F.col("f_rt") + tol) / width))))
+    hits = points.join(times, ["_k", "_slice"]).where((F.col("rt") >= F.col("f_rt") - tol) & (F.col("rt") <= F.col("f_rt") + tol))
+    top = hits.groupBy("sample", "cluster").agg(F.max("y").alias("height"), F.first("ratio").alias("ratio"))
+    top = top.join(clusters.select("sample", "cluster").distinct(), ["sample", "cluster"], "left_anti")
+    return top.select("sample", "cluster", "height", (F.col("height") * F.col("ratio")).alias("area"))
+
+
 def fill_gaps(clusters: DataFrame, features: DataFrame, signal: DataFrame, noise_levels: DataFrame, tol: float, snr: float = 5.0) -> DataFrame:
-    """Cells without a peak, filled from the largest signal near the feature time; 0 when that stays in the noise."""
-    cells = matrix_cells(noise_levels.select("sample", "noise"), features.select("cluster", F.col("rt").alias("f_rt"), "ratio"), "sample")
+    """``found_gaps`` with a row for every cell without a peak; 0 where the signal stays in the noise."""
+    cells = matrix_cells(noise_levels.select("sample"), features.select("cluster"), "sample")
     missing = cells.join(clusters.select("sample", "cluster").distinct(), ["sample", "cluster"], "left_anti")
-    width = 2 * tol
-    near = missing.withColumn("_k", F.explode(F.sequence(F.floor((F.col("f_rt") - tol) / width), F.floor((F.col("f_rt") + tol) / width))))
-    points = signal.select("sample", "rt", "y", F.floor(F.col("rt") / width).alias("_k"))
-    hits = near.join(points, ["sample", "_k"]).where((F.col("rt") >= F.col("f_rt") - tol) & (F.col("rt") <= F.col("f_rt") + tol))
-    top = hits.groupBy("sample", "cluster").agg(F.max("y").alias("top"))
-    found = (F.col("noise") > 0) & (F.coalesce("top", F.lit(0.0)) >= snr * F.col("noise"))
-    height = F.when(found, F.col("top")).otherwise(0.0)
-    return missing.join(top, ["sample", "cluster"], "left").select("sample", "cluster", height.alias("height"), (height * F.col("ratio")).alias("area"))
+    found = found_gaps(clusters, features, signal, noise_levels, tol, snr)
+    return missing.join(found, ["sample", "cluster"], "left").select("sample", "cluster", F.coalesce("height", F.lit(0.0)).alias("height"),
+                                                                     F.coalesce("area", F.lit(0.0)).alias("area"))

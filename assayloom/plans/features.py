@@ -41,6 +41,20 @@ for _method, _div in (("auto", "stddev_pop(value) OVER w"), ("pareto", "sqrt(std
     def _(spark, sf, method=_method):
         return op.scale_features(feature_long(spark, sf), method).select("sample", "feature", *r6("value"))
 
+
+# every third entry left out, so that cells are absent
+HOLES = "holes AS (SELECT sample, feature, value FROM long WHERE (sample + feature) % 3 <> 0), size AS (SELECT count(DISTINCT sample) AS n FROM holes)"
+
+
+@query("P18_scaled_cells", f"""WITH {LONG}, {HOLES}, m AS (SELECT feature, sum(value) / max(n) AS mean, sqrt(greatest(sum(value * value) / max(n) - (sum(value) / max(n)) ** 2, 0)) AS std FROM holes, size GROUP BY 1)
+ SELECT sample, feature, round((value - mean) / std, 6) AS value FROM holes JOIN m USING (feature) UNION ALL SELECT NULL, feature, round(-mean / std, 6) FROM m""")
+def _(spark, sf):
+    """Cells present, and for each feature, under no sample, what its absent cells are worth."""
+    cells, absent = op.scaled_cells(feature_long(spark, sf).where("(sample + feature) % 3 <> 0"), "auto")
+    rows = cells.unionByName(absent.withColumn("sample", F.lit(None).cast("long")))
+    return rows.select("sample", "feature", *r6("value"))
+
+
 TOTAL = "tot AS (SELECT sample, feature, 100.0 * value / sum(value) OVER (PARTITION BY sample) AS value FROM dense)"
 
 

@@ -232,3 +232,13 @@ def _(spark, sf):
     level = rows.groupBy("sample").agg((F.avg("height") / 20).alias("noise"))
     signal = rows.select("sample", "rt", F.col("height").alias("y"))
     return op.fill_gaps(rows, op.peak_features(rows), signal, level, 1.5).select("sample", "cluster", *r6("height", "area"))
+
+
+@query("J18_found_gaps", f"""WITH {BINNED}, f AS (SELECT cluster, median(rt) AS f_rt, avg(area / height) FILTER (height > 0) AS ratio FROM cl GROUP BY 1), nz AS (SELECT sample, avg(height) / 20 AS noise FROM cl GROUP BY 1)
+ SELECT p.sample, cluster, round(max(p.height), 6) AS height, round(max(p.height * ratio), 6) AS area FROM peaks p JOIN nz USING (sample) JOIN f ON p.rt >= f_rt - 1.5 AND p.rt <= f_rt + 1.5
+ WHERE noise > 0 AND p.height >= 5 * noise AND (p.sample, cluster) NOT IN (SELECT (sample, cluster) FROM cl) GROUP BY p.sample, cluster""")
+def _(spark, sf):
+    rows = binned_peaks(spark, sf)
+    level = rows.groupBy("sample").agg((F.avg("height") / 20).alias("noise"))
+    signal = rows.select("sample", "rt", F.col("height").alias("y"))
+    return op.found_gaps(rows, op.peak_features(rows), signal, level, 1.5).select("sample", "cluster", *r6("height", "area"))

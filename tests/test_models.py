@@ -318,3 +318,26 @@ def test_similarity_blocks(spark, monkeypatch):
         got = ft.similarity_matrix(tables(spark, x, y)[0], method).toPandas()
         assert len(got) == 30 * 29 // 2
         assert np.allclose(got["similarity"], [want[int(a[1:]), int(b[1:])] for a, b in zip(got["a"], got["b"])])
+
+
+@pytest.mark.parametrize("method", ["auto", "pareto", "center"])
+def test_scaling_of_absent_cells(spark, method):
+    """Cells present and one value per feature for the others give the scaled matrix, cell by cell and as rows."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((9, 5)) < 0.4, 0.0, rng.normal(3, 2, (9, 5)))
+    x[:, 4] = 0.0
+    x[0], x[:, 0] = 1.5, np.arange(1, 10)      # no sample is empty
+    cells = [(f"s{i}", f"f{j}", float(x[i, j])) for i in range(9) for j in range(5) if x[i, j] != 0.0]
+    long = spark.createDataFrame(cells + [("s1", "f4", None)], "sample string, feature string, value double")
+    want = scaled(x, method)
+    got = ft.scale_features(long, method).toPandas().pivot(index="sample", columns="feature", values="value").sort_index().to_numpy()
+    assert got.shape == want.shape and np.allclose(got, want)
+    assert ft.scaled_cells(long, method)[0].count() == len(cells) + 1
+    rows = {r["sample"]: r["x"] for r in md.scaled_rows(long, [f"f{j}" for j in range(5)], method).collect()}
+    assert np.allclose([rows[f"s{i}"] for i in range(9)], want)
+
+
+def test_two_values_of_a_cell_are_refused(spark):
+    long = spark.createDataFrame([("a", "f", 1.0), ("a", "f", 2.0)], "sample string, feature string, value double")
+    with pytest.raises(Exception, match="two values"):
+        md.wide_rows(long, ["f"]).collect()

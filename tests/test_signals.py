@@ -219,3 +219,27 @@ def test_bins_keep_mass(signal):
     mass = df.groupBy("sample").agg(F.sum("y").alias("m")).toPandas().set_index("sample")["m"] * 0.01
     bins = sg.bin_signal(df, grid, 0.25).groupBy("sample").agg(F.sum("value").alias("m")).toPandas().set_index("sample")["m"]
     assert np.allclose(mass.sort_index(), bins.sort_index())
+
+
+def test_gaps_against_loops(spark):
+    """Cells that stand out, and the same with all other empty cells as zeros; bucket ends, no noise and null points included."""
+    rng = np.random.default_rng(3)
+    noise = {"a": 1.0, "b": 2.0, "c": 0.0}
+    features = [(k, float(t), 2.0 + k) for k, t in enumerate([0.5, 1.0, 1.05, 3.0, 7.25])]
+    points = [(s, round(float(t), 2), float(y)) for s in noise for t, y in zip(rng.uniform(0, 8, 40), rng.uniform(0, 12, 40))]
+    points += [("a", 1.2, 11.0), ("a", 2.8, 5.0), ("b", None, 50.0), ("b", 3.0, None)]
+    have = [("a", 0), ("b", 3), ("b", 3), ("c", 1)]
+    want = {}
+    for s, level in noise.items():
+        for c, t, ratio in features:
+            if (s, c) not in have:
+                top = max((y for p, r, y in points if p == s and r is not None and y is not None and t - 0.2 <= r <= t + 0.2), default=0.0)
+                height = top if level > 0 and top >= 5 * level else 0.0
+                want[s, c] = (height, height * ratio)
+    tables = (spark.createDataFrame(have, "sample string, cluster long"), spark.createDataFrame(features, "cluster long, rt double, ratio double"),
+              spark.createDataFrame(points, "sample string, rt double, y double"), spark.createDataFrame(list(noise.items()), "sample string, noise double"))
+    read = lambda df: {(r["sample"], r["cluster"]): (r["height"], r["area"]) for r in df.collect()}
+    assert read(sg.fill_gaps(*tables, 0.2)) == want
+    found = sg.found_gaps(*tables, 0.2)
+    assert read(found) == {k: v for k, v in want.items() if v[0] > 0} and len(read(found)) > 2
+    assert sg.found_gaps(tables[0], tables[1], tables[2].limit(0), tables[3], 0.2).count() == 0
