@@ -253,6 +253,14 @@ def _(spark, sf):
 
 # ---- records ------------------------------------------------------------------------------------------------
 
+RECORDS_A_FILE = 200_000     # packed files are not split, so they are kept small
+
+
+def _packed_texts(df, path):
+    """Text that is only read back: indented JSON is many times its table, so it is packed."""
+    df.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+
+
 @query("S17_read_interactions", f"""WITH {RAW_SPECS} SELECT receptor || complex AS document, type AS type_subtype, CASE WHEN ts.chain <> '' AND fs.chain <> '' THEN NULL ELSE 'atom not understood' END AS error,
  nullif(fs.chain, '') AS from_chain, try_cast(fs.resnum AS INT) AS from_resnum, nullif(ts.chain, '') AS to_chain, try_cast(ts.resnum AS INT) AS to_resnum FROM spec""")
 def _(spark, sf):
@@ -316,8 +324,8 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "runs")
     runs = b.docking_runs(spark, sf)
-    runs.select(F.col("ligand").alias("ligand_name"), F.col("receptor").alias("receptor_key"), (F.col("replicate") % 1000).cast("int").alias("replicate"), "seed", "poses", "error").select(
-        F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)
+    _packed_texts(runs.select(F.col("ligand").alias("ligand_name"), F.col("receptor").alias("receptor_key"), (F.col("replicate") % 1000).cast("int").alias("replicate"), "seed", "poses", "error").select(
+        F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")), path)
     df = rc.read_run_checkpoints(spark, path, glob="*")
     return df.select("ligand", "receptor", "replicate", F.col("poses")[0]["affinity"].alias("affinity"), F.size("poses").alias("n_poses"))
 

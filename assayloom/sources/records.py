@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from assayloom.functions.text import clean_text, guess_element, parse_atom_spec
 from assayloom.session import cut
 from assayloom.sources.chromatograms import _cells, sniff_delimiter
-from assayloom.sources.lines import ORDER, along_lines, read_lines
+from assayloom.sources.lines import ORDER, along_lines, line_order, read_lines
 
 # Contact table header words and the positions used without a header.
 CONTACT_HEADERS = {"category": ("category",), "type_subtype": ("types", "type", "type/subtype"), "from": ("from",), "from_chemistry": ("from chemistry",),
@@ -95,16 +95,30 @@ RUN_SCHEMA = ("ligand_name string, receptor_key string, replicate int, seed long
               "poses array<struct<mode:int,affinity:double,rmsd_lb:double,rmsd_ub:double>>, output_pdbqt string, log_path string, error string")
 
 
+def _plain_records(spark: SparkSession, path: str, glob: str) -> bool:
+    """Whether all files are UTF-8, begin with a brace and have no line that begins with two: then a newline and a brace cut them into records."""
+    df = line_order(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, lineSep="\n"))
+    line, first = F.col("value"), F.when(F.col("block") == 0, F.col("pos"))
+    other = line.contains("\0") | ~F.is_valid_utf8(line) | line.rlike("^\\{\ufeff?\\{")
+    files = df.groupBy(F.col("_metadata.file_path")).agg(F.bool_or(other).alias("other"), F.min_by(line.rlike("^\ufeff?\\{"), first).alias("begins"))
+    return files.where("other or not begins").isEmpty()
+
+
 def _json_records(spark: SparkSession, path: str, schema: str, lines: bool, glob: str) -> DataFrame:
     """Records of JSON files with the file's path, broken ones as null.
 
-    A file holds one record or several, indented or not, each beginning with a brace at the start of a line. Files are read as lines by as many
-    tasks as they have splits; records are numbered along the lines, and the lines of each are put together again, so no task holds more
-    than a record. With ``lines`` every line is a record.
+    A file holds one record or several, indented or not, each beginning with a brace at the start of a line. That is the record separator of the
+    text reader, so Spark splits a file at any byte, no task holds more than a record and nothing is shuffled. Files in other encodings or with
+    other beginnings are read as lines; records are numbered along the lines, and the lines of each are put together again. With ``lines`` every
+    line is a record.
     """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     if lines:
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
         text = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    elif _plain_records(spark, path, glob):
+        # the separator takes the brace of every record but the first of a file
+        value = F.when(F.col("value").rlike("^\ufeff?\\{"), F.col("value")).otherwise(F.concat(F.lit("{"), "value"))
+        text = reader.text(path, lineSep="\n{").select(value.alias("value"), F.col("_metadata.file_path").alias("file"))
     else:
         rows = read_lines(spark, path, glob=glob, full_path=True)
         rows = rows.withColumn("_begins", F.col("line").startswith("{").cast("long"))

@@ -189,6 +189,20 @@ def test_records_over_many_splits_of_one_file(spark, tmp_path, tiny_splits):
     assert ln.read_lines(spark, str(folder), glob="*.json").rdd.getNumPartitions() > 3
 
 
+def test_plain_records_are_not_shuffled(spark, tmp_path, tiny_splits):
+    """A newline and a brace cut UTF-8 files into records; other files take the way over lines and give the same."""
+    record = lambda k, receptor="R": json.dumps({"ligand_name": f"L{k}", "receptor_key": receptor, "replicate": k, "poses": [{"mode": 1, "affinity": 1.0}]}, indent=2, ensure_ascii=False)
+    text = "\r\n".join(record(k) for k in range(40))
+    for name, data in (("utf8", text.encode("utf-8-sig")), ("utf16", text.encode("utf-16")), ("cp1252", (text + "\n" + record(40, "\xb5")).encode("cp1252")), ("late", ("\n  " + text).encode()),
+                       ("twice", (text + "\n{{" + record(50)[1:]).encode()), ("headless", (record(51)[1:] + "\n" + text).encode())):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.json").write_bytes(data)
+        df = rc.read_run_checkpoints(spark, str(folder))
+        assert sorted(r.replicate for r in df.collect()) == list(range(41 if name == "cp1252" else 40)), name
+        assert ("Exchange" not in df._jdf.queryExecution().executedPlan().toString()) == (name == "utf8")
+
+
 def test_runs_and_sidecars_in_indented_files(spark, tmp_path):
     import json
     from assayloom.sources import records as rc
