@@ -95,6 +95,25 @@ def test_mzxml(spark, tmp_path):
     assert got == {(1.0, 11.0), (2.0, 7.0)}
 
 
+def test_mzxml_minutes_stay_as_written(spark, tmp_path):
+    """Times that differ in the last digit are two points: minutes are not turned into seconds and back."""
+    a = next(x for x in (k / 1000 + 0.0007 for k in range(1, 5000)) if x * 60 / 60 != x)
+    scan = lambda t, v: f'<scan msLevel="1" retentionTime="{t}" totIonCurrent="{v}"></scan>'
+    (tmp_path / "a.mzXML").write_text("<mzXML><msRun>" + scan(f"PT{a * 60!r}S", 1) + scan(f"PT{a!r}M", 2) + "</msRun></mzXML>")
+    assert {(r["rt"], r["y"]) for r in ch.read_mzxml_tic(spark, str(tmp_path)).collect()} == {(a * 60 / 60, 1.0), (a, 2.0)}
+
+
+def test_xml_chunks_follow_one_another(spark, tmp_path, monkeypatch):
+    """Of equal times the first scan counts, also when a sample's scans fill many files."""
+    from assayloom.plans import files
+    monkeypatch.setattr(files, "XML_CHUNK", 10)
+    monkeypatch.setattr(files, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = [(f"S{s}", 7 * k - 50, f'<scan msLevel="1" retentionTime="PT{k % 5}M" totIonCurrent="{k}"></scan>') for s in range(2) for k in range(200)]
+    path = files._xml_files(spark, spark.createDataFrame(rows, "sample string, seq long, line string").repartition(7), "x", "mzXML")
+    got = {(r["sample"], r["rt"]): r["y"] for r in ch.read_mzxml_tic(spark, path, "sample").collect()}
+    assert got == {(f"S{s}", float(k)): float(k) for s in range(2) for k in range(5)}
+
+
 @pytest.mark.parametrize("size", ["61", "700", "100000"])
 def test_xml_files_are_split(spark, tmp_path, size):
     """The same points wherever the splits fall: inside tags, attributes and closing tags."""
