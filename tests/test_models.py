@@ -320,6 +320,14 @@ def test_similarity_blocks(spark, monkeypatch):
         assert np.allclose(got["similarity"], [want[int(a[1:]), int(b[1:])] for a, b in zip(got["a"], got["b"])])
 
 
+def test_similarity_pairs_are_not_shuffled(spark):
+    """Pairs come from the task that multiplies their blocks: nothing is exchanged behind the blocks."""
+    x, y = matrix(40, 5)
+    df = ft.similarity_matrix(tables(spark, x, y)[0], "pearson")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert df.count() == df.select("a", "b").distinct().count() == 40 * 39 // 2 and df.where("a >= b").isEmpty()
+
+
 @pytest.mark.parametrize("method", ["auto", "pareto", "center"])
 def test_scaling_of_absent_cells(spark, method):
     """Cells present and one value per feature for the others give the scaled matrix, cell by cell and as rows."""
