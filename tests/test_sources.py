@@ -65,6 +65,17 @@ def test_sections_over_splits(spark, tmp_path, tiny_splits):
     assert {r["key"]: r["value"] for r in meta.collect()}["data file name"] == "x.qgd"
 
 
+def test_lines_of_one_split_are_dealt(spark, tmp_path, monkeypatch):
+    """A split is more than one block, and the header is not copied to every cell."""
+    monkeypatch.setattr(ln, "_BLOCK", [*ln.ORDER[:2], "pos div 16"])
+    (tmp_path / "m.csv").write_text("Sample," + ",".join(f"f{k}" for k in range(40)) + "\n" + "".join(f"s{r}," + ",".join(str(r * k) for k in range(40)) + "\n" for r in range(100)))
+    lines = ln.read_lines(spark, str(tmp_path)).withColumn("_one", ln.F.lit(1))
+    assert ln.given_blocks(lines, ln._BLOCK).select("_order_block").distinct().count() == 7 and len(ln._BLOCK) == 3
+    assert [r["n"] for r in ln.along_lines(lines, ["document"], {"n": ("sum", "_one")}).orderBy(*ln.ORDER).collect()] == list(range(1, 102))
+    got = ch.read_feature_matrix(spark, str(tmp_path))
+    assert {(r["sample"], r["feature"]): r["value"] for r in got.collect()} == {(f"s{r}", f"f{k}"): float(r * k) for r in range(100) for k in range(40)}
+
+
 def test_feature_matrix_transposed(spark, tmp_path):
     (tmp_path / "m.csv").write_text("Compound,s1,s2,s3\nLimonene,1,2,x\nLinalool,4,-,6\nCoumarin,5,6,x\n")
     got = {(r["sample"], r["feature"]): r["value"] for r in ch.read_feature_matrix(spark, str(tmp_path)).collect()}
