@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayloom.functions.text import finite_or_null
@@ -20,6 +21,7 @@ from assayloom.ordered import matrix_cells, numbered, quantiles, running, with_b
 from assayloom.session import cut
 
 GRID_BLOCK = 1 << 17
+FEW_SAMPLES = 4_096     # tables of one row per sample up to here are sent to all tasks
 
 # Unit factors to minutes and plausibility limits of a run.
 UNIT_FACTORS = {"min": 1.0, "sec": 1.0 / 60.0, "msec": 1.0 / 60000.0, "min_x1000": 1.0 / 1000.0}
@@ -39,9 +41,16 @@ def _steps(points: DataFrame, order: list[str], blocks: int | None) -> DataFrame
     return running(points, ["sample"], order, {"_before": ("prev", "rt")}, blocks=blocks).withColumn("step", F.col("rt") - F.col("_before"))
 
 
+def _per_sample(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Join a table of one row per sample; a short one travels to the rows, so a few long samples are not dealt by their name."""
+    return rows.join(F.broadcast(table) if table.count() <= FEW_SAMPLES else table, "sample")
+
+
 def scan_interval(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """Median distance of neighbouring times per sample; 0 for a single point."""
-    med = quantiles(_steps(points, ["rt"], blocks), ["sample"], "step", {"scan_interval": 0.5}, blocks)
+    # a median reads its rows several times
+    steps = cut(_steps(points, ["rt"], blocks).select("sample", "step"))
+    med = quantiles(steps, ["sample"], "step", {"scan_interval": 0.5}, blocks)
     return points.select("sample").distinct().join(med, "sample", "left").fillna(0.0, ["scan_interval"])
 
 
@@ -110,7 +119,7 @@ def common_grid(points: DataFrame, rt_range: tuple[float, float] | None = None,
         low, high = max(low, rt_range[0]), min(high, rt_range[1])
     if high <= low:
         raise ValueError("the time ranges of the samples do not overlap")
-    gaps = scan_interval(points, blocks).join(several, "sample", "left_semi")
+    gaps = cut(scan_interval(points, blocks).join(several, "sample", "left_semi"))
     step = quantiles(gaps, [], "scan_interval", {"step": 0.5}).first()["step"]
     return Grid(low, step, math.ceil((high + step * 0.5 - low) / step))
 
@@ -119,7 +128,7 @@ def resample(points: DataFrame, grid: Grid, blocks: int | None = None) -> DataFr
     """Linear interpolation on the grid, ends held; every segment between two points fills its own grid points."""
     order = running(points, ["sample"], ["rt"], {"_rt2": ("prev", "rt"), "_y2": ("prev", "y")}, reverse=True, blocks=blocks)
     ends = points.groupBy("sample").agg(F.min("rt").alias("_lo"))
-    seg = order.join(ends, "sample")
+    seg = _per_sample(order, cut(ends))
     index = lambda x: (x - F.lit(grid.low)) / F.lit(grid.step)
     first = F.col("rt") == F.col("_lo")
     lo = F.when(first, 0).otherwise(F.greatest(F.floor(index(F.col("rt"))) - 1, F.lit(0)))
@@ -152,15 +161,20 @@ def _sg_rows(window: int, order: int) -> np.ndarray:
 
 def smooth(signal: DataFrame, window_points: int, order: int = 3, block: int = GRID_BLOCK) -> DataFrame:
     """Savitzky-Golay smoothing; the window is odd and capped by the length, too short a signal stays as it is."""
+    return _smoothed(signal, window_points, order, block).select("sample", "i", "rt", F.col("_s").alias("y"))
+
+
+def _smoothed(signal: DataFrame, window_points: int, order: int, block: int = GRID_BLOCK) -> DataFrame:
+    """The signal with its smoothed form ``_s``. It is read several times, so callers cut what is dear to make."""
     size = signal.groupBy("sample").agg((F.max("i") + 1).alias("n"))
-    size = size.withColumn("w", F.least(F.lit(int(window_points) | 1), F.expr("(n div 2) * 2 - 1")).cast("int"))
-    rows = signal.join(size, "sample")
+    size = cut(size.withColumn("w", F.least(F.lit(int(window_points) | 1), F.expr("(n div 2) * 2 - 1")).cast("int")))
+    rows = _per_sample(signal, size)
     windows = sorted(r["w"] for r in size.select("w").distinct().collect())
     parts = []
     for w in windows:
         mine = rows.where(F.col("w") == w)
         if w <= order + 1:
-            parts.append(mine.select("sample", "i", "rt", "y"))
+            parts.append(mine.select("sample", "i", "rt", "y", F.col("y").alias("_s")))
             continue
         h, weight = w // 2, _sg_rows(w, order)
         rim = _rimmed(mine, w, max(block, 4 * w))
@@ -168,7 +182,7 @@ def smooth(signal: DataFrame, window_points: int, order: int = 3, block: int = G
         at = lambda k: F.col("y") if k == 0 else (F.lead("y", k) if k > 0 else F.lag("y", -k)).over(near)
         shifted = rim.withColumns({f"_y{k + h}": at(k) for k in range(-h, h + 1)})
         total = sum((F.col(f"_y{j}") * float(weight[h, j]) for j in range(1, w)), F.col("_y0") * float(weight[h, 0]))
-        inner = shifted.where("_own").where((F.col("i") >= h) & (F.col("i") < F.col("n") - h)).select("sample", "i", "rt", total.alias("y"))
+        inner = shifted.where("_own").where((F.col("i") >= h) & (F.col("i") < F.col("n") - h)).select("sample", "i", "rt", "y", total.alias("_s"))
         parts.append(inner.unionByName(_smooth_ends(mine, weight, w, h)))
     out = parts[0]
     for p in parts[1:]:
@@ -186,17 +200,16 @@ def _smooth_ends(mine: DataFrame, weight: np.ndarray, w: int, h: int) -> DataFra
         first = F.lit(targets[0])
         target = F.col("_o") + first + F.col("_r")
         return rows.groupBy("sample", target.cast("long").alias("i")).agg(
-            F.sum(F.col("_c") * F.col("y")).alias("y"), F.max(F.when(F.col("i") == target, F.col("rt"))).alias("rt")).select("sample", "i", "rt", "y")
+            F.sum(F.col("_c") * F.col("y")).alias("_s"), *[F.max(F.when(F.col("i") == target, F.col(c))).alias(c) for c in ("rt", "y")]).select("sample", "i", "rt", "y", "_s")
     return end(F.lit(0), list(range(h))).unionByName(end(F.col("n") - w, list(range(h + 1, w))))
 
 
 def noise(signal: DataFrame, blocks: int | None = None) -> DataFrame:
     """Robust deviation of the signal around its smoothed form; 0 under 15 points."""
-    smoothed = smooth(signal, 11, 2).select("sample", "i", F.col("y").alias("_s"))
     # read by two medians in a row, so the residual is kept rather than recomputed
-    rest = cut(signal.join(smoothed, ["sample", "i"]).select("sample", (F.col("y") - F.col("_s")).alias("r")))
-    mid = quantiles(rest, ["sample"], "r", {"m": 0.5}, blocks)
-    dev = rest.join(mid, "sample").withColumn("d", F.abs(F.col("r") - F.col("m")))
+    rest = cut(_smoothed(signal, 11, 2).select("sample", (F.col("y") - F.col("_s")).alias("r")))
+    mid = cut(quantiles(rest, ["sample"], "r", {"m": 0.5}, blocks))
+    dev = _per_sample(rest, mid).withColumn("d", F.abs(F.col("r") - F.col("m")))
     mad = quantiles(dev, ["sample"], "d", {"mad": 0.5}, blocks)
     size = signal.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
     return size.join(mad, "sample", "left").select("sample", F.when(F.col("n") < 15, 0.0).otherwise(1.4826 * F.col("mad")).alias("noise"))
@@ -204,42 +217,53 @@ def noise(signal: DataFrame, blocks: int | None = None) -> DataFrame:
 
 # ---- baseline ----------------------------------------------------------------------------------------------
 
-def _penalised(w: np.ndarray, rhs: np.ndarray, lam: float, m: int = 64) -> np.ndarray:
-    """Solve (diag(w) + lam * D'D) z = rhs for the second-difference penalty, block by block along the band."""
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 blocks with blocks of two rows; the last axis counts the blocks."""
+    return a[:, 0, None] * b[None, 0] + a[:, 1, None] * b[None, 1]
+
+
+def _inverse(a: np.ndarray) -> np.ndarray:
+    return np.array([[a[1, 1], -a[0, 1]], [-a[1, 0], a[0, 0]]]) / (a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0])
+
+
+def _penalised(w: np.ndarray, rhs: np.ndarray, lam: float) -> np.ndarray:
+    """Solve (diag(w) + lam * D'D) z = rhs for the second-difference penalty.
+
+    Pairs of points are blocks of a block-tridiagonal system; every second block is eliminated at once until one is left.
+    """
     n = len(w)
-    d0, d1, d2 = np.full(n, 6.0), np.full(n - 1, -4.0), np.ones(n - 2)
-    d0[[0, -1]], d0[[1, -2]] = 1.0, 5.0
-    d1[[0, -1]] = -2.0
-    d0, d1, d2 = lam * d0 + w, lam * d1, lam * d2
-    starts = list(range(0, n, m))
-    if len(starts) > 1 and n - starts[-1] < 2:
-        starts.pop()
-    ends = starts[1:] + [n]
-    carry, solved = None, []
-    for a, b in zip(starts, ends):
-        size = b - a
-        block = np.diag(d0[a:b]) + np.diag(d1[a:b - 1], 1) + np.diag(d1[a:b - 1], -1)
-        if size > 2:
-            block += np.diag(d2[a:b - 2], 2) + np.diag(d2[a:b - 2], -2)
-        right = np.zeros((size, 3))
-        right[:, 0] = rhs[a:b]
-        if carry is not None:                       # link to the block before: its last two against our first two
-            link, x = carry
-            right[:2, 0] -= link.T @ x[-2:, 0]
-            block[:2, :2] -= link.T @ x[-2:, 1:]
-        if b < n:
-            link = np.array([[d2[b - 2], 0.0], [d1[b - 1], d2[b - 1] if b - 1 < len(d2) else 0.0]])
-            right[-2:, 1:] = link
-        x = np.linalg.solve(block, right)
-        solved.append(x)
-        carry = (right[-2:, 1:].copy(), x)
-    z = np.empty(n)
-    after = np.zeros(2)
-    for (a, b), x in zip(reversed(list(zip(starts, ends))), reversed(solved)):
-        part = x[:, 0] - x[:, 1:] @ after
-        z[a:b] = part
-        after = part[:2]
-    return z
+    size = n + n % 2
+    d0, d1, d2 = np.zeros(size), np.zeros(size), np.zeros(size)
+    d0[:n], d1[:n - 1], d2[:n - 2] = 6.0, -4.0, 1.0
+    d0[[0, n - 1]], d0[[1, n - 2]] = 1.0, 5.0
+    d1[[0, n - 2]] = -2.0
+    d0, d1, d2 = lam * d0, lam * d1, lam * d2
+    d0[:n] += w
+    d0[n:] = 1.0
+    r = np.pad(rhs, (0, size - n)).reshape(-1, 2).T[:, None]
+    a = np.array([[d0[::2], d1[::2]], [d1[::2], d0[1::2]]])
+    c = np.array([[d2[::2], np.zeros(size // 2)], [d1[1::2], d2[1::2]]])[:, :, :-1]      # from each block to the next
+    levels = []
+    while a.shape[2] > 1:
+        kept, gone = (a.shape[2] + 1) // 2, a.shape[2] // 2
+        inv, left, right = _inverse(a[:, :, 1::2]), c[:, :, ::2], c[:, :, 1::2]
+        here, before, after = _times(inv, r[:, :, 1::2]), _times(inv, left.swapaxes(0, 1)), _times(inv[:, :, :kept - 1], right)
+        levels.append((here, before, after))
+        a, r = a[:, :, ::2].copy(), r[:, :, ::2].copy()
+        a[:, :, :gone] -= _times(left, before)
+        r[:, :, :gone] -= _times(left, here)
+        a[:, :, 1:] -= _times(right.swapaxes(0, 1), after)
+        r[:, :, 1:] -= _times(right.swapaxes(0, 1), here[:, :, :kept - 1])
+        c = -_times(left[:, :, :kept - 1], after)
+    z = _times(_inverse(a), r)
+    while levels:
+        here, before, after = levels.pop()
+        here -= _times(before, z[:, :, :here.shape[2]])
+        here[:, :, :after.shape[2]] -= _times(after, z[:, :, 1:])
+        both = np.empty((2, 1, z.shape[2] + here.shape[2]))
+        both[:, :, ::2], both[:, :, 1::2] = z, here
+        z = both
+    return z[:, 0].T.reshape(-1)[:n]
 
 
 def baseline_als(y: np.ndarray, lam: float = 1e7, p: float = 0.001, iterations: int = 10) -> np.ndarray:
@@ -263,16 +287,20 @@ def baseline(signal: DataFrame, lam: float = 1e7, p: float = 0.001, iterations:
     block = block or max(1 << 20, 4 * reach)
     kind = dict(signal.dtypes)["sample"]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        base = baseline_als(pdf["y"].to_numpy(), lam, p, iterations)
-        return pdf.assign(base=base)[pdf["_own"].to_numpy()][["sample", "i", "rt", "y", "base"]]
-    return _rimmed(signal, reach, block).groupBy("sample", "_blk").applyInPandas(solve, f"sample {kind}, i long, rt double, y double, base double")
+    def solve(rows: pa.Table) -> pa.Table:
+        # columns as they come, without a frame and its copies
+        order = np.argsort(rows["i"].to_numpy())
+        base = baseline_als(rows["y"].to_numpy()[order], lam, p, iterations)
+        own = rows["_own"].to_numpy()[order]
+        mine = rows.select(["sample", "i", "rt", "y"]).take(order[own])
+        return mine.append_column("base", pa.array(base[own]))
+    return _rimmed(signal, reach, block).groupBy("sample", "_blk").applyInArrow(solve, f"sample {kind}, i long, rt double, y double, base double")
 
 
 def correct_baseline(signal: DataFrame, step: float, smooth_minutes: float = 0.02, lam: float = 1e7, use_baseline: bool = True) -> DataFrame:
     """Baseline removed, smoothed, negative values cut to 0."""
-    rows = baseline(signal, lam).select("sample", "i", "rt", (F.col("y") - F.col("base")).alias("y")) if use_baseline else signal
+    # smoothing reads its rows several times; the baseline is solved once
+    rows = cut(baseline(signal, lam).select("sample", "i", "rt", (F.col("y") - F.col("base")).alias("y"))) if use_baseline else signal
     if smooth_minutes > 0:
         rows = smooth(rows, max(5, round(smooth_minutes / step)))
     return rows.withColumn("y", F.greatest("y", F.lit(0.0)))
@@ -413,7 +441,7 @@ def detect_peaks(signal: DataFrame, step: float, min_snr: float = 5.0, min_promi
     kind = dict(signal.dtypes)["sample"]
     limits = (signal.groupBy("sample").agg(F.max("y").alias("top"), F.min("y").alias("low"), F.count(F.lit(1)).alias("n")).join(noise(signal, blocks), "sample")
               .where("n >= 5 and top > 0").withColumn("threshold", F.greatest(min_snr * F.col("noise"), min_prominence * F.col("top"), F.lit(1e-12))))
-    rows = signal.join(limits.select("sample", "low", "noise", "threshold"), "sample").withColumn("_zero", F.when(F.col("y") == F.col("low"), F.col("i")))
+    rows = _per_sample(signal, cut(limits.select("sample", "low", "noise", "threshold"))).withColumn("_zero", F.when(F.col("y") == F.col("low"), F.col("i")))
     rows = running(with_blocks(rows, ["i"], blocks), ["sample"], ["i"], {"_start": ("fill", "_zero")}).withColumn("_g", F.expr(f"coalesce(_start, 0) div {block}"))
     rows = without_blocks(running(rows, ["sample"], ["i"], {"_gp": ("prev", "_g")}))
     both = F.when((F.col("_gp") != F.col("_g")), F.array("_gp", "_g")).otherwise(F.array("_g"))
@@ -429,7 +457,7 @@ def detect_peaks(signal: DataFrame, step: float, min_snr: float = 5.0, min_promi
                             columns=["sample", "rt", "height", "area", "start", "end", "snr"])
     peaks = rows.groupBy("sample", "_grp").applyInPandas(
         run, f"sample {kind}, rt double, height double, area double, `start` double, `end` double, snr double")
-    return area_percent(peaks)
+    return area_percent(cut(peaks))
 
 
 def area_percent(peaks: DataFrame) -> DataFrame:

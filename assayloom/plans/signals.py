@@ -33,9 +33,10 @@ def clean(spark, sf):
 
 
 def gridded(spark, sf):
-    rows = clean(spark, sf)
+    """Grid and signal; both the cleaned points and the signal are read several times by what follows."""
+    rows = cut(clean(spark, sf))
     grid = op.common_grid(rows)
-    return grid, op.resample(rows, grid)
+    return grid, cut(op.resample(rows, grid))
 
 
 def corrected(spark, sf):

@@ -51,6 +51,32 @@ def test_baseline_blocks_match_whole(spark):
     assert len(got) == 6000 and np.allclose(got["base"], whole, rtol=1e-9)
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 64, 65, 301])
+def test_solver_of_any_length(n):
+    rng = np.random.default_rng(n)
+    y, w = rng.random(n) * 10, rng.random(n)
+    d = np.diff(np.eye(n), 2, axis=0)
+    assert np.allclose(sg._penalised(w, w * y, 50.0), np.linalg.solve(np.diag(w) + 50.0 * d.T @ d, w * y), rtol=1e-8)
+
+
+def counted(spark, pdf):
+    """The signal, and how often its rows have been made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(y):
+        made.add(1)
+        return y
+    return spark.createDataFrame(pdf).withColumn("y", seen.asNondeterministic()("y")), made
+
+
+def test_baseline_is_solved_once(spark):
+    pdf = study(300, 2)
+    df, made = counted(spark, pdf)
+    assert sg.correct_baseline(df, 0.01, 0.07, 10.0).count() == len(pdf)
+    assert made.value < 2 * len(pdf)
+
+
 def savgol(y, w, order):
     h, out = w // 2, np.empty(len(y))
     for k in range(len(y)):
