@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from assayloom.functions.text import ColumnLike, col_, file_name_of, safe_letters
+
 
 @F.pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
@@ -18,6 +20,19 @@ def nfkd(text: pd.Series) -> pd.Series:
     return text.fillna("").map(lambda t: unicodedata.normalize("NFKD", t))
 
 
+def safe_name(text: ColumnLike, max_length: int = 60, first: int = 240) -> Column:
+    """``safe_file_name`` of a text of any length.
+
+    What the beginning of a text gives begins what the whole gives. Where it fills the name, the rest cannot change it; only other texts are folded
+    to their end.
+    """
+    whole = F.coalesce(col_(text), F.lit(""))
+    head = nfkd(F.substring(whole, 1, first))
+    enough = (F.length(whole) <= first) | (F.length(safe_letters(head)) >= max_length)
+    rest = nfkd(F.when(~enough, whole))
+    return file_name_of(safe_letters(F.when(rest == "", head).otherwise(rest)), whole, max_length)
+
+
 _canonicalizer: Callable[[Column], Column] | None = None
 
 
