@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from assayloom.functions.text import once
 from assayloom.ordered import given_blocks, numbered, running, without_blocks
 
 ORDER = ["part", "block", "pos"]
@@ -56,7 +57,17 @@ def read_lines(spark: SparkSession, path: str | list[str], folder: str | None =
     df = line_order(reader.text(path, lineSep="\n"))
     stem = F.col("_metadata.file_path") if full_path else F.regexp_replace(file_name(), r"(?<=.)\.[^.]*$", "")
     document = F.col(folder).cast("string") if folder else stem
-    return df.select(document.alias("document"), *ORDER, F.regexp_replace(decoded(F.col("value")), "^\ufeff|\r$", "").alias("line"))
+    return df.select(document.alias("document"), *ORDER, _text_of(F.col("value")).alias("line"))
+
+
+def _text_of(value: Column) -> Column:
+    """The decoded line without byte order mark and carriage return.
+
+    Almost every line is itself; the long way stays out of generated code, which filters repeat until it is too large to be compiled.
+    """
+    edge = value.startswith("\ufeff") | F.right(value, F.lit(1)).isin("\r", "\x85", "\u2028", "\u2029")
+    plain = ~value.contains("\0") & F.is_valid_utf8(value) & ~edge
+    return F.when(plain, value).otherwise(once(value, lambda v: F.regexp_replace(decoded(v), "^\ufeff|\r$", "")))
 
 
 _BLOCK = [*ORDER[:2], f"pos div {BLOCK_LINES}"]

@@ -61,18 +61,19 @@ def _atom_columns(line: str) -> list[Column]:
 
 def read_pdb_atoms(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """Atom records of fixed-width structure files with the place of each line."""
-    lines = read_lines(spark, path, folder).where(F.col("line").rlike("^(ATOM  |HETATM)"))
+    lines = read_lines(spark, path, folder).where(F.col("line").startswith("ATOM  ") | F.col("line").startswith("HETATM"))
     return lines.select(F.col("document").alias("structure"), *_atom_columns("line"), *ORDER).where("resnum is not null")
 
 
 def read_pose_atoms(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """Atoms of every MODEL block with the model number; atoms outside a model are ignored."""
-    lines = read_lines(spark, path, folder).where(F.col("line").rlike("^(MODEL|ENDMDL|ATOM|HETATM)"))
     start, end = F.col("line").startswith("MODEL"), F.col("line").startswith("ENDMDL")
+    atom_line = F.col("line").startswith("ATOM") | F.col("line").startswith("HETATM")
+    lines = read_lines(spark, path, folder).where(start | end | atom_line)
     marked = lines.withColumns({"_m": start.cast("long"), "_e": end.cast("long"),
                                 "_no": F.when(start, F.struct(F.regexp_extract("line", r"^MODEL\S*\s+(\d+)", 1).try_cast("int").alias("no")))})
     rows = along_lines(marked, ["document"], {"_ms": ("sum", "_m"), "_es": ("sum", "_e"), "_id": ("fill", "_no")})
-    rows = rows.where(F.col("line").rlike("^(ATOM|HETATM)") & (F.col("_ms") > F.col("_es")))
+    rows = rows.where(atom_line & (F.col("_ms") > F.col("_es")))
     kind = F.regexp_extract(F.substring("line", 78, 20), r"(\S+)\s*$", 1)
     atom = F.trim(F.substring("line", 13, 4))
     return rows.select("document", F.coalesce("_id.no", F.col("_ms").cast("int")).alias("model"), *[c for c in _atom_columns("line")][:-1], guess_element(atom, kind).alias("element"), *ORDER)

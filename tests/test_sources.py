@@ -261,6 +261,16 @@ def test_lines_in_other_encodings(spark, tmp_path, encoding):
     assert got == lines
 
 
+def test_line_edges_are_as_the_pattern_has_them(spark):
+    """Only lines that may need it go the long way, which is kept out of generated code; none comes out otherwise."""
+    from pyspark.sql import functions as F
+    from assayloom.sources.lines import _text_of, decoded
+    lines = ["", "a", "a\r", "a\r\r", "\r", "\ufeffa\r", "a\ufeff", "a\r\x85", "a\r\u2028", "a\rb", "é\u2029", "\r\u2029"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string").repartition(1)
+    got = df.select(_text_of(F.col("value")).alias("a"), F.regexp_replace(decoded(F.col("value")), "^\ufeff|\r$", "").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
 def test_doubled_quotes_and_numbers(spark):
     from pyspark.sql import functions as F
     from assayloom.functions.text import read_number
