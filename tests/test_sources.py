@@ -279,3 +279,12 @@ def test_doubled_quotes_and_numbers(spark):
     assert df.select(_cells(F.col("line"), F.lit(",")).alias("c")).first().c == ["a", 'say "hi", x', "2"]
     rows = spark.createDataFrame([(x,) for x in ("1f", "0.2d", " 1.5 ", "-inf", "nan", "", "1e3", "['-']", ".5")], "t string")
     assert [r[0] for r in rows.select(read_number("t")).collect()] == [None, None, 1.5, float("-inf"), None, None, 1000.0, None, 0.5]
+
+
+def test_xml_elements_are_parsed_once(spark, tmp_path):
+    """A filter pushed below the parsed columns would run the parser again for every column it names."""
+    (tmp_path / "a.mzML").write_text("<mzML><spectrum></spectrum></mzML>")
+    (tmp_path / "a.mzXML").write_text("<mzXML><scan></scan></mzXML>")
+    for read, glob, scans in ((ch.read_mzml_tic, "*.mzML", 3), (ch.read_mzxml_tic, "*.mzXML", 1)):
+        plan = read(spark, str(tmp_path), glob=glob)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_xml(") == scans and not any("from_xml(" in line for line in plan.splitlines() if "Filter" in line)
