@@ -165,6 +165,31 @@ def test_read_all_keeps_going(spark, tmp_path):
     assert got.skipped.count() == 2 and got.features.count() == 0
 
 
+def test_read_all_lists_files_in_batches(spark, tmp_path):
+    t, y = gauss()
+    text = "\n".join(f"{a:.6f},{b:.6f}" for a, b in zip(t, y))
+    for d in ("Asli", "Tiruan", "a[1]/deep", "a[1]/deeper", "_hidden", "k=1"):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "run.csv").write_text(text)
+    (tmp_path / ".lock.csv").write_text(text)
+    (tmp_path / "junk.txt").write_text("nothing here")
+    (tmp_path / "empty.mzML").write_text("<mzML><run></run></mzML>")
+    (tmp_path / "ok.mzXML").write_text('<mzXML><msRun><scan msLevel="1" retentionTime="PT60S" totIonCurrent="1"></scan></msRun></mzXML>')
+    batches = list(tb.file_batches(spark, str(tmp_path), 2))
+    assert len(batches) >= 4 and list(tb.file_batches(spark, str(tmp_path), 100)) == [[str(tmp_path)]]
+    listed = [[r["path"] for r in tb.list_inputs(spark, str(tmp_path), paths=b).collect()] for b in batches]
+    assert max(map(len, listed)) <= 2 and len(sum(listed, [])) == 8
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole, parts = ch.read_all(spark, str(tmp_path)), ch.read_all(spark, str(tmp_path), batch_files=5)
+    assert {r["sample"] for r in parts.signals.select("sample").distinct().collect()} >= {"run (Asli)", "run (Tiruan)", "run (k=1)", "ok"}
+    for part in ("signals", "peaks", "features", "skipped"):
+        assert rows(getattr(whole, part)) == rows(getattr(parts, part))
+    assert parts.skipped.count() == 2
+    (tmp_path / "nothing").mkdir()
+    with pytest.raises(FileNotFoundError):
+        ch.read_all(spark, str(tmp_path / "nothing"))
+
+
 def test_logs_and_poses(spark, tmp_path, tiny_splits):
     (tmp_path / "l.log").write_text("mode | affinity\n1 9.9\n-----+------------+----------+----------\n" + "".join(f"{k}   {-9 + k / 100}   {k}.0  {k}.5\n" for k in range(1, 60)) + "Writing output ... done.\n")
     got = rc.read_score_logs(spark, str(tmp_path)).orderBy("mode").collect()
